@@ -72,10 +72,11 @@ class Cache(dict):
         self.make = make
 
     def fill(self, keys) -> None:
-        new = [k for k in set(keys) if k not in self]
+        keys = set(keys)
+        new = [k for k in keys if k not in self]
         if len(self) + len(new) > CACHE_ENTRIES:
             self.clear()
-            new = list(set(keys))
+            new = list(keys)
         self.update(zip(new, self.make(new), strict=True))
 
 
