@@ -7,7 +7,11 @@ import importlib
 #: Query name -> module of this subpackage.
 MODULES = {
     "op1_token_files": "op01_token_files",
+    "op2_source_mix": "op02_source_mix",
+    "op5_url_filter": "op05_url_filter",
+    "op6_quality_rules": "op06_quality_rules",
     "op7_byte_bpe": "op07_byte_bpe",
+    "op8_exact_dedup": "op08_exact_dedup",
     "op9_token_counts": "op09_token_counts",
 }
 
