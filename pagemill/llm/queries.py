@@ -9,6 +9,7 @@ MODULES = {
     "op1_token_files": "op01_token_files",
     "op2_source_mix": "op02_source_mix",
     "op3_substring_dedup": "op03_substring_dedup",
+    "op4_jaccard_join": "op04_jaccard_join",
     "op5_url_filter": "op05_url_filter",
     "op6_quality_rules": "op06_quality_rules",
     "op7_byte_bpe": "op07_byte_bpe",
