@@ -9,11 +9,15 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: White space for Python's or the tokenizers' \s, besides the four characters of PIECE.
 ODD_SPACE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200C)))
 PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 ODD_PIECE = re.compile(r".+?(?:(?<=\S)(?= )|\Z)", re.S)
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 500_000
 
 
 def pieces(text: str) -> list[str]:
@@ -42,6 +46,22 @@ def tokenizer(path: str):
     return found
 
 
+def encode_pieces(path: str, keys: list[str], as_model):
+    """Token ids of each key. The library's pre-tokenizers leave plain Latin words whole, so those go
+    to its BPE model directly, as_model(word) being the word as the pre-tokenizer writes it."""
+    found = tokenizer(path)
+    one, ids = found.model.tokenize, [None] * len(keys)
+    rest = []
+    for i, k in enumerate(keys):
+        if k.isascii() and (w := as_model(k)) is not None:
+            ids[i] = [t.id for t in one(w)]
+        else:
+            rest.append(i)
+    for i, x in zip(rest, found.encode_batch_fast([keys[i] for i in rest], add_special_tokens=False), strict=True):
+        ids[i] = x.ids
+    return ids
+
+
 @lru_cache(maxsize=4)
 def sentencepiece(path: str):
     import sentencepiece as sp
@@ -64,31 +84,83 @@ def tiktoken_encoding(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=tiktoken_ranks(path), special_tokens={})
 
 
-class Cache(dict):
-    """What make(new keys) gave for each key, of CACHE_ENTRIES keys at most between calls of fill()."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def fill(self, keys) -> None:
-        keys = set(keys)
-        new = [k for k in keys if k not in self]
-        if len(self) + len(new) > CACHE_ENTRIES:
-            self.clear()
-            new = list(keys)
-        self.update(zip(new, self.make(new), strict=True))
-
-
-def by_bytes(values, most: int):
-    """Runs of values (str or None) of about `most` characters; a longer one comes alone."""
-    run, size = [], 0
-    for v in values:
-        n = len(v) if v else 0
-        if run and size + n > most:
-            yield run
-            run, size = [], 0
-        run.append(v)
-        size += n
-    if run:
-        yield run
+def peel(piece):
+    """(rest, last character) if the piece ends in a letter and a full stop or comma, else None.
+
+    Tokenizers part letters from punctuation, so both can be encoded by themselves.
+    """
+    if len(piece) > 1 and piece[-1] in ".," and piece[-2].isalpha():
+        return piece[:-1], piece[-1]
+    return None
+
+
+class Cache:
+    """What make(list of new keys) gave for each key, in two generations of CACHE_ENTRIES entries:
+    when the younger is full it becomes the older one, and entries used again move back."""
+
+    def __init__(self, make, peel=None):
+        self.make, self.peel, self.young, self.old = make, peel, {}, {}
+
+    def values(self, keys: list) -> list:
+        """The values of distinct keys. With peel, a key's value is the sum of its parts' values."""
+        if len(self.young) > CACHE_ENTRIES:
+            self.young, self.old = {}, self.young
+        young, old, peel = self.young, self.old, self.peel
+        out = list(map(young.get, keys))
+        new, whole, plain = {}, [], []
+        for i in [i for i, v in enumerate(out) if v is None]:
+            k = keys[i]
+            if (v := old.get(k)) is not None:
+                out[i] = young[k] = v
+            elif peel is not None and (cut := peel(k)):
+                whole.append((i, k, cut))
+                for x in cut:
+                    if x not in young:
+                        if (v := old.get(x)) is None:
+                            new[x] = None
+                        else:
+                            young[x] = v
+            else:
+                new[k] = None
+                plain.append((i, k))
+        if new:
+            young.update(zip(new, self.make(list(new)), strict=True))
+        for i, k in plain:
+            out[i] = young[k]
+        for i, k, (a, b) in whole:
+            out[i] = young[k] = young[a] + young[b]
+        return out
+
+    def of(self, keys) -> dict:
+        keys = list(keys)
+        return dict(zip(keys, self.values(keys), strict=True))
+
+
+def runs(batch: pa.RecordBatch, text_column: int, most: int = 32 << 20):
+    """Slices of a batch with about `most` bytes of text; a longer text comes alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, start = np.cumsum(sizes), 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def arrow_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """pieces() of all texts one after another, and the number of the first of each (and the end); null counts as empty."""
+    texts = pc.fill_null(texts, "")
+    if pc.any(pc.match_substring_regex(texts, f"[{ODD_SPACE}\\x00]")).as_py():
+        cut = [pieces(t) for t in texts.to_pylist()]
+        return pa.array([p for c in cut for p in c], pa.string()), np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)
+    marked = pc.replace_substring_regex(texts, "([^ \\t\\n\\r])([ \\t\\n\\r])", "\\1\x00\\2")
+    cut = pc.split_pattern(marked, "\x00")
+    return cut.flatten(), cut.offsets.to_numpy().astype(np.int64)
+
+
+def gather(values: pa.Array, indices: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of values[indices] one after another, and where each begins (and the last ends)."""
+    got = values.take(indices)
+    if not len(got):
+        return memoryview(b""), np.zeros(1, np.int64)
+    ends = np.frombuffer(got.buffers()[1], np.int32)[got.offset : got.offset + len(got) + 1]
+    return memoryview(got.buffers()[2] or b""), ends.astype(np.int64)

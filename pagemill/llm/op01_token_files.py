@@ -22,23 +22,24 @@ for each shard) gives the ids before each shard.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.chunks import Cache, by_bytes, tokenizer
+from pagemill.llm.chunks import Cache, encode_pieces, gather, peel, runs, tokenizer
 from pagemill.llm.shared import new_path, parts, table, write_atomic, written
 
 MAGIC = b"PMEFIDS1"
 HEAD = struct.Struct("<8s9q")
 SAMPLE = 64
 SHARD_BYTES = 16 << 20
-RUN_CHARS = 1 << 20
 
 
 class EliasFano:
@@ -104,7 +105,7 @@ def pack(keys: list[int | None], ids: list[bytes], width: int) -> bytes:
 class Shard:
     """Reader of a shard: document i has the ids from select(i) up to select(i + 1)."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data):
         magic, self.n, self.u, self.width, low_bits, *sizes = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a token file")
@@ -124,20 +125,30 @@ class Shard:
 
 @lru_cache(maxsize=4)
 def _word_ids(path: str, width: int) -> Cache:
+    code = "H" if width == 2 else "I"
+    plain = re.compile("[a-z]+").fullmatch
+
     def make(keys):
-        for x in tokenizer(path).encode_batch([k.decode() for k in keys], add_special_tokens=False):
-            yield np.array(x.ids, f"<u{width}").tobytes()
+        for ids in encode_pieces(path, keys, lambda k: k if plain(k) else None):
+            yield struct.pack(f"<{len(ids)}{code}", *ids)
+
+    return Cache(make, peel)
 
-    return Cache(make)
 
+def encode(path: str, width: int, texts: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The ids of all texts one after another, and the byte at which each text's begin (and the last's end).
 
-def encode(path: str, width: int, texts: list[str], end: bytes) -> list[bytes]:
-    """The ids of each text and `end`. The tokenizer drops white space and never joins what it parts,
-    so texts are cut at ASCII white space and each distinct word is encoded once a worker."""
-    cache = _word_ids(path, width)
-    cut = [t.encode().split() for t in texts]
-    cache.fill(w for c in cut for w in c)
-    return [b"".join(map(cache.__getitem__, c)) + end for c in cut]
+    The tokenizer drops white space and never joins what it parts, so texts are cut at ASCII white
+    space, and each distinct word of the run is looked up, or encoded, once. It lower-cases, so
+    A to Z are lower-cased first unless that could make a special token of other text.
+    """
+    cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    flat = cut.flatten()
+    if not pc.any(pc.match_substring(texts, "<|")).as_py():
+        flat = pc.ascii_lower(flat)
+    coded = flat.dictionary_encode()
+    data, ends = gather(pa.array(_word_ids(path, width).values(coded.dictionary.to_pylist()), pa.binary()), coded.indices)
+    return data, ends[cut.offsets.to_numpy()]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,17 +171,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
             rows.append((name, part, seq, len(keys), size // width))
             seq, keys, ids, size = seq + 1, [], [], 0
 
-        for b in batches:
-            at = 0
-            all_keys = b.column(0).to_pylist()
-            for run in by_bytes(b.column(1).to_pylist(), RUN_CHARS):
-                for x in encode(tokenizer_path, width, [t or "" for t in run], end):
-                    keys.append(all_keys[at])
-                    ids.append(x)
-                    at += 1
-                    size += len(x)
-                    if size >= SHARD_BYTES:
-                        flush()
+        for b in (r for whole in batches for r in runs(whole, 1)):
+            data, at = encode(tokenizer_path, width, b.column(1))
+            at = at.tolist()
+            for i, k in enumerate(b.column(0).to_pylist()):
+                keys.append(k)
+                ids.append(bytes(data[at[i] : at[i + 1]]) + end)
+                size += len(ids[-1])
+                if size >= SHARD_BYTES:
+                    flush()
         if keys:
             flush()
         if rows:
@@ -188,7 +197,7 @@ def read_tokens(spark: SparkSession, path: str, manifest: DataFrame) -> DataFram
     def read(batches):
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                s = Shard(data.as_py())
+                s = Shard(memoryview(data.as_buffer()))
                 bounds = s.bounds.all()
                 crc = []
                 for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):

@@ -29,58 +29,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.chunks import Cache, pieces, tiktoken_encoding, tiktoken_ranks
+from pagemill.llm.chunks import arrow_pieces, gather, runs, tiktoken_encoding, tiktoken_ranks
 from pagemill.llm.shared import parts, table
 
-BLOCK_CHARS = 40 << 20
-#: Characters of documents in a row of numbers.
-RUN_CHARS = 4 << 20
+BLOCK_BYTES = 40 << 20
+#: Bytes of documents in a row of numbers.
+RUN_BYTES = 4 << 20
 #: Buckets of words for each partition of their shuffle.
 SPREAD = 4
 
 
 @lru_cache(maxsize=2)
-def _splitter(pattern: str) -> Cache:
+def _find(pattern: str):
     import regex
 
-    find = regex.compile(pattern).findall
-    return Cache(lambda keys: ([w.encode() for w in find(k)] for k in keys))
-
-
-def split_words(pattern: str, texts: list[str]) -> tuple[dict[bytes, int], list[np.ndarray]]:
-    """The distinct matches of pattern with their numbers, in order of appearance, and each text's numbers."""
-    cache, words, rows = _splitter(pattern), {}, []
-    known: dict[str, bytes] = {}
-    for t in texts:
-        cut = pieces(t)
-        new = [p for p in dict.fromkeys(cut) if p not in known]
-        cache.fill(new)
-        for p in new:
-            known[p] = np.array([words.setdefault(w, len(words)) for w in cache[p]], "<u4").tobytes()
-        rows.append(np.frombuffer(b"".join(map(known.__getitem__, cut)), "<u4"))
-    return words, rows
+    return regex.compile(pattern).findall
+
+
+def split_words(pattern: str, texts: pa.Array, latin: bool = True) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """The distinct matches of pattern with their numbers, in order of appearance; the numbers of all texts' matches
+    in order; and where each text's begin (and the last's end).
+
+    latin: pattern takes letters with a space before them as one match, and punctuation apart, like
+    the byte-level BPE patterns in use; pieces of this kind are then cut without it.
+    """
+    find = _find(pattern)
+    flat, at = arrow_pieces(texts)
+    coded = flat.dictionary_encode()
+    words: dict[str, int] = {}
+    number, numbers, counts = words.setdefault, [], []
+    for p in coded.dictionary.to_pylist():
+        w = p[1:] if p[:1] == " " else p
+        if latin and w.isalpha():
+            numbers.append(number(p, len(words)))
+            counts.append(1)
+        elif latin and w[-1:] in (".", ",") and w[:-1].isalpha():
+            numbers.append(number(p[:-1], len(words)))
+            numbers.append(number(p[-1], len(words)))
+            counts.append(2)
+        else:
+            own = find(p)
+            numbers += [number(x, len(words)) for x in own]
+            counts.append(len(own))
+    by_piece = joined(np.array(numbers, "<u4"), np.array(counts, np.int64))
+    data, ends = gather(by_piece, coded.indices)
+    return words, np.frombuffer(data, "<u4", count=int(ends[-1]) // 4), ends[at] // 4
+
+
+def joined(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A binary array whose row i holds the next counts[i] values."""
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * np.int32(values.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(values)])
 
 
 def blocks(batches):
     """(number, ids of rows, texts) of each block of a partition; numbers differ between partitions."""
-    number, keys, texts, size = 0, [], [], 0
-    for b in batches:
-        if not number and b.num_rows:
-            number = b.column(2)[0].as_py() << 32
-        for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            keys.append(k)
-            texts.append(t or "")
-            size += len(texts[-1])
-            if size >= BLOCK_CHARS:
-                yield number, keys, texts
-                number, keys, texts, size = number + 1, [], [], 0
-    if keys:
-        yield number, keys, texts
-
-
-def dealt(words: dict[bytes, int], buckets: int) -> np.ndarray:
+    number, held, size = None, [], 0
+
+    def block():
+        return number, [k for b in held for k in b.column(0).to_pylist()], pa.concat_arrays([b.column(1) for b in held]).fill_null("")
+
+    for whole in batches:
+        for b in runs(whole, 1, BLOCK_BYTES // 2):
+            if number is None:
+                number = b.column(2)[0].as_py() << 32
+            held.append(b)
+            size += b.column(1).nbytes
+            if size >= BLOCK_BYTES:
+                yield block()
+                number, held, size = number + 1, [], 0
+    if held:
+        yield block()
+
+
+def dealt(words: dict[str, int], buckets: int) -> np.ndarray:
     """The bucket of each word."""
-    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % np.uint32(buckets)
+    return np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint32, len(words)) % np.uint32(buckets)
 
 
 def squeeze(x) -> bytes:
@@ -103,8 +127,8 @@ def batch(rows: list[tuple], names=("block", "kind", "bucket", "data"), kinds=(p
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, result, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """result(keys, rows) -> columns, for runs of documents; rows: for each the pairs
-    (number of the word, in order) as an array, with the lists of ids and decoded bytes by word."""
+    """result: Digests, Tokens or another class with the same functions; prepare() gets what the words of a
+    block consist of, rows() the documents of a run as numbers of words."""
     # the task's own partition number differs between the two uses (one stands in a union), this one doesn't
     d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), (F.spark_partition_id() + 1).cast("long").alias("part"))
     n = parts(d)
@@ -112,7 +136,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, result, schema
 
     def words_of(batches):
         for number, _, texts in blocks(batches):
-            words, _ = split_words(pattern, texts)
+            words, _, _ = split_words(pattern, texts)
             to, listed = dealt(words, buckets), list(words)
             order = np.argsort(to, kind="stable")
             ends = np.searchsorted(to[order], np.arange(buckets + 1))
@@ -122,20 +146,18 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, result, schema
 
     def numbers_of(batches):
         for number, keys, texts in blocks(batches):
-            words, rows = split_words(pattern, texts)
+            words, numbers, at = split_words(pattern, texts)
             to = dealt(words, buckets)
             order = np.argsort(to, kind="stable")
-            rank = np.empty(len(order), np.uint32)  # a word's place when the buckets come one after another
-            rank[order] = np.arange(len(order), dtype=np.uint32)
-            run, size, k = [], 0, 0
-            for i, r in enumerate(rows):
-                run.append(i)
-                size += len(texts[i])
-                if size >= RUN_CHARS or i + 1 == len(rows):
-                    numbers = rank[np.concatenate([rows[j] for j in run])] if len(rank) else np.zeros(0, np.uint32)
-                    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T).tobytes()  # bytes of like weight together compress better
-                    yield batch([(number, 1, k, squeeze((len(words), [keys[j] for j in run], [len(rows[j]) for j in run], planes)))])
-                    run, size, k = [], 0, k + 1
+            rank = np.empty(len(order), "<u4")  # a word's place when the buckets come one after another
+            rank[order] = np.arange(len(order), dtype="<u4")
+            placed = rank[numbers] if len(numbers) else numbers
+            start = k = 0
+            for run in runs(pa.record_batch([texts], names=["text"]), 0, RUN_BYTES):
+                stop = start + run.num_rows
+                planes = np.ascontiguousarray(placed[at[start] : at[stop]].view(np.uint8).reshape(-1, 4).T).tobytes()  # bytes of like weight together compress better
+                yield batch([(number, 1, k, squeeze((len(words), keys[start:stop], np.diff(at[start : stop + 1]), planes)))])
+                start, k = stop, k + 1
 
     def encode_words(batches):
         enc, seen = tiktoken_encoding(ranks_path, pattern), {}
@@ -146,55 +168,66 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, result, schema
                 for w in unsqueeze(data):
                     ids = seen.get(w)
                     if ids is None:
-                        ids = seen[w] = np.array(one(w), "<u4").tobytes()
+                        ids = seen[w] = np.array(one(w.encode()), "<u4").tobytes()
                     out.append(ids)
-                yield batch([(block, 0, bucket, squeeze(out))])
+                yield batch([(block, 0, bucket, squeeze((np.array(list(map(len, out)), np.int64) // 4, b"".join(out))))])
 
     def put_together(batches):
-        table = {i: b for b, i in tiktoken_ranks(ranks_path).items()}  # as large as the vocabulary
-        block, ids, text, counts = None, [], [], None
+        vocabulary = tiktoken_ranks(ranks_path)
+        size = max(vocabulary.values()) + 1
+        texts, shown = [b""] * size, [b"%d " % i for i in range(size)]
+        for x, i in vocabulary.items():
+            texts[i] = x
+        tables = pa.array(texts, pa.binary()), pa.array(shown, pa.binary())  # as large as the vocabulary
+        block, counts, ids, words = None, [], [], None
         for b in batches:
             for at, kind, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if at != block:
-                    block, ids, text, counts = at, [], [], None
+                    block, counts, ids, words = at, [], [], None
                 if kind == 0:
-                    for x in unsqueeze(data):
-                        own = np.frombuffer(x, "<u4").tolist()
-                        ids.append(own)
-                        text.append(b"".join(map(table.__getitem__, own)))
+                    own = unsqueeze(data)
+                    counts.append(own[0])
+                    ids.append(own[1])
                     continue
-                if counts is None:
-                    counts = result.prepare(ids)
-                n_words, keys, sizes, planes = unsqueeze(data)
-                if n_words != len(ids):
+                if words is None:
+                    words = result.prepare(np.concatenate([np.zeros(0, np.int64), *counts]), np.frombuffer(b"".join(ids), "<u4"), *tables)
+                    n_words, counts, ids = sum(map(len, counts)), [], []
+                expected, keys, sizes, planes = unsqueeze(data)
+                if n_words != expected:
                     raise RuntimeError("the input gave other rows on its second reading; write it to a table first")
                 numbers = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-                yield result.rows(keys, np.split(numbers, np.cumsum(sizes)[:-1]), counts, text)
+                yield result.rows(keys, numbers, np.concatenate([[0], np.cumsum(sizes)]), words)
 
     words = d.mapInArrow(words_of, ROW).repartition(n, "bucket").mapInArrow(encode_words, ROW)
     both = words.unionByName(d.mapInArrow(numbers_of, ROW))
     return both.repartition(n, "block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(put_together, schema)
 
 
+def by_word(table: pa.Array, counts: np.ndarray, ids: np.ndarray) -> pa.Array:
+    """For each word, the table's entries of its ids joined."""
+    data, ends = gather(table, pa.array(ids, pa.int32()))
+    at = ends[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(at), pa.py_buffer(data)])
+
+
 class Digests:
     """Digests of the ids and of the decoded bytes."""
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     @staticmethod
-    def prepare(ids):
-        return np.array([len(x) for x in ids], np.int64), [" ".join(map(str, x)) for x in ids]
+    def prepare(counts, ids, texts, shown):
+        return counts, by_word(shown, counts, ids), by_word(texts, counts, ids)
 
     @staticmethod
-    def rows(keys, docs, prepared, text):
-        counts, shown = prepared
-        n, a, b = [], [], []
-        for d in docs:
-            n.append(int(counts[d].sum()) if len(d) else 0)
-            d = d.tolist()
-            a.append(hashlib.sha256(" ".join(map(shown.__getitem__, d)).encode()).hexdigest())
-            b.append(hashlib.sha256(b"".join(map(text.__getitem__, d))).hexdigest())
-        return batch(list(zip(keys, n, a, b, strict=True)), ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), (pa.int64(), pa.int64(), pa.string(), pa.string()))
+    def rows(keys, numbers, at, words):
+        counts, shown, texts = words
+        sums = np.concatenate([[0], np.cumsum(counts[numbers])]) if len(numbers) else np.zeros(1, np.int64)
+        (a, a_ends), (b, b_ends) = (gather(x, pa.array(numbers, pa.int32())) for x in (shown, texts))
+        n, x, y = np.diff(sums[at]), a_ends[at].tolist(), b_ends[at].tolist()
+        ids = [hashlib.sha256(a[p : max(p, q - 1)]).hexdigest() for p, q in zip(x[:-1], x[1:], strict=True)]  # without the last space
+        decoded = [hashlib.sha256(b[p:q]).hexdigest() for p, q in zip(y[:-1], y[1:], strict=True)]
+        return batch(list(zip(keys, n.tolist(), ids, decoded, strict=True)), ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), (pa.int64(), pa.int64(), pa.string(), pa.string()))
 
 
 class Tokens:
@@ -203,12 +236,14 @@ class Tokens:
     schema = "doc_id long, ids array<int>, decoded binary"
 
     @staticmethod
-    def prepare(ids):
-        return ids
+    def prepare(counts, ids, texts, shown):
+        return joined(ids, counts), by_word(texts, counts, ids)
 
     @staticmethod
-    def rows(keys, docs, ids, text):
-        rows = [(k, [i for w in d.tolist() for i in ids[w]], b"".join(text[w] for w in d.tolist())) for k, d in zip(keys, docs, strict=True)]
+    def rows(keys, numbers, at, words):
+        (a, a_ends), (b, b_ends) = (gather(x, pa.array(numbers, pa.int32())) for x in words)
+        x, y = a_ends[at].tolist(), b_ends[at].tolist()
+        rows = [(k, np.frombuffer(a[x[i] : x[i + 1]], "<u4").tolist(), bytes(b[y[i] : y[i + 1]])) for i, k in enumerate(keys)]
         return batch(rows, ("doc_id", "ids", "decoded"), (pa.int64(), pa.list_(pa.int32()), pa.binary()))
 
 
