@@ -15,6 +15,7 @@ MODULES = {
     "op7_byte_bpe": "op07_byte_bpe",
     "op8_exact_dedup": "op08_exact_dedup",
     "op9_token_counts": "op09_token_counts",
+    "op10_license_scan": "op10_license_scan",
 }
 
 
