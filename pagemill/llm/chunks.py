@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 ODD_SPACE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200C)))
 PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 ODD_PIECE = re.compile(r".+?(?:(?<=\S)(?= )|\Z)", re.S)
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 
 
 def pieces(text: str) -> list[str]:
@@ -136,7 +136,7 @@ class Cache:
         return dict(zip(keys, self.values(keys), strict=True))
 
 
-def runs(batch: pa.RecordBatch, text_column: int, most: int = 32 << 20):
+def runs(batch: pa.RecordBatch, text_column: int, most: int = 12 << 20):
     """Slices of a batch with about `most` bytes of text; a longer text comes alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, start = np.cumsum(sizes), 0

@@ -39,7 +39,7 @@ from pagemill.llm.shared import new_path, parts, table, write_atomic, written
 MAGIC = b"PMEFIDS1"
 HEAD = struct.Struct("<8s9q")
 SAMPLE = 64
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 
 
 class EliasFano:

@@ -48,16 +48,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: int)
     return w.withColumn("at", first["level"]).select("source", "source_size", F.least(F.col("most").cast("double"), F.coalesce("at", F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken, with the columns in `keep` and `copies`, a row for each row of docs."""
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     key, text = docs[id_col], docs[text_col]
-    slim = docs.select(
-        key.alias("doc_id"), docs[source_col].alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), document_hash(key, text).alias("h__"),
-        *[docs[c].alias(f"keep__{c}") for c in keep],
-    )
-    slim = written(slim, "mix-sizes")
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(key.alias("doc_id"), docs[source_col].alias("source"), size.alias("size"), document_hash(key, text).alias("h__"))
+
+
+def small(sources: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(sources) if n <= BROADCAST_SOURCES else sources
+
+
+def thresholds(slim: DataFrame, weights: tuple[int, ...], share: float, cap: int) -> tuple[DataFrame, int]:
+    """source, source_size, target, whole, left, prefix for each source, and how many there are. slim: source, size, h__."""
     sizes = written(slim.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
-    small = F.broadcast if sizes.count() <= BROADCAST_SOURCES else (lambda x: x)
+    n = sizes.count()
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     state = targets(sizes, weights, share, cap).withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
     state = written(state.withColumn("before", F.lit(0).cast("long")).withColumn("prefix", F.lit(0).cast("long")), "mix-state")
@@ -70,22 +74,43 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
         h = slim.select("source", "size", F.shiftright("h__", shift + LEVEL_BITS).alias("top"), F.shiftright("h__", shift).alias("bucket"))
         hist = h.groupBy("source", "top", "bucket").agg(F.sum("size").alias("n")) if level == 0 else None
         if hist is None:  # only the boundary bucket of the level before
-            b = small(state.where("prefix is not null").select(F.col("source").alias("b_source"), F.col("prefix").alias("b_prefix")))
+            b = small(state.where("prefix is not null").select(F.col("source").alias("b_source"), F.col("prefix").alias("b_prefix")), n)
             h = h.join(b, h["source"].eqNullSafe(b["b_source"]) & (h["top"] == b["b_prefix"]))
             hist = h.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
         run = Window.partitionBy("source").orderBy("bucket")
         hist = hist.select("source", "bucket", "n", F.sum("n").over(run.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
-        joined = hist.join(small(state), same(hist, state)).where((F.col("before") + F.col("upto")).cast("double") > F.col("left"))
+        joined = hist.join(small(state, n), same(hist, state)).where((F.col("before") + F.col("upto")).cast("double") > F.col("left"))
         at = joined.groupBy(hist["source"]).agg(F.min(F.struct("bucket", (F.col("before") + F.col("upto") - F.col("n")).alias("below"))).alias("x"))
         at = at.select(F.col("source").alias("x_source"), "x")
         state = state.join(at, state["source"].eqNullSafe(at["x_source"]), "left").select("source", "source_size", "target", "whole", "left", F.coalesce("x.below", "before").alias("before"), F.col("x.bucket").alias("prefix"))
         state = written(state, "mix-state")
 
-    s = small(state.withColumnRenamed("source", "s_source"))
-    # without a boundary everything fits
-    copies = F.col("whole") + F.when(F.col("prefix").isNull() | (F.col("h__") < F.col("prefix")), F.when(F.col("left") > 0, 1).otherwise(0)).otherwise(0)
-    rows = slim.join(s, slim["source"].eqNullSafe(s["s_source"])).withColumn("copies", copies.cast("long"))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), *([F.col("copies")] if keep else []), *[F.col(f"keep__{c}").alias(c) for c in keep])
+    return state, n
+
+
+def copies() -> Column:
+    """How often a row is taken; without a boundary everything fits."""
+    below = F.col("prefix").isNull() | (F.col("h__") < F.col("prefix"))
+    return (F.col("whole") + F.when(below & (F.col("left") > 0), 1).otherwise(0)).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, size, source_size, target, taken, a row for each row of docs."""
+    slim = written(sized(docs, id_col, text_col, source_col), "mix-sizes")
+    state, n = thresholds(slim, weights, share, cap)
+    s = small(state.withColumnRenamed("source", "s_source"), n)
+    rows = slim.join(s, slim["source"].eqNullSafe(s["s_source"]))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs, each as often as the mix takes it."""
+    slim = written(sized(docs, id_col, text_col, source_col), "mix-sizes")
+    state, n = thresholds(slim, weights, share, cap)
+    s = small(state.select(F.col("source").alias("s_source"), "whole", "left", "prefix"), n)
+    d = docs.withColumn("h__", document_hash(docs[id_col], docs[text_col]))
+    taken = d.join(s, d[source_col].eqNullSafe(s["s_source"])).withColumn("copies__", copies()).where("copies__ > 0")
+    return taken.withColumn("copy__", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies__")))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

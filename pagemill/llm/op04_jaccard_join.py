@@ -131,7 +131,11 @@ def _shared(batches):
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, a row for each row of docs."""
+    """doc_id, n_shingles, component_id, row, kept: a row for each row of docs.
+
+    row: monotonically_increasing_id() of the row in docs. kept: true for one row of each component, that
+    of the smallest id (null ids last), then the first; true for rows with empty sets.
+    """
     spark = docs.sparkSession
     d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("row", F.monotonically_increasing_id())
     n = parts(d)
@@ -152,8 +156,9 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
 
     all_docs = written(d.mapInArrow(describe, "doc_id long, row long, n long, sig binary, least long, prefix array<long>"), "shingle-sets")
     one = F.min(F.struct("row", "n", "least", "prefix")).alias("x")
-    nodes = all_docs.where("n > 0").groupBy("sig").agg(one, F.min("doc_id").alias("doc_id"))
-    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "sig", "doc_id", "x.row", "x.n", "x.least", "x.prefix"), "shingle-nodes")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("best")
+    nodes = all_docs.where("n > 0").groupBy("sig").agg(one, best)
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "sig", "best", "x.row", "x.n", "x.least", "x.prefix"), "shingle-nodes")
 
     tokens = nodes.select(F.explode("prefix").alias("tok"), "node").repartition(n, "tok").sortWithinPartitions("tok")
     shared = written(tokens.mapInArrow(_shared, "tok long, node long"), "shared-tokens")
@@ -252,12 +257,20 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
             found = components(edges).withColumnRenamed("component", "c")
             labels = written(groups.select("node").join(found, "node", "left").select("node", F.coalesce("c", "node").alias("component")), "components")
 
-    joined = nodes.select("node", "sig", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_sig = written(joined.join(least, "component").select("sig", "component_id"), "component-ids")
-    rows = all_docs.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(of_sig, "sig", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    joined = nodes.select("node", "sig", "best").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = joined.groupBy("component").agg(F.min("best").alias("first"))
+    of_sig = written(joined.join(first, "component").select("sig", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row")), "component-ids")
+    full = F.col("n") > 0
+    rows = all_docs.select("doc_id", "row", "n", F.when(full, F.col("sig")).alias("sig")).join(of_sig, "sig", "left")
+    component = F.when(full, F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "row", (~full | (F.col("row") == F.col("first_row"))).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that stay, one of each component."""
+    stay = written(jaccard_components(docs, **options).where("kept").select(F.col("row").alias("row__")), "components-kept")
+    return docs.withColumn("row__", F.monotonically_increasing_id()).join(stay, "row__", "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("row", "kept")

@@ -120,16 +120,26 @@ def cascade(df: DataFrame, found: dict[str, Column], first: Column | None = None
     return F.lit(True) if kept is None else kept.otherwise(F.lit(True))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the counts, base_failed and kept, with the columns in `keep`, a row for each row of docs."""
+def base_failed(counts: Column) -> Column:
+    return (counts["n_words"] < 20) | (100 * counts["n_repeat_words"] > 30 * counts["n_words"])
+
+
+def good(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs that pass."""
+    text, counts = F.coalesce(docs[text_col], F.lit("")), F.col("m__")
+    m = docs.withColumn("m__", measures(text))
+    return m.where(cascade(m, rules(text, counts), base_failed(counts))).select(*docs.columns)
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, the counts, base_failed and kept, a row for each row of docs."""
     text = F.coalesce(F.col("text__"), F.lit(""))
-    d = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text__"), *[docs[c].alias(f"keep__{c}") for c in keep])
-    m = d.withColumn("m__", measures(text))
+    m = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text__")).withColumn("m__", measures(text))
     counts = F.col("m__")
-    base = (counts["n_words"] < 20) | (100 * counts["n_repeat_words"] > 30 * counts["n_words"])
+    base = base_failed(counts)
     kept = cascade(m, rules(text, counts), base)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return m.select("doc_id", *[counts[k].alias(k) for k in names], base.alias("base_failed"), kept.alias("kept"), *[F.col(f"keep__{c}").alias(c) for c in keep])
+    return m.select("doc_id", *[counts[k].alias(k) for k in names], base.alias("base_failed"), kept.alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,21 @@
 """Exact dedup: groups by a 128-bit content hash, confirmed by comparing bytes.
 
 Texts are equal when they are identical without white space ([\\x20\\x09-\\x0D]). Of equal texts
-the row with the most code points stays, then the smallest id, then (ids may repeat) any one of
-the equal rows counts as kept: all rows with the kept id and length are marked kept. A null id
-comes last. Null texts count as empty, and empty texts are equal to each other.
+the row with the most code points stays, then the smallest id (a null id comes last), then the first
+in the input, so exactly one row of each group is kept. Null texts count as empty, and empty
+texts are equal to each other.
 
 Steps, DataFrame functions only:
 
-1. id, length and SHA-256 of each normalised text are written once, without the texts.
+1. Row number, id, length and SHA-256 of each normalised text are written once, without the texts.
 2. Grouped by the first 128 bits, with partial sums before the shuffle: a group of any size is
    one row for each task.
 3. Texts are read again for groups of two or more only, and each is compared with the text that
    its group keeps. This is an equi-join of rows with one row of each group, no aggregation
    follows it, so adaptive execution splits a hot group over tasks.
 4. Members whose bytes differ (a collision) form groups of their own, by hash and bytes.
+
+docs is read more than once and must give its rows in the same order, as files do.
 """
 
 from __future__ import annotations
@@ -24,51 +26,56 @@ from pyspark.sql import functions as F
 from pagemill.llm.shared import SPACES, table, without, written
 
 
-def _rank(length: str = "n_chars_", key: str = "doc_id"):
-    return F.struct(F.col(length).alias("n"), F.col(key).isNotNull().alias("known"), (-F.col(key)).alias("minus"))
+def _best():
+    """The row that stays: longest, smallest id, first."""
+    return F.max(F.struct(F.col("n_chars_"), F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("minus"), (-F.col("row")).alias("back")))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_hex: int = 32) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs.
+    """doc_id, keep_id, group_size, kept, text_sha256, row: one row for each row of docs.
 
     hash_hex: hexadecimal digits of the SHA-256 that make the grouping hash; 32 are 128 bits.
+    row: monotonically_increasing_id() of the row in docs.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
-    norm = without(text, SPACES)
-    full = docs.select(docs[id_col].cast("long").alias("doc_id"), F.char_length(text).cast("long").alias("n_chars_"), norm.alias("norm"))
+    full = docs.select(docs[id_col].cast("long").alias("doc_id"), F.char_length(text).cast("long").alias("n_chars_"), without(text, SPACES).alias("norm"), F.monotonically_increasing_id().alias("row"))
     full = full.withColumn("text_sha256", F.sha2("norm", 256)).withColumn("h", F.substring("text_sha256", 1, hash_hex))
-    slim = written(full.select("doc_id", "n_chars_", "text_sha256"), "exact-hashes").withColumn("h", F.substring("text_sha256", 1, hash_hex))
+    slim = written(full.select("row", "doc_id", "n_chars_", "text_sha256"), "exact-hashes").withColumn("h", F.substring("text_sha256", 1, hash_hex))
 
-    groups = slim.groupBy("h").agg(F.max(_rank()).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    groups = written(groups.select("h", (-F.col("best.minus")).alias("keep_id"), F.col("best.n").alias("keep_len"), "group_size"), "exact-groups")
-    multi = groups.where("group_size > 1").select("h", "keep_id", "keep_len")
+    groups = slim.groupBy("h").agg(_best().alias("best"), F.count(F.lit(1)).alias("group_size"))
+    groups = written(groups.select("h", (-F.col("best.minus")).alias("keep_id"), (-F.col("best.back")).alias("keep_row"), "group_size"), "exact-groups")
+    multi = groups.where("group_size > 1").select("h", "keep_row")
 
-    members = written(full.join(multi, "h").select("h", "doc_id", "n_chars_", "norm", "text_sha256", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars_") == F.col("keep_len"))).alias("is_keep")), "exact-members")
-    keepers = members.where("is_keep").groupBy("h").agg(F.min("norm").alias("keep_norm"))
-    compared = members.join(keepers, "h").where(F.col("norm") != F.col("keep_norm"))
-    strays = written(compared.select("h", "doc_id", "n_chars_", "norm", "text_sha256"), "exact-collisions")
+    members = written(full.join(multi, "h").select("h", "row", "doc_id", "n_chars_", "norm", "text_sha256", (F.col("row") == F.col("keep_row")).alias("stays")), "exact-members")
+    keepers = members.where("stays").select("h", F.col("norm").alias("keep_norm"))
+    compared = members.where("NOT stays").join(keepers, "h").where(F.col("norm") != F.col("keep_norm"))
+    strays = written(compared.select("h", "row", "doc_id", "n_chars_", "norm", "text_sha256"), "exact-collisions")
+    found = slim.join(groups, "h")
     if not strays.head(1):
-        found = slim.join(groups, "h").select("doc_id", "keep_id", "group_size", "n_chars_", "keep_len", "text_sha256")
-    else:
-        own = strays.groupBy("h", "norm").agg(F.max(_rank()).alias("best"), F.count(F.lit(1)).alias("group_size"), F.first("text_sha256").alias("text_sha256"))
-        own = own.select("h", "text_sha256", (-F.col("best.minus")).alias("own_id"), F.col("best.n").alias("own_len"), F.col("group_size").alias("own_size"))
-        gone = strays.groupBy("h").agg(F.count(F.lit(1)).alias("gone"))
-        joined = slim.join(groups, "h").join(gone, "h", "left").join(own, ["h", "text_sha256"], "left")
-        is_own = F.col("own_size").isNotNull()
-        found = joined.select(
-            "doc_id",
-            F.when(is_own, F.col("own_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-            F.when(is_own, F.col("own_size")).otherwise(F.col("group_size") - F.coalesce(F.col("gone"), F.lit(0))).alias("group_size"),
-            "n_chars_",
-            F.when(is_own, F.col("own_len")).otherwise(F.col("keep_len")).alias("keep_len"),
-            "text_sha256",
-        )
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars_") == F.col("keep_len"))
-    return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+        return found.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "row")
+    own = strays.groupBy("h", "norm").agg(_best().alias("best"), F.count(F.lit(1)).alias("own_size"), F.first("text_sha256").alias("text_sha256"))
+    own = own.select("h", "text_sha256", (-F.col("best.minus")).alias("own_id"), (-F.col("best.back")).alias("own_row"), "own_size")
+    gone = strays.groupBy("h").agg(F.count(F.lit(1)).alias("gone"))
+    found = found.join(gone, "h", "left").join(own, ["h", "text_sha256"], "left")
+    is_own = F.col("own_size").isNotNull()
+    return found.select(
+        "doc_id",
+        F.when(is_own, F.col("own_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.when(is_own, F.col("own_size")).otherwise(F.col("group_size") - F.coalesce(F.col("gone"), F.lit(0))).alias("group_size"),
+        (F.col("row") == F.coalesce("own_row", "keep_row")).alias("kept"),
+        "text_sha256",
+        "row",
+    )
+
+
+def one_of_each(docs: DataFrame, **cols) -> DataFrame:
+    """The rows of docs that stay."""
+    stay = written(exact_dedup(docs, **cols).where("kept").select(F.col("row").alias("row__")), "exact-kept")
+    return docs.withColumn("row__", F.monotonically_increasing_id()).join(stay, "row__", "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("row")
 
 
 ORACLE_SQL = r"""
