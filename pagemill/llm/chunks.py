@@ -46,14 +46,31 @@ def tokenizer(path: str):
     return found
 
 
+@lru_cache(maxsize=1)
+def byte_signs() -> list[str]:
+    """The characters that byte-level pre-tokenizers write for bytes: printable ones stand for themselves, the others for the next unused code points."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+def latin(word: str) -> bool:
+    """Letters of the Latin blocks only: one match for every pre-tokenizer, and composed already."""
+    return word.isalpha() and max(word) < "\u0250"
+
+
+def byte_level(text: str) -> str:
+    return text if text.isascii() and " " not in text else "".join(map(byte_signs().__getitem__, text.encode()))
+
+
 def encode_pieces(path: str, keys: list[str], as_model):
-    """Token ids of each key. The library's pre-tokenizers leave plain Latin words whole, so those go
-    to its BPE model directly, as_model(word) being the word as the pre-tokenizer writes it."""
+    """Token ids of each key. The library's pre-tokenizers leave Latin words whole, so those go to its BPE
+    model directly, as_model(word) being the word as the pre-tokenizer writes it (None: not such a word)."""
     found = tokenizer(path)
     one, ids = found.model.tokenize, [None] * len(keys)
     rest = []
     for i, k in enumerate(keys):
-        if k.isascii() and (w := as_model(k)) is not None:
+        if (w := as_model(k)) is not None:
             ids[i] = [t.id for t in one(w)]
         else:
             rest.append(i)

@@ -22,7 +22,6 @@ for each shard) gives the ids before each shard.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from functools import lru_cache
@@ -33,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.chunks import Cache, encode_pieces, gather, peel, runs, tokenizer
+from pagemill.llm.chunks import Cache, byte_level, encode_pieces, gather, latin, peel, runs, tokenizer
 from pagemill.llm.shared import new_path, parts, table, write_atomic, written
 
 MAGIC = b"PMEFIDS1"
@@ -126,10 +125,13 @@ class Shard:
 @lru_cache(maxsize=4)
 def _word_ids(path: str, width: int) -> Cache:
     code = "H" if width == 2 else "I"
-    plain = re.compile("[a-z]+").fullmatch
+
+    def as_model(word):
+        word = word.lower()
+        return byte_level(word) if latin(word) else None
 
     def make(keys):
-        for ids in encode_pieces(path, keys, lambda k: k if plain(k) else None):
+        for ids in encode_pieces(path, keys, as_model):
             yield struct.pack(f"<{len(ids)}{code}", *ids)
 
     return Cache(make, peel)
@@ -180,6 +182,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
                 size += len(ids[-1])
                 if size >= SHARD_BYTES:
                     flush()
+            del data
+            pa.default_memory_pool().release_unused()
         if keys:
             flush()
         if rows:

@@ -18,16 +18,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm.chunks import Cache, arrow_pieces, encode_pieces, peel, runs, sentencepiece
+from pagemill.llm.chunks import Cache, arrow_pieces, byte_level, encode_pieces, latin, peel, runs, sentencepiece
 from pagemill.llm.shared import table
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
 def as_byte_level(piece: str) -> str | None:
-    """A plain word as byte-level pre-tokenizers write it, with a sign for a space before it."""
-    word = piece[1:] if piece[:1] == " " else piece
-    return ("\u0120" + word if word is not piece else word) if word.isalpha() else None
+    """A Latin word, maybe after a space, as byte-level pre-tokenizers write it."""
+    return byte_level(piece) if latin(piece[1:] if piece[:1] == " " else piece) else None
 
 
 @lru_cache(maxsize=4)
