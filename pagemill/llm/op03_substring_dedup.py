@@ -43,10 +43,10 @@ from pagemill.llm.chunks import runs
 from pagemill.llm.wordhash import grams, hashed_words
 
 WINDOW = 20
-ANCHOR = 10
+ANCHOR = 7
 HOT = 2000
-BLOCK_BYTES = 24 << 20
-DOCS_BYTES = 4 << 20
+BLOCK_BYTES = 10 << 20
+DOCS_BYTES = 2 << 20
 SPREAD = 4
 NULL_ID = (1 << 63) - 1
 
@@ -204,6 +204,7 @@ OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 class Digest:
     schema = OUT
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     @staticmethod
     def rows(rows):
@@ -217,6 +218,7 @@ class Digest:
 
 class Text:
     schema = "doc_id long, n_words long, n_removed long, kept string"
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     @staticmethod
     def rows(rows):
@@ -303,7 +305,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int
 
     def route(batches):
         """Sorted by block, kind: the kinds of the block's anchors, then its texts. Kind 0: units for a
-        bucket; 1: documents with repeated anchors, with what the block knows to go; 2: documents without."""
+        bucket; 1: documents with repeated anchors, with what the block knows to go; 2: the results of those without."""
         block, kinds, held = None, [], []
 
         def done():
@@ -364,9 +366,14 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int
                     run.append(i)
                     size += len(listed[i])
                     if size >= DOCS_BYTES or i == which[-1]:
-                        own = np.isin(gone[0], run) if kind_ == 1 else np.zeros(len(gone[0]), bool)
-                        yield batch([(block, kind_, run[0] & 0x7FFFFFFF, squeeze((run, ids[run], [listed[j] for j in run], [x[own] for x in gone])))])
+                        if kind_ == 1:
+                            own = np.isin(gone[0], run)
+                            data = squeeze((run, ids[run], [listed[j] for j in run], [x[own] for x in gone]))
+                        else:  # nothing goes, so the rows are ready
+                            data = squeeze(result.rows([(int(ids[j]), listed[j].encode().split(), None) for j in run]).to_pydict())
+                        yield batch([(block, kind_, run[0] & 0x7FFFFFFF, data)])
                         run, size = [], 0
+            pa.default_memory_pool().release_unused()
 
         for b in batches:
             for at_, kind_, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
@@ -440,6 +447,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int
                     rows.append((int(ids[j]), w, None if mask is None else np.cumsum(mask)[:-1] == 0))
                 yield result.rows(rows)
 
+    def unpack(batches):
+        for b in batches:
+            for data in b.column(3).to_pylist():
+                yield pa.RecordBatch.from_pydict(unsqueeze(data), schema=result.arrow)
+
     def spread(df, key, *more):
         return df.repartition(n, key).sortWithinPartitions(key, *more)
 
@@ -447,7 +459,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int
     routed = written(spread(kinds.unionByName(d.mapInArrow(texts_of, ROW)), "block", "kind", "bucket").mapInArrow(route, ROW), "substring-units")
     gone = spread(routed.where("kind = 0"), "bucket").mapInArrow(compare, ROW)
     touched = spread(gone.unionByName(routed.where("kind = 1")), "block", "kind", "bucket").mapInArrow(finish, result.schema)
-    return touched.unionByName(routed.where("kind = 2").mapInArrow(finish, result.schema))
+    return touched.unionByName(routed.where("kind = 2").mapInArrow(unpack, result.schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
