@@ -317,16 +317,15 @@ def find_skew(b: np.ndarray, most: float = 7.0, accuracy: float = 0.1) -> tuple[
     scores = [skew_score(b, a) for a in grid]
     best = int(np.argmax(scores))
     angle, top, step = grid[best], scores[best], 0.5
-    total, count = sum(scores), len(scores)
+    mean = sum(scores) / len(scores)
     while step >= accuracy / 2:
         near = [(skew_score(b, angle + s), angle + s) for s in (-step, step)]
-        total, count = total + sum(x for x, _ in near), count + 2
         if max(near)[0] > top:
             top, angle = max(near)
         step /= 2
     if top <= 1000:
         return 0.0, 0.0
-    return -angle, top / (total / count) - 1
+    return -angle, top / mean - 1
 
 
 def scale_gray(g: np.ndarray, h: int, w: int) -> np.ndarray:
