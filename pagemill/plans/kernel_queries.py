@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from pagemill.functions import curves
 from pagemill.operators import kernels, rasters
-from pagemill.sources import derived
+from pagemill.plans import stages
+from pagemill.sources import derived, images
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -132,3 +137,39 @@ def kernel_sauvola(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def kernel_otsu(spark: SparkSession, d: str) -> DataFrame:
     return kernels.mapped(gray_images(spark, d), lambda a: [(rasters.otsu(a),)], "threshold long")
+
+
+@query()
+def stage_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """Split, skew and content of every raster."""
+    return stages.estimate(gray_images(spark, d))
+
+
+@query()
+def stage_layout(spark: SparkSession, d: str) -> DataFrame:
+    return stages.laid_out(stages.estimate(gray_images(spark, d)), 100).select("img", "sub_page", "page_w", "page_h")
+
+
+@query()
+def stage_output(spark: SparkSession, d: str) -> DataFrame:
+    return stages.run(gray_images(spark, d), dpi=100)
+
+
+@query(", b AS (SELECT * FROM gray) SELECT img::BIGINT AS img, y::BIGINT AS y, x::BIGINT AS x, gray::BIGINT AS v FROM b")
+def dewarped_flat(spark: SparkSession, d: str) -> DataFrame:
+    """The dewarping of a flat page is the page."""
+    flat = curves.Cylinder([(0, 0), (WIDTH, 0)], [(0, HEIGHT), (WIDTH, HEIGHT)])
+    return kernels.mapped(gray_images(spark, d), lambda a: kernels.as_pixels(curves.dewarp(a, flat, *a.shape)), VALUE)
+
+
+@query(", r AS (SELECT img, string_agg(lpad(gray::VARCHAR, 3, '0'), '' ORDER BY y, x) AS s FROM gray GROUP BY img) SELECT img::BIGINT AS img, md5(s) AS digest FROM r")
+def tiff_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Pages written as LZW TIFF and decoded again: a digest of their levels."""
+
+    def run(batches):
+        for b in batches:
+            for img, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                g = images.tiff_plane(data, 0)
+                yield pa.RecordBatch.from_arrays([pa.array([img], pa.int64()), pa.array([hashlib.md5("".join(f"{v:03d}" for v in g.ravel().tolist()).encode()).hexdigest()])], names=["img", "digest"])
+
+    return images.as_tiff(gray_images(spark, d)).mapInArrow(run, "img long, digest string")
