@@ -153,6 +153,23 @@ class Cache:
         return dict(zip(keys, self.values(keys), strict=True))
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def release() -> None:
+    """Give freed memory back to the system, as workers are kept from task to task."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
 def runs(batch: pa.RecordBatch, text_column: int, most: int = 12 << 20):
     """Slices of a batch with about `most` bytes of text; a longer text comes alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -161,6 +178,7 @@ def runs(batch: pa.RecordBatch, text_column: int, most: int = 12 << 20):
         stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+        release()
 
 
 def arrow_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -183,7 +183,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
                 if size >= SHARD_BYTES:
                     flush()
             del data
-            pa.default_memory_pool().release_unused()
         if keys:
             flush()
         if rows:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.op07_byte_bpe import batch, squeeze, unsqueeze
 from pagemill.llm.shared import parts, table, written
-from pagemill.llm.chunks import runs
+from pagemill.llm.chunks import release, runs
 from pagemill.llm.wordhash import grams, hashed_words
 
 WINDOW = 20
@@ -373,7 +373,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int
                             data = squeeze(result.rows([(int(ids[j]), listed[j].encode().split(), None) for j in run]).to_pydict())
                         yield batch([(block, kind_, run[0] & 0x7FFFFFFF, data)])
                         run, size = [], 0
-            pa.default_memory_pool().release_unused()
+            release()
 
         for b in batches:
             for at_, kind_, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
