@@ -4,18 +4,20 @@ A document's set is its distinct N-word shingles, as 64-bit hashes. Documents wi
 one node. Nodes link when DEN * intersection >= NUM * union (100 and 90: a similarity of 0.9).
 
 1. A count sketch of fixed size says which shingles are frequent. It only orders tokens: rarer
-   classes first, then by hash. Linked sets share one of the first n - ceil(0.9 n) + 1 tokens of
-   each in any fixed order (prefix filter), so the order changes the work and not the result.
-2. Nodes none of whose prefix tokens another node has are alone. Texts are read again for the rest.
-3. Groups: nodes with the same smallest token meet, in order of size, and join the first of a few
-   pivots that they link with, else become a pivot. A group is at most GROUP nodes of a pivot.
-   Pivots and their nodes are linked, so they are in one component from the start.
+   classes first, then by hash. Linked sets share k of the first n - ceil(0.9 n) + k tokens of each
+   in any fixed order (prefix filter), for any k up to 0.9 n; k is COMMON or, for small sets, all of
+   0.9 n, so tokens shared by chance or with a passage are not enough. The order changes the work
+   and not the result.
+2. Nodes that have fewer prefix tokens with others than a partner of 0.9 n would share are alone. Texts are read again for the rest.
+3. Groups: nodes with the same smallest token, in order of size, GROUP at a time. A group's
+   pairs are counted at once, as the product of the matrix of its members and shared tokens with itself.
 4. Token-group matrix: for each prefix token the groups that have it, a row for each group and not
-   for each node. A node is a query for groups that share one of its tokens and are of another
-   component; of two components the smaller asks. For a query of n tokens whose overlap with the
-   union of the group's tokens is below 0.9 n no member can qualify; other groups are opened and
-   members compared until one links, as further links to the same component change nothing.
-   First only the first group of each pivot is asked, components are merged, then all groups are.
+   for each node. A node is a query for groups that share k of its tokens and hold nodes of another
+   component there; of two components the smaller asks, so a node apart from a large one asks for
+   its groups and not its every node for the one. For a query of n tokens whose overlap with the union
+   of a group's tokens is below 0.9 n no member can qualify; other groups are opened and members
+   compared. At first nodes ask, for each token, the group of its largest component only, which joins most of
+   what belongs together; components are merged and dealt into groups again; then all groups are asked.
 
 Equal texts never meet in pairs, hot smallest tokens are salted (groups may part similar nodes;
 step 4 joins them), hot groups are copied over their queries' shares, and no row is dropped.
@@ -34,18 +36,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.chunks import runs
+from pagemill.llm.chunks import release, runs
 from pagemill.llm.components import components
 from pagemill.llm.op07_byte_bpe import squeeze, unsqueeze
 from pagemill.llm.shared import parts, table, written
 from pagemill.llm.wordhash import ODD, U, grams, hashed_words, mixed
 
-SKETCH_BITS = 19
+RUN_BYTES = 4 << 20
+SKETCH_BITS = 21
+#: Tokens that prefixes of linked sets have in common at least, or else all that small sets must share.
+COMMON = 24
 CHUNKS = 32
 GROUP = 256
-PIVOTS = 8
+#: Tokens of all members after which a group is full, and cells of a matrix held at once.
+GROUP_TOKENS, CELLS = 2_000_000, 1 << 22
 #: Nodes of one smallest token, and queries of one group, that a task takes at once.
 SALT_NODES, SALT_QUERIES = 2048, 1024
+#: Up to so many rows of at most some 100 bytes are broadcast, so that texts and sets are not shuffled to meet them.
+BROADCAST_ROWS = 200_000
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -72,23 +80,77 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * inter >= num * (len(both) - inter)
 
 
+def owners(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(member, column) of the tokens that two sets or more have, columns being distinct tokens, and how many there are."""
+    tokens = np.concatenate(sets)
+    member = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(tokens, kind="stable")
+    tokens, member = tokens[order], member[order]
+    new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
+    column = np.cumsum(new) - 1
+    often = np.bincount(column)[column] > 1
+    _, column = np.unique(column[often], return_inverse=True)
+    return member[often], column, int(column.max()) + 1 if len(column) else 0
+
+
+def group_links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which members link, as a square of booleans."""
+    m, sizes = len(sets), np.array([len(s) for s in sets])
+    member, column, width = owners(sets)
+    inter, step = np.zeros((m, m), np.float32), max(1, CELLS // m)
+    edges = np.searchsorted(column, np.arange(0, width + step, step))
+    for k in range(len(edges) - 1):
+        cut = slice(edges[k], edges[k + 1])
+        block = np.zeros((m, step), np.float32)
+        block[member[cut], column[cut] - k * step] = 1
+        inter += block @ block.T
+    inter = inter.astype(np.int64)
+    np.fill_diagonal(inter, sizes)
+    return den * inter >= num * (sizes[:, None] + sizes[None, :] - inter)
+
+
+def group_roots(links: np.ndarray) -> np.ndarray:
+    """For each member the best-linked one of its component (of equal ones the first)."""
+    m = len(links)
+    label = np.arange(m)
+    while True:
+        new = np.where(links, label[None, :], m).min(axis=1)
+        new = np.minimum(label, new)[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    degree = links.sum(axis=1)
+    best = np.zeros(m, np.int64)
+    for k in np.unique(label).tolist():
+        own = np.flatnonzero(label == k)
+        best[own] = own[np.argmax(degree[own])]
+    return best
+
+
 def prefix(s: np.ndarray, classes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The tokens one of which every other set that links with s has in its own prefix; none if only equal sets link."""
+    """The tokens of which every other set that links with s has common() in its own prefix; none if only equal sets link."""
     n = len(s)
     if n * (den - num) < num:
         return s[:0]
-    p = n - -(-num * n // den) + 1
+    least = -(-num * n // den)
+    p = n - least + min(COMMON, least)
     key = classes[s & U(len(classes) - 1)].astype(U) << U(58) | s >> U(6)
     return s[np.argpartition(key, p - 1)[:p]] if p < n else s
 
 
+def common(n, num: int, den: int):
+    """Column: the prefix tokens that a set of n shares at least with any that links with it, the smallest having 0.9 n."""
+    least = lambda x: F.ceil(x * num / den)
+    return F.least(F.lit(COMMON), least(least(n)))
+
+
 def _frequencies(d: DataFrame, size: int) -> np.ndarray:
     """The class (bit length) of each counter of the sketch: a fixed number of bytes, whatever the corpus."""
 
     def count(batches):
         sums = np.zeros(1 << SKETCH_BITS, np.int64)
         for whole in batches:
-            for b in runs(whole, 0):
+            for b in runs(whole, 0, RUN_BYTES):
                 tokens = np.concatenate([np.zeros(0, U), *shingle_sets(b.column(0), size)])
                 sums += np.bincount((tokens & U(len(sums) - 1)).astype(np.int64), minlength=len(sums))
         for k, part in enumerate(np.split(sums, CHUNKS)):
@@ -109,6 +171,11 @@ def _frequencies(d: DataFrame, size: int) -> np.ndarray:
     return np.ceil(np.log2(sums + 1)).astype(np.uint8)
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """rows (written, without texts or sets), broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _shared(batches):
     """token, node (sorted by token): those whose token comes in another row too."""
     held = None
@@ -143,7 +210,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
 
     def describe(batches):
         for whole in batches:
-            for b in runs(whole, 1):
+            for b in runs(whole, 1, RUN_BYTES):
                 sets = shingle_sets(b.column(1), size)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -161,97 +228,127 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "sig", "best", "x.row", "x.n", "x.least", "x.prefix"), "shingle-nodes")
 
     tokens = nodes.select(F.explode("prefix").alias("tok"), "node").repartition(n, "tok").sortWithinPartitions("tok")
+    sizes = nodes.select("node", "n")
+
+    def with_enough(counts: DataFrame) -> DataFrame:
+        """counts: node and c, its tokens in common."""
+        return counts.join(sizes, "node").where(F.col("c") >= common(F.col("n"), num, den)).drop("c", "n")
+
+    def by_node(found: DataFrame) -> DataFrame:
+        return with_enough(found.groupBy("node").agg(F.count(F.lit(1)).alias("c")))
+
     shared = written(tokens.mapInArrow(_shared, "tok long, node long"), "shared-tokens")
-    some = nodes.join(shared.select("node").distinct(), "node").select("node", "row", "sig", "least")
+    tokens = shared.join(by_node(shared), "node").select("tok", "node").repartition(n, "tok").sortWithinPartitions("tok")
+    shared = written(tokens.mapInArrow(_shared, "tok long, node long"), "shared-tokens")  # with nodes that are left
+    some = nodes.join(by_node(shared), "node").select("node", "row", "sig", "least")
     shares = some.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / SALT_NODES).alias("shares"))
     some = written(some.join(shares, "least").withColumn("salt", F.pmod(F.xxhash64("node"), "shares")).drop("shares"), "nodes-to-compare")
 
     def again(batches):
         for whole in batches:
-            for b in runs(whole, 0):
+            for b in runs(whole, 0, RUN_BYTES):
                 sets = shingle_sets(b.column(0), size)
                 for s, sig in zip(sets, b.column(4).to_pylist(), strict=True):
                     if hashlib.blake2b(s.tobytes(), digest_size=16).digest() != sig:
                         raise RuntimeError("the input gave other rows on its second reading; write it to a table first")
                 yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "least", "salt", "n", "tokens"])
 
-    texts = d.join(some, "row").select("text", "node", "least", "salt", "sig")
+    texts = d.join(small(some), "row").select("text", "node", "least", "salt", "sig")
     sets = written(texts.mapInArrow(again, "node long, least long, salt long, n long, tokens binary"), "sets-to-compare")
 
     def group(batches):
-        """Sorted by smallest token, share and size: node, pivot, number of the pivot's group."""
-        last, pivots, members = None, [], {}
+        """Sorted by smallest token, share and size: node, root (in the group's components), grp (the first node of the group)."""
+        last, nodes_, held, size = None, [], [], 0
+
+        def done():
+            root = group_roots(group_links(held, num, den))
+            ids = np.array(nodes_, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root]), pa.array(np.full(len(ids), ids[0]))], names=["node", "root", "grp"])
+
         for b in batches:
-            out = []
             for node, least, salt, data in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
-                if (least, salt) != last:
-                    last, pivots, members = (least, salt), [], {}
-                s = np.frombuffer(data, U)
-                pivot = next((p for p, t in reversed(pivots) if linked(s, t, num, den)), None)
-                if pivot is None:
-                    pivot = node
-                    pivots = [*pivots[1 - PIVOTS :], (node, s)]
-                    members = {p: members.get(p, 0) for p, _ in pivots}
-                out.append((node, pivot, members[pivot] // GROUP))
-                members[pivot] += 1
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["node", "pivot", "part"])
+                if held and ((least, salt) != last or len(held) == GROUP or size >= GROUP_TOKENS):
+                    yield done()
+                    nodes_, held, size = [], [], 0
+                last = least, salt
+                nodes_.append(node)
+                held.append(np.frombuffer(data, U))
+                size += len(held[-1])
+        if held:
+            yield done()
+        release()
 
     meet = sets.repartition(n, "least", "salt").sortWithinPartitions("least", "salt", "n", "node")
-    groups = written(meet.mapInArrow(group, "node long, pivot long, part long"), "similar-groups")
+    groups = written(meet.mapInArrow(group, "node long, root long, grp long"), "similar-groups")
 
     def open_groups(batches):
-        """Sorted by group, share and kind: the members, then queries. Links."""
-        last, members, union = None, [], None
+        """Sorted by group, share and kind: the members, then queries. For each query a link with each component of the group."""
+        last, members, union, matrix = None, [], None, None
         for b in batches:
             out = []
-            for *key, kind, node, data in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                if key != last:
-                    last, members, union = key, [], None
+            for grp, share, kind, node, comp, data in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if (grp, share) != last:
+                    last, members, union, matrix = (grp, share), [], None, None
                 s = np.frombuffer(data, U)
                 if kind == 0:
-                    members.append((node, s))
+                    members.append((node, comp, s))
                     continue
                 if union is None:
-                    union = np.unique(np.concatenate([np.zeros(0, U), *(t for _, t in members)]))
+                    union = np.unique(np.concatenate([np.zeros(0, U), *(t for _, _, t in members)]))
+                    sizes = np.array([len(t) for _, _, t in members])
+                    if members and len(union) * len(members) <= 8 * CELLS:
+                        matrix = np.zeros((len(union), len(members)), np.uint8)
+                        for i, (_, _, t) in enumerate(members):
+                            matrix[np.searchsorted(union, t), i] = 1
                 if not len(union):
                     continue
-                at = np.searchsorted(union, s)
-                overlap = np.count_nonzero(union[np.minimum(at, len(union) - 1)] == s)
-                if den * overlap >= num * len(s):
-                    other = next((m for m, t in members if linked(s, t, num, den)), None)
-                    if other is not None:
-                        out.append((node, other))
+                at = np.minimum(np.searchsorted(union, s), len(union) - 1)
+                at = at[union[at] == s]
+                if den * len(at) < num * len(s):
+                    continue
+                if matrix is not None:
+                    inter = matrix[at].sum(axis=0, dtype=np.int64)
+                    hits = np.flatnonzero(den * inter >= num * (sizes + len(s) - inter)).tolist()
+                else:
+                    hits = [i for i, (_, _, t) in enumerate(members) if linked(s, t, num, den)]
+                out += [(node, k) for k in {members[i][1] for i in hits}]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+        release()
 
-    def cross(labels: DataFrame, first_only: bool) -> DataFrame:
-        """Links between nodes of different components. labels: node, component."""
+    def cross(labels: DataFrame, largest_only: bool) -> DataFrame:
+        """Links between nodes of different groups and components. labels: node, component."""
         of = groups.join(labels, "node").withColumnRenamed("component", "comp")
-        of = written(of.join(of.groupBy("comp").agg(F.count(F.lit(1)).alias("weight")), "comp"), "group-labels")
+        of = of.join(of.groupBy("comp").agg(F.count(F.lit(1)).alias("weight")), "comp")
+        # a component's nodes share groups; nodes that are alone stay with the group they were compared in
+        slot = F.pmod(F.xxhash64("node"), F.ceil(F.col("weight") / GROUP))
+        of = of.select("node", "comp", F.struct("weight", "comp").alias("rank"), F.when(F.col("weight") > 1, F.xxhash64("comp", slot)).otherwise(F.xxhash64("grp")).alias("grp"))
+        of = written(of, "components-in-groups")
         tok = shared.join(of, "node")
         mixed_tokens = tok.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("tok")
-        tok = written(tok.join(mixed_tokens, "tok"), "token-groups")
-        matrix = tok.where("part = 0 AND weight > 1") if first_only else tok
-        matrix = matrix.select("tok", "pivot", "part", F.col("comp").alias("other"), F.col("weight").alias("other_weight")).distinct()
-        asks = (F.col("comp") != F.col("other")) & ((F.col("weight") < F.col("other_weight")) | ((F.col("weight") == F.col("other_weight")) & (F.col("comp") > F.col("other"))))
-        pairs = tok.select("tok", "node", "comp", "weight").join(matrix, "tok").where(asks).select("node", "pivot", "part").distinct()
-        pairs = written(pairs, "queries")
+        tok = written(tok.join(mixed_tokens, "tok").select("tok", "node", "grp", "rank"), "token-groups")
+        if largest_only:
+            matrix = tok.groupBy("tok").agg(F.max(F.struct("rank", "grp")).alias("m")).select("tok", "m.grp", F.col("m.rank").alias("top"))
+        else:
+            matrix = tok.groupBy("tok", "grp").agg(F.max("rank").alias("top"))
+        asking = tok.select("tok", "node", F.col("grp").alias("own"), "rank")
+        pairs = asking.join(matrix, "tok").where("grp <> own AND rank < top").groupBy("node", "grp").agg(F.count(F.lit(1)).alias("c"))
+        pairs = written(with_enough(pairs), "queries")
         if not pairs.head(1):
             return pairs.select(F.col("node").alias("a"), F.col("node").alias("b"))
-        split = written(pairs.groupBy("pivot", "part").agg(F.ceil(F.count(F.lit(1)) / SALT_QUERIES).alias("shares")), "query-shares")
-        data = sets.select("node", "n", "tokens")
-        queries = pairs.join(split, ["pivot", "part"]).withColumn("share", F.pmod(F.xxhash64("node"), "shares")).join(data, "node")
-        asked = groups.join(split, ["pivot", "part"]).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).join(data, "node")
-        cols = ["pivot", "part", "share", "kind", "node", "tokens"]
-        both = asked.withColumn("kind", F.lit(0)).select(cols).unionByName(queries.withColumn("kind", F.lit(1)).select(cols))
-        ordered = both.repartition(n, "pivot", "part", "share").sortWithinPartitions("pivot", "part", "share", "kind", "node")
+        split = written(pairs.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / SALT_QUERIES).alias("shares")), "query-shares")
+        queries = pairs.join(split, "grp").withColumns({"share": F.pmod(F.xxhash64("node"), "shares"), "kind": F.lit(1), "comp": F.col("node")})
+        asked = of.join(split, "grp").withColumns({"share": F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)), "kind": F.lit(0)})
+        cols = ["grp", "share", "kind", "node", "comp"]
+        both = written(asked.select(cols).unionByName(queries.select(cols)), "asked")
+        both = sets.select("node", "tokens").join(small(both), "node").select(*cols, "tokens")
+        ordered = both.repartition(n, "grp", "share").sortWithinPartitions("grp", "share", "kind", "node")
         return written(ordered.mapInArrow(open_groups, "a long, b long"), "links")
 
-    stars = groups.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    labels, edges = groups.select("node", F.col("pivot").alias("component")), stars
-    for first_only in (True, False):
-        links = cross(labels, first_only)
+    edges = groups.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    labels = groups.select("node", F.col("root").alias("component"))
+    for largest_only in (True, False):
+        links = cross(labels, largest_only)
         if links.head(1):
             edges = edges.unionByName(links)
             found = components(edges).withColumnRenamed("component", "c")

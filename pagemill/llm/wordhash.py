@@ -6,25 +6,15 @@ a chance of about (number of distinct words)^2 / 2^65.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-
-from pagemill.llm.chunks import Cache
+import xxhash
 
 U = np.uint64
 ODD = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-@lru_cache(maxsize=1)
-def _hashes() -> Cache:
-    import xxhash
-
-    return Cache(lambda keys: map(xxhash.xxh3_64_intdigest, keys))
-
-
 def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words ([^\\x20\\x09-\\x0D]+) of all texts, one after another, and where each text's begin (and the
     last's end). Null counts as empty. lower: A to Z are lower-cased."""
@@ -36,7 +26,7 @@ def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.n
     words = coded.dictionary.to_pylist()
     if not words:
         return np.zeros(0, U), np.zeros(len(texts) + 1, np.int64)
-    h = np.array(_hashes().values(words), U)[coded.indices.to_numpy()]
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, len(words))[coded.indices.to_numpy()]
     at = cut.offsets.to_numpy().astype(np.int64)
     full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     if full.all():
