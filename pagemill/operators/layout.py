@@ -38,13 +38,9 @@ def aggregate_size(d: DataFrame) -> DataFrame:
     return d.agg(most("hard_w").alias("agg_w"), most("hard_h").alias("agg_h"))
 
 
-def leave_one_out(d: DataFrame, stored_top: bool = False) -> DataFrame:
-    """loo_w, loo_h: the aggregate without the page itself.
-
-    stored_top: the stricter historical rule, by which a page that is not the largest leaves the aggregate as it is
-    (which the true maximum without it gives as well) and the largest page yields the second place.
-    Two aggregates for each axis, no sort.
-    """
+def leave_one_out(d: DataFrame) -> DataFrame:
+    """loo_w, loo_h: the aggregate of the other pages, so what it becomes if the page changes is the larger of this and the
+    page's new size. The largest page and the second size, by two aggregates for each axis; no sort."""
     a = d.where(aligned())
     top = [a.agg(F.max(F.struct(c, (-F.col("ord")).alias("o"))).alias("m")).select(F.col(f"m.{c}").alias(f"top_{c}"), (-F.col("m.o")).alias(f"at_{c}")) for c in ("hard_w", "hard_h")]
     d = d.join(F.broadcast(top[0]), how="cross").join(F.broadcast(top[1]), how="cross")  # one row each
