@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join with a token-group matrix, and its components.
 
-A document's set is its distinct N-word shingles, as 64-bit hashes. Documents with equal sets are
-one node. Nodes link when DEN * intersection >= NUM * union (100 and 90: a similarity of 0.9).
+A document's set is its distinct N-word shingles, as 64-bit hashes (sets of different documents are compared by
+48 bits of each: a chance of one in ten million for a pair of 5000 shingles to share one wrongly). Documents
+with equal sets are one node. Nodes link when DEN * intersection >= NUM * union (100 and 90: a similarity of 0.9).
 
 1. A count sketch of fixed size says which shingles are frequent. It only orders tokens: rarer
    classes first, then by hash. Linked sets share k of the first n - ceil(0.9 n) + k tokens of each
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.chunks import release, runs
 from pagemill.llm.components import components
 from pagemill.llm.op07_byte_bpe import squeeze, unsqueeze
-from pagemill.llm.shared import parts, table, written
+from pagemill.llm.shared import discard, parts, table, written
 from pagemill.llm.wordhash import ODD, U, grams, hashed_words, mixed
 
 RUN_BYTES = 4 << 20
@@ -71,6 +72,17 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
+def packed(s: np.ndarray) -> bytes:
+    """The high 48 bits of each token: what sets are compared by."""
+    return np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     if den * min(len(a), len(b)) < num * max(len(a), len(b)):
         return False
@@ -222,12 +234,13 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
                 )
 
     all_docs = written(d.mapInArrow(describe, "doc_id long, row long, n long, sig binary, least long, prefix array<long>"), "shingle-sets")
-    one = F.min(F.struct("row", "n", "least", "prefix")).alias("x")
+    one = F.min(F.struct("row", "n", "least")).alias("x")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("best")
     nodes = all_docs.where("n > 0").groupBy("sig").agg(one, best)
-    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "sig", "best", "x.row", "x.n", "x.least", "x.prefix"), "shingle-nodes")
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "sig", "best", "x.row", "x.n", "x.least"), "shingle-nodes")
 
-    tokens = nodes.select(F.explode("prefix").alias("tok"), "node").repartition(n, "tok").sortWithinPartitions("tok")
+    prefixes = all_docs.where("size(prefix) > 0").select("row", "prefix").join(nodes.select("node", "row"), "row")
+    tokens = prefixes.select(F.explode("prefix").alias("tok"), "node").repartition(n, "tok").sortWithinPartitions("tok")
     sizes = nodes.select("node", "n")
 
     def with_enough(counts: DataFrame) -> DataFrame:
@@ -237,9 +250,10 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     def by_node(found: DataFrame) -> DataFrame:
         return with_enough(found.groupBy("node").agg(F.count(F.lit(1)).alias("c")))
 
-    shared = written(tokens.mapInArrow(_shared, "tok long, node long"), "shared-tokens")
-    tokens = shared.join(by_node(shared), "node").select("tok", "node").repartition(n, "tok").sortWithinPartitions("tok")
+    all_shared = written(tokens.mapInArrow(_shared, "tok long, node long"), "shared-tokens")
+    tokens = all_shared.join(by_node(all_shared), "node").select("tok", "node").repartition(n, "tok").sortWithinPartitions("tok")
     shared = written(tokens.mapInArrow(_shared, "tok long, node long"), "shared-tokens")  # with nodes that are left
+    discard(all_shared)
     some = nodes.join(by_node(shared), "node").select("node", "row", "sig", "least")
     shares = some.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / SALT_NODES).alias("shares"))
     some = written(some.join(shares, "least").withColumn("salt", F.pmod(F.xxhash64("node"), "shares")).drop("shares"), "nodes-to-compare")
@@ -251,7 +265,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
                 for s, sig in zip(sets, b.column(4).to_pylist(), strict=True):
                     if hashlib.blake2b(s.tobytes(), digest_size=16).digest() != sig:
                         raise RuntimeError("the input gave other rows on its second reading; write it to a table first")
-                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "least", "salt", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array([len(s) for s in sets], pa.int64()), pa.array([packed(s) for s in sets], pa.binary())], names=["node", "least", "salt", "n", "tokens"])
 
     texts = d.join(small(some), "row").select("text", "node", "least", "salt", "sig")
     sets = written(texts.mapInArrow(again, "node long, least long, salt long, n long, tokens binary"), "sets-to-compare")
@@ -272,7 +286,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
                     nodes_, held, size = [], [], 0
                 last = least, salt
                 nodes_.append(node)
-                held.append(np.frombuffer(data, U))
+                held.append(unpacked(data))
                 size += len(held[-1])
         if held:
             yield done()
@@ -289,7 +303,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
             for grp, share, kind, node, comp, data in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 if (grp, share) != last:
                     last, members, union, matrix = (grp, share), [], None, None
-                s = np.frombuffer(data, U)
+                s = unpacked(data)
                 if kind == 0:
                     members.append((node, comp, s))
                     continue
@@ -340,10 +354,12 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
         queries = pairs.join(split, "grp").withColumns({"share": F.pmod(F.xxhash64("node"), "shares"), "kind": F.lit(1), "comp": F.col("node")})
         asked = of.join(split, "grp").withColumns({"share": F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)), "kind": F.lit(0)})
         cols = ["grp", "share", "kind", "node", "comp"]
-        both = written(asked.select(cols).unionByName(queries.select(cols)), "asked")
-        both = sets.select("node", "tokens").join(small(both), "node").select(*cols, "tokens")
+        asked_rows = written(asked.select(cols).unionByName(queries.select(cols)), "asked")
+        both = sets.select("node", "tokens").join(small(asked_rows), "node").select(*cols, "tokens")
         ordered = both.repartition(n, "grp", "share").sortWithinPartitions("grp", "share", "kind", "node")
-        return written(ordered.mapInArrow(open_groups, "a long, b long"), "links")
+        links = written(ordered.mapInArrow(open_groups, "a long, b long"), "links")
+        discard(tok, pairs, asked_rows)
+        return links
 
     edges = groups.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     labels = groups.select("node", F.col("root").alias("component"))
@@ -357,6 +373,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     joined = nodes.select("node", "sig", "best").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = joined.groupBy("component").agg(F.min("best").alias("first"))
     of_sig = written(joined.join(first, "component").select("sig", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row")), "component-ids")
+    discard(shared, sets, nodes)
     full = F.col("n") > 0
     rows = all_docs.select("doc_id", "row", "n", F.when(full, F.col("sig")).alias("sig")).join(of_sig, "sig", "left")
     component = F.when(full, F.col("component_id")).otherwise(F.col("doc_id"))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.shared import SPACES, table, without, written
+from pagemill.llm.shared import SPACES, discard, table, without, written
 
 
 def _best():
@@ -50,6 +50,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keepers = members.where("stays").select("h", F.col("norm").alias("keep_norm"))
     compared = members.where("NOT stays").join(keepers, "h").where(F.col("norm") != F.col("keep_norm"))
     strays = written(compared.select("h", "row", "doc_id", "n_chars_", "norm", "text_sha256"), "exact-collisions")
+    discard(members)
     found = slim.join(groups, "h")
     if not strays.head(1):
         return found.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "row")
