@@ -50,7 +50,7 @@ COMMON = 24
 CHUNKS = 32
 GROUP = 256
 #: Tokens of all members after which a group is full, and cells of a matrix held at once.
-GROUP_TOKENS, CELLS = 2_000_000, 1 << 22
+GROUP_TOKENS, CELLS = 500_000, 1 << 21
 #: Nodes of one smallest token, and queries of one group, that a task takes at once.
 SALT_NODES, SALT_QUERIES = 2048, 1024
 #: Up to so many rows of at most some 100 bytes are broadcast, so that texts and sets are not shuffled to meet them.
