@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pagemill.llm import op02_source_mix, op04_jaccard_join, op06_quality_rules, op07_byte_bpe, op08_exact_dedup
 from pagemill.llm.shared import table, written
 
+#: Near copies: words of a shingle, and the similarity from which documents link, NUM / DEN.
+SHINGLE, NUM, DEN = 5, 80, 100
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -20,8 +23,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their shingles one stays."""
-    return op04_jaccard_join.one_of_each(docs)
+    """Of documents linked by their 5-word shingles (a Jaccard similarity of 0.8 or more) one stays; the operator's defaults are those of the op4 query."""
+    return op04_jaccard_join.one_of_each(docs, size=SHINGLE, num=NUM, den=DEN)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ from pagemill.llm.chunks import release, runs
 from pagemill.llm.components import components
 from pagemill.llm.op07_byte_bpe import squeeze, unsqueeze
 from pagemill.llm.shared import discard, parts, table, written
-from pagemill.llm.wordhash import ODD, U, grams, hashed_words, mixed
+from pagemill.llm.wordhash import U, grams, hashed_words, mixed
 
 RUN_BYTES = 4 << 20
 SKETCH_BITS = 21
@@ -66,7 +66,7 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
         if z - a >= size:
             out.append(np.unique(full[a : z - size + 1]))
         elif z > a:  # the whole sequence
-            out.append(mixed(grams(h[a:z], z - a) ^ ODD[z - a - 1]))
+            out.append(mixed(grams(h[a:z], z - a) ^ mixed(np.full(1, z - a, U))))
         else:
             out.append(np.zeros(0, U))
     return out
