@@ -1,21 +1,21 @@
 """License scans: MinHash bands over overlapping text windows, then exact shingle containment.
 
 DataFrame expressions only. Words are lower-cased, and a text's shingles are its SHINGLE
-consecutive words, hashed; so are each template's. A template of s shingles belongs to the scale
-k with 2^(k-1) < s <= 2^k; it is looked for in windows of 2 * 2^k shingles that begin every
+consecutive words, hashed; so are each template's. A template of more than MOST_SHINGLES shingles is cut
+into pieces of MOST_SHINGLES (the last ends with it), which are looked for like templates of their own; any of them
+retrieves it. A template, or piece, of s shingles belongs to the scale k with 2^(k-1) < s <= 2^k; it is looked for in windows of 2 * 2^k shingles that begin every
 2^k shingles, so one window holds all of it, and the Jaccard similarity of window and template is
 s / 2^(k+1) or more, over a quarter. Each of BANDS bands is one value (rows = 1), the least or the
 greatest under one of BANDS / 2 permutations, each as likely as J to be of a shingle of both: a window
 with a template of similarity J shares a band with probability 1 - (1 - J)^BANDS, with 16 bands
-99.0 % at a quarter and 99.998 % at a half. Windows of a larger scale take their values from those of
-the scale below. Templates of one shingle need no bands: their window is the shingle. Long
-templates are looked up by their first MOST_SHINGLES shingles and verified in full.
-
-The table of template bands has BANDS entries for each template and the templates are a parameter of
+99.0 % at a quarter and 99.998 % at a half. At a containment of CONTAINMENT the least similarity is 4 of 17 (98.6 %, five
+shingles), for a piece with as large a share 13 of 35 (99.9 %); a long template is missed only if all pieces are. Windows of a larger scale take their values from those of
+the scale below. Templates of one shingle need no bands: their window is the shingle. 
+The table of template bands has BANDS entries for each template or piece and the templates are a parameter of
 bounded size (MOST_TEMPLATES), so bands are looked up in literal sets, without a join. Windows that share
 a band are verified: the share of all of the template's shingles that the document's shingles from the
-window on, as many as the template has and one window more, contain; the match stands at
-CONTAINMENT or more.
+window on, as many as the template has and one window more, contain; for templates in pieces, that all of the document's
+shingles contain. The match stands at CONTAINMENT or more.
 
 Null and empty texts match nothing; repeated rows match alike; a document matches a template once,
 with its best containment. Documents without a match give no row.
@@ -58,6 +58,12 @@ def shingles(text: Column, size: int = SHINGLE) -> Column:
     return let(F.transform(words(normal(text)), lambda w: F.xxhash64(w)), of)
 
 
+def pieces(s: Column) -> Column:
+    """All of s, MOST_SHINGLES at a time."""
+    last = F.greatest(F.size(s) - MOST_SHINGLES, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(s) / MOST_SHINGLES).cast("int") - 1), lambda i: F.slice(s, F.least(i * MOST_SHINGLES, last) + 1, MOST_SHINGLES))
+
+
 def scale_of(n: int) -> int:
     """The k with 2^(k-1) < n <= 2^k."""
     return (n - 1).bit_length()
@@ -73,21 +79,22 @@ def scan(docs: DataFrame, templates=TEMPLATES, size: int = SHINGLE, bands: int =
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates")
     t = spark.createDataFrame([(str(a), b) for a, b in templates], "template string, text string").withColumn("s", F.array_distinct(shingles(F.col("text"), size)))
-    t = t.withColumn("lead", F.slice("s", 1, MOST_SHINGLES)).withColumn("bands", F.when(F.size("s") > 0, F.flatten(F.array(*[let(permuted(F.col("lead"), k), lambda y: F.array(F.array_min(y), F.array_max(y))) for k in range(bands // 2)]))))
-    known = [r for r in t.select("template", "s", "lead", "bands").collect() if r.s]
+    t = t.where(F.size("s") > 0).withColumn("piece", F.explode(pieces(F.col("s"))))
+    t = t.withColumn("bands", F.flatten(F.array(*[let(permuted(F.col("piece"), k), lambda y: F.array(F.array_min(y), F.array_max(y))) for k in range(bands // 2)])))
+    known = t.select("template", "s", "piece", "bands").collect()
     if not known:
         return spark.createDataFrame([], "doc_id long, template string, containment double, n_windows long")
     by_scale: dict[int, list] = {}
     for r in known:
-        by_scale.setdefault(scale_of(len(r.lead)), []).append(r)
+        by_scale.setdefault(scale_of(len(r.piece)), []).append(r)
 
     last = max(by_scale)
 
     def matches(h: Column, at: dict[int, Column]) -> Column:
         every = [
-            F.struct(F.lit(r.template).alias("template"), contained(h, at[k], r.s, 2 ** (k + 1)).alias("containment"), F.size(at[k]).cast("long").alias("n_windows"))
+            F.struct(F.lit(template).alias("template"), contained(h, at[k], s, 2 ** (k + 1)).alias("containment"), F.size(at[k]).cast("long").alias("n_windows"))
             for k, rows in by_scale.items()
-            for r in rows
+            for template, s in dict.fromkeys((r.template, tuple(r.s)) for r in rows)
         ]
         return F.filter(F.array(*every), lambda m: m["containment"] >= containment)
 
@@ -157,9 +164,11 @@ def places(h: Column, rows: list) -> Column:
     return F.filter(F.transform(h, lambda x, i: F.when(x.isin(wanted), i)), lambda i: i.isNotNull())
 
 
-def contained(h: Column, at: Column, template: list[int], window: int) -> Column:
-    """The largest share of the template in the shingles from one of the windows on."""
-    whole = F.array(*map(F.lit, template))
+def contained(h: Column, at: Column, template: tuple[int, ...], window: int) -> Column:
+    """The largest share of the template in the shingles from one of the windows on; of one in pieces, in all shingles."""
+    whole = F.split(F.lit(" ".join(map(str, template))), " ").cast("array<bigint>")  # a literal, without a call for each shingle
+    if len(template) > MOST_SHINGLES:
+        return F.when(F.size(at) > 0, F.size(F.array_intersect(h, whole)) / F.lit(float(len(template))))
     return F.array_max(F.transform(at, lambda i: F.size(F.array_intersect(F.slice(h, i + 1, len(template) + window), whole)) / F.lit(float(len(template)))))
 
 
