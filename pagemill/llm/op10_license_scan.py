@@ -1,15 +1,15 @@
 """License scans: MinHash bands over overlapping text windows, then exact shingle containment.
 
-DataFrame expressions only. Words are lower-cased, and a text's shingles are its SHINGLE
+DataFrame expressions only. Words are lower-cased and lose their punctuation, and a text's shingles are its SHINGLE
 consecutive words, hashed; so are each template's. A template of more than MOST_SHINGLES shingles is cut
-into pieces of MOST_SHINGLES (the last ends with it), which are looked for like templates of their own; any of them
+into pieces of MOST_SHINGLES (or LONG_PIECE; the last ends with it), which are looked for like templates of their own; any of them
 retrieves it. A template, or piece, of s shingles belongs to the scale k with 2^(k-1) < s <= 2^k; it is looked for in windows of 2 * 2^k shingles that begin every
 2^k shingles, so one window holds all of it, and the Jaccard similarity of window and template is
 s / 2^(k+1) or more, over a quarter. Each of BANDS bands is one value (rows = 1), the least or the
 greatest under one of BANDS / 2 permutations, each as likely as J to be of a shingle of both: a window
 with a template of similarity J shares a band with probability 1 - (1 - J)^BANDS, with 16 bands
 99.0 % at a quarter and 99.998 % at a half. At a containment of CONTAINMENT the least similarity is 4 of 17 (98.6 %, five
-shingles), for a piece with as large a share 13 of 35 (99.9 %); a long template is missed only if all pieces are. Windows of a larger scale take their values from those of
+shingles), for a piece with as large a share 13 of 35 or 52 of 140 (99.9 %); a long template is missed only if all pieces are. Windows of a larger scale take their values from those of
 the scale below. Templates of one shingle need no bands: their window is the shingle. 
 The table of template bands has BANDS entries for each template or piece and the templates are a parameter of
 bounded size (MOST_TEMPLATES), so bands are looked up in literal sets, without a join. Windows that share
@@ -17,12 +17,21 @@ a band are verified: the share of all of the template's shingles that the docume
 window on, as many as the template has and one window more, contain; for templates in pieces, that all of the document's
 shingles contain. The match stands at CONTAINMENT or more.
 
+Templates of fewer than SHINGLE words are one shingle of all their words, found by lookup. A template with marks (MARKS) stands only if the
+document holds the marks too: they tell versions apart whose notices differ in a word. A licence whose text holds that of another
+(BSD-3-Clause that of BSD-2-Clause) matches both.
+
 Null and empty texts match nothing; repeated rows match alike; a document matches a template once,
 with its best containment. Documents without a match give no row.
 """
 
 from __future__ import annotations
 
+import string
+from functools import reduce
+from operator import and_
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,19 +43,58 @@ SHINGLE = 5
 BANDS = 16
 CONTAINMENT = 0.8
 MOST_SHINGLES = 16
+#: Templates of more than LONG shingles are cut into pieces of LONG_PIECE, to have fewer literals.
+LONG, LONG_PIECE = 256, 64
 MOST_TEMPLATES = 500
 
-#: (template id, text)
-TEMPLATES = (
+PUNCTUATION = string.punctuation + "\u2018\u2019\u201c\u201d\u2013\u2014\u2026\u00ab\u00bb\u2022"
+MATCH = "struct<template:string,containment:double,n_windows:bigint>"
+
+#: (template id, text): one-line notices, headers of files, and the full texts (without copyright lines) in licenses/.
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
+    ("MIT-notice", "Licensed under the MIT License"),
+    ("GPL-2.0-notice", "under the GNU General Public License, version 2"),
+    ("GPL-3.0-notice", "under the GNU General Public License, version 3"),
+    ("LGPL-2.1-notice", "under the GNU Lesser General Public License, version 2.1"),
+    ("LGPL-3.0-notice", "under the GNU Lesser General Public License, version 3"),
+    ("MPL-2.0-notice", "under the Mozilla Public License, version 2.0"),
 )
+GNU = "it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+HEADERS = (
+    ("Apache-2.0-header", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    ("GPL-2.0-header", GNU.format("General Public License", 2)),
+    ("GPL-3.0-header", GNU.format("General Public License", 3)),
+    ("LGPL-2.1-header", GNU.format("Lesser General Public License", 2.1)),
+    ("LGPL-3.0-header", GNU.format("Lesser General Public License", 3)),
+    ("MPL-2.0-header", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+)
+TEXTS = tuple((f"{p.stem}-text", p.read_text(encoding="utf-8")) for p in sorted(Path(__file__).with_name("licenses").glob("*.txt")))
+TEMPLATES = NOTICES + HEADERS + TEXTS
+
+#: What a document must hold besides, SHINGLE words each or more.
+MARKS = {
+    "GPL-3.0": ("general public license version 3",),
+    "GPL-2.0-notice": ("general public license version 2",),
+    "GPL-3.0-notice": ("general public license version 3",),
+    "LGPL-2.1-notice": ("general public license version 2.1",),
+    "LGPL-3.0-notice": ("general public license version 3",),
+    "MPL-2.0-notice": ("mozilla public license version 2.0",),
+    "GPL-2.0-header": ("gnu general public license as", "either version 2 of the"),
+    "GPL-3.0-header": ("gnu general public license as", "either version 3 of the"),
+    "LGPL-2.1-header": ("lesser general public license as", "either version 2.1 of the"),
+    "LGPL-3.0-header": ("lesser general public license as", "either version 3 of the"),
+    "LGPL-2.0-text": ("gnu library general public license",),
+    "LGPL-2.1-text": ("gnu lesser general public license",),
+}
 
 
 def normal(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    """Lower case, without punctuation."""
+    return F.translate(F.coalesce(text, F.lit("")), UPPER + PUNCTUATION, LOWER)
 
 
 def shingles(text: Column, size: int = SHINGLE) -> Column:
@@ -59,9 +107,13 @@ def shingles(text: Column, size: int = SHINGLE) -> Column:
 
 
 def pieces(s: Column) -> Column:
-    """All of s, MOST_SHINGLES at a time."""
-    last = F.greatest(F.size(s) - MOST_SHINGLES, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(s) / MOST_SHINGLES).cast("int") - 1), lambda i: F.slice(s, F.least(i * MOST_SHINGLES, last) + 1, MOST_SHINGLES))
+    """All of s, MOST_SHINGLES or LONG_PIECE at a time."""
+
+    def cut(n: int) -> Column:
+        last = F.greatest(F.size(s) - n, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(s) / n).cast("int") - 1), lambda i: F.slice(s, F.least(i * n, last) + 1, n))
+
+    return F.when(F.size(s) > LONG, cut(LONG_PIECE)).otherwise(cut(MOST_SHINGLES))
 
 
 def scale_of(n: int) -> int:
@@ -73,30 +125,51 @@ def permuted(h: Column, k: int) -> Column:
     return F.transform(h, lambda x: F.xxhash64(x, F.lit(k)))
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, size: int = SHINGLE, bands: int = BANDS, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES, size: int = SHINGLE, bands: int = BANDS, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text", marks=MARKS) -> DataFrame:
     """doc_id, template, containment, n_windows (that shared a band and were verified)."""
     spark = docs.sparkSession
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates")
-    t = spark.createDataFrame([(str(a), b) for a, b in templates], "template string, text string").withColumn("s", F.array_distinct(shingles(F.col("text"), size)))
-    t = t.where(F.size("s") > 0).withColumn("piece", F.explode(pieces(F.col("s"))))
+    t = spark.createDataFrame([(i, str(a), b) for i, (a, b) in enumerate(templates)], "key int, template string, text string").withColumn("s", F.array_distinct(shingles(F.col("text"), size)))
+    t = t.withColumn("n", F.size(words(normal(F.col("text")))))
+    whole = F.coalesce(*[F.when(F.col("n") == m, F.get(shingles(F.col("text"), m), 0)) for m in range(1, size)], F.lit(None).cast("long"))
+    short = t.where((F.col("n") > 0) & (F.col("n") < size)).select("template", "n", whole.alias("x")).collect()
+    marked = [(a, b) for a, _ in templates for b in marks.get(a, ())]
+    must: dict[str, set] = {}
+    for r in spark.createDataFrame(marked, "template string, text string").select("template", shingles(F.col("text"), size).alias("s")).collect():
+        must.setdefault(r.template, set()).update(r.s)
+    t = t.where(F.size("s") > 0)
+    full = {r.key: (r.template, r.s) for r in t.select("key", "template", F.concat_ws(" ", F.transform("s", lambda x: x.cast("string"))).alias("s")).collect()}
+    t = t.withColumn("piece", F.explode(pieces(F.col("s"))))
     t = t.withColumn("bands", F.flatten(F.array(*[let(permuted(F.col("piece"), k), lambda y: F.array(F.array_min(y), F.array_max(y))) for k in range(bands // 2)])))
-    known = t.select("template", "s", "piece", "bands").collect()
-    if not known:
+    known = t.select("key", F.size("piece").alias("n"), "bands").collect()
+    if not known and not short:
         return spark.createDataFrame([], "doc_id long, template string, containment double, n_windows long")
     by_scale: dict[int, list] = {}
     for r in known:
-        by_scale.setdefault(scale_of(len(r.piece)), []).append(r)
+        by_scale.setdefault(scale_of(r.n), []).append(r)
+
+    last = max(by_scale, default=0)
+    none = F.array().cast(f"array<{MATCH}>")
 
-    last = max(by_scale)
+    def match(h: Column, at: Column, k: int, template: str, s: str) -> Column:
+        share = contained(h, at, s, 2 ** (k + 1))
+        marks_of = sorted(must.get(template, ()))
+        if marks_of:
+            share = let(share, lambda c: F.when(reduce(and_, [F.array_contains(h, F.lit(x)) for x in marks_of], c >= containment), c))
+        return F.struct(F.lit(template).alias("template"), share.alias("containment"), F.size(at).cast("long").alias("n_windows"))
 
     def matches(h: Column, at: dict[int, Column]) -> Column:
-        every = [
-            F.struct(F.lit(template).alias("template"), contained(h, at[k], s, 2 ** (k + 1)).alias("containment"), F.size(at[k]).cast("long").alias("n_windows"))
-            for k, rows in by_scale.items()
-            for template, s in dict.fromkeys((r.template, tuple(r.s)) for r in rows)
-        ]
-        return F.filter(F.array(*every), lambda m: m["containment"] >= containment)
+        every = [F.when(F.size(at[k]) > 0, F.array(*[match(h, at[k], k, *full[x]) for x in dict.fromkeys(r.key for r in rows)])).otherwise(none) for k, rows in by_scale.items()]
+        return F.filter(F.concat(*every), lambda m: m["containment"] >= containment)
+
+    def short_matches(m: int) -> Column:
+        def found_in(g: Column, r) -> Column:
+            n = F.size(F.filter(g, lambda y: y == r.x)).cast("long")
+            return F.struct(F.lit(r.template).alias("template"), F.when(n > 0, F.lit(1.0)).alias("containment"), n.alias("n_windows"))
+
+        of = lambda g: F.filter(F.array(*[found_in(g, r) for r in short if r.n == m]), lambda x: x["containment"] >= containment)
+        return let(shingles(docs[text_col], m), of)
 
     def from_scale(k: int, h: Column, b: Column, at: dict[int, Column]) -> Column:
         """The matches, given what the smaller scales found and the block extremes of scale k."""
@@ -106,14 +179,16 @@ def scan(docs: DataFrame, templates=TEMPLATES, size: int = SHINGLE, bands: int =
         return let(windows(b, 2**k, by_scale[k], bands), lambda x: go_on(at | {k: x}))
 
     def of(h: Column) -> Column:
-        at = {0: places(h, by_scale[0])} if 0 in by_scale else {}
+        at = {0: places(h, [int(full[r.key][1]) for r in by_scale[0]])} if 0 in by_scale else {}
         if last == 0:
             return matches(h, at)
         k = min(x for x in by_scale if x > 0)
         return let(blocks(h, 2**k, bands), lambda b: from_scale(k, h, b, at))
 
     h = shingles(docs[text_col], size)
-    found = let(h, lambda h: F.when(F.size(h) > 0, of(h)))
+    found = let(h, lambda h: F.when(F.size(h) > 0, of(h))) if by_scale else none
+    if short:
+        found = F.concat(F.coalesce(found, none), *[short_matches(m) for m in sorted({r.n for r in short})])
     # an outer explode: for an inner one Spark would evaluate the array twice, to filter empty ones
     rows = docs.select(docs[id_col].alias("doc_id"), F.explode_outer(found).alias("m"))
     return rows.select("doc_id", "m.template", "m.containment", "m.n_windows").where(F.col("containment") >= containment)
@@ -159,17 +234,17 @@ def windows(b: Column, step: int, rows: list, bands: int) -> Column:
     return F.transform(found, lambda i: i * step)
 
 
-def places(h: Column, rows: list) -> Column:
-    wanted = [r.s[0] for r in rows]
+def places(h: Column, wanted: list[int]) -> Column:
     return F.filter(F.transform(h, lambda x, i: F.when(x.isin(wanted), i)), lambda i: i.isNotNull())
 
 
-def contained(h: Column, at: Column, template: tuple[int, ...], window: int) -> Column:
-    """The largest share of the template in the shingles from one of the windows on; of one in pieces, in all shingles."""
-    whole = F.split(F.lit(" ".join(map(str, template))), " ").cast("array<bigint>")  # a literal, without a call for each shingle
-    if len(template) > MOST_SHINGLES:
-        return F.when(F.size(at) > 0, F.size(F.array_intersect(h, whole)) / F.lit(float(len(template))))
-    return F.array_max(F.transform(at, lambda i: F.size(F.array_intersect(F.slice(h, i + 1, len(template) + window), whole)) / F.lit(float(len(template)))))
+def contained(h: Column, at: Column, template: str, window: int) -> Column:
+    """template: its shingles, parted by spaces. The largest share of it in the shingles from one of the windows on; of one in pieces, in all shingles."""
+    whole = F.split(F.lit(template), " ").cast("array<bigint>")  # a literal, without a call for each shingle
+    n = template.count(" ") + 1
+    if n > MOST_SHINGLES:
+        return F.when(F.size(at) > 0, F.size(F.array_intersect(h, whole)) / F.lit(float(n)))
+    return F.array_max(F.transform(at, lambda i: F.size(F.array_intersect(F.slice(h, i + 1, n + window), whole)) / F.lit(float(n))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
