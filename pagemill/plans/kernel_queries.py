@@ -98,6 +98,12 @@ def kernel_distance_map(spark: SparkSession, d: str) -> DataFrame:
     return kernels.mapped(black_images(spark, d).where("img = 0"), lambda a: kernels.as_pixels(rasters.distance_map(a)), VALUE, binary=True)
 
 
+@query()
+def kernel_distance_map_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every image; kernel_distance_map and its SQL, quadratic in an image's pixels, take the first."""
+    return kernels.mapped(black_images(spark, d), lambda a: kernels.as_pixels(rasters.distance_map(a)), VALUE, binary=True)
+
+
 @query()
 def kernel_components(spark: SparkSession, d: str) -> DataFrame:
     """A row for each component: label, box and pixels."""
