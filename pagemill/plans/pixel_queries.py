@@ -145,6 +145,12 @@ def integer_upscale(spark: SparkSession, d: str) -> DataFrame:
     return pixels.upscale(derived.black(spark, d).where("img = 0"), 3, 2)
 
 
+@query("SELECT img, y * 2 + j AS y, x * 3 + i AS x FROM black, (SELECT unnest(range(2))::INT AS j), (SELECT unnest(range(3))::INT AS i)")
+def integer_upscale_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every image; integer_upscale and its SQL take the first."""
+    return pixels.upscale(derived.black(spark, d), 3, 2)
+
+
 ANGLES = [float(a) for a in range(-7, 8)]
 TANS = ", ".join(f"({a}::DOUBLE, {math.tan(math.radians(a))!r}::DOUBLE)" for a in ANGLES)
 
@@ -202,3 +208,11 @@ for op, expr in {
 
     two_gray.__name__ = f"gray_{op}"
     query(f"SELECT a.img, a.y, a.x, ({expr})::INT AS gray FROM gray a JOIN gray b ON b.img = 1 AND a.y = b.y AND a.x = b.x WHERE a.img = 0")(two_gray)
+
+    def two_gray_all(spark: SparkSession, d: str, op=op) -> DataFrame:
+        """Every image, with itself a column on (the last column comes first); gray_* and their SQL take images 0 and 1."""
+        g = derived.gray(spark, d)
+        return pixels.gray_op(g, g.withColumn("x", (F.col("x") + 1) % WIDTH), op)
+
+    two_gray_all.__name__ = f"gray_{op}_all"
+    query(f"SELECT a.img, a.y, a.x, ({expr})::INT AS gray FROM gray a JOIN gray b ON a.img = b.img AND a.y = b.y AND a.x = (b.x + 1) % 64")(two_gray_all)

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from pagemill.plans import kernel_queries
+from pagemill.plans import kernel_queries, pixel_queries
 from pagemill.sources import derived
 
 
@@ -28,3 +28,21 @@ def test_distance_maps_of_every_image(spark, sf_dir, gray):
         y, x = np.indices(a.shape)
         want = ((y[..., None] - white[:, 0]) ** 2 + (x[..., None] - white[:, 1]) ** 2).min(axis=-1)
         assert np.array_equal(found[k], want)
+
+
+BOTH = {
+    "invert": lambda a, b: 255 - a, "clipped_subtract": lambda a, b: np.maximum(a - b, 0), "unclipped_subtract": lambda a, b: (a - b) % 256, "clipped_add": lambda a, b: np.minimum(a + b, 255),
+    "unclipped_add": lambda a, b: (a + b) % 256, "darkest": np.minimum, "lightest": np.maximum,
+}
+
+
+@pytest.mark.parametrize("op", sorted(BOTH))
+def test_gray_operations_of_every_image(spark, sf_dir, gray, op):
+    found = {(r.img, r.y, r.x): r.gray for r in pixel_queries.QUERIES[f"gray_{op}_all"](spark, sf_dir).collect()}
+    want = {k: BOTH[op](a, np.roll(a, 1, axis=1)) for k, a in gray.items()}
+    assert found == {(k, y, x): v for k, a in want.items() for (y, x), v in np.ndenumerate(a)}
+
+
+def test_upscale_of_every_image(spark, sf_dir, gray):
+    found = sorted((r.img, r.y, r.x) for r in pixel_queries.integer_upscale_all(spark, sf_dir).collect())
+    assert found == sorted((k, y, x) for k, a in gray.items() for y, x in np.argwhere(np.kron(a < 118, np.ones((2, 3)))).tolist())
