@@ -127,7 +127,7 @@ def kernel_skew(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kernel_polygon(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.mapped(black_images(spark, d).limit(1), lambda a: kernels.as_black(rasters.fill_polygon(a.shape, [(5, 5), (60, 20), (30, 90), (40, 40)])), PLACE, binary=True)
+    return kernels.mapped(black_images(spark, d), lambda a: kernels.as_black(rasters.fill_polygon(a.shape, [(5, 5), (60, 20), (30, 90), (40, 40)])), PLACE, binary=True)
 
 
 WOLF = """, l AS (SELECT a.img, a.y, a.x, a.gray, sum(b.gray)::DOUBLE / count(*) AS mean, sum(b.gray * b.gray)::DOUBLE / count(*) AS sq FROM gray a

@@ -46,3 +46,11 @@ def test_gray_operations_of_every_image(spark, sf_dir, gray, op):
 def test_upscale_of_every_image(spark, sf_dir, gray):
     found = sorted((r.img, r.y, r.x) for r in pixel_queries.integer_upscale_all(spark, sf_dir).collect())
     assert found == sorted((k, y, x) for k, a in gray.items() for y, x in np.argwhere(np.kron(a < 118, np.ones((2, 3)))).tolist())
+
+
+def test_polygon_of_every_image(spark, sf_dir, gray):
+    found = {}
+    for r in kernel_queries.kernel_polygon(spark, sf_dir).collect():
+        found.setdefault(r.img, set()).add((r.y, r.x))
+    assert set(found) == set(gray)
+    assert len({frozenset(v) for v in found.values()}) == 1 and (30, 40) in found[0]
