@@ -1,36 +1,37 @@
 """N-gram Jaccard self-join with a token-group matrix, and its components.
 
-A document's set is its distinct N-word shingles, as 64-bit hashes (sets of different documents are compared by
-48 bits of each: a chance of one in ten million for a pair of 5000 shingles to share one wrongly). Documents
-with equal sets are one node. Nodes link when DEN * intersection >= NUM * union (100 and 90: a similarity of 0.9).
+A document's set is its distinct N-word shingles, as 64-bit hashes. Documents with equal sets are one
+node. Nodes link when DEN * intersection >= NUM * union (100 and 90: a similarity of 0.9).
 
 1. A count sketch of fixed size says which shingles are frequent. It only orders tokens: rarer
    classes first, then by hash. Linked sets share k of the first n - ceil(0.9 n) + k tokens of each
-   in any fixed order (prefix filter), for any k up to 0.9 n; k is COMMON or, for small sets, all of
-   0.9 n, so tokens shared by chance or with a passage are not enough. The order changes the work
-   and not the result.
-2. Nodes that have fewer prefix tokens with others than a partner of 0.9 n would share are alone. Texts are read again for the rest.
+   in any fixed order (prefix filter), for any k up to 0.9 n. The order changes the work and not the result.
+2. Nodes that share fewer than k prefix tokens with others are alone; here k is COMMON, n / STEP for large sets and 0.9 n for small ones. Texts are read again for the rest, and their sets written with a sketch of SKETCH_LONGS * 64 bits each.
 3. Groups: nodes with the same smallest token, in order of size, GROUP at a time. A group's
    pairs are counted at once, as the product of the matrix of its members and shared tokens with itself.
-4. Token-group matrix: for each prefix token the groups that have it, a row for each group and not
-   for each node. A node is a query for groups that share k of its tokens and hold nodes of another
-   component there; of two components the smaller asks, so a node apart from a large one asks for
-   its groups and not its every node for the one. For a query of n tokens whose overlap with the union
-   of a group's tokens is below 0.9 n no member can qualify; other groups are opened and members
-   compared. At first nodes ask, for each token, the group of its largest component only, which joins most of
-   what belongs together; components are merged and dealt into groups again; then all groups are asked.
+4. Token-group matrix: for each of the first tokens (k is 1, n / STEP for large sets) the groups that have it, with the union of their
+   members' sketches and the members' sizes. Components are dealt into groups of up to GROUP nodes. A node asks for the groups
+   of larger components. A query of n tokens of which more than n - 0.9 n surely aren't in a group's union, or with no
+   member between 0.9 n and n / 0.9 tokens, does not open the group; this is a condition of the join, so such pairs aren't
+   made. Nor does one that shares fewer than k of its first tokens with the group. For groups that open, the union of the sets themselves bounds the overlap again, then members are compared. At first
+   nodes ask, for each token, the group of its largest component only, which joins most of what belongs together; components
+   are merged and dealt into groups again; then all groups are asked.
 
 Equal texts never meet in pairs, hot smallest tokens are salted (groups may part similar nodes;
-step 4 joins them), hot groups are copied over their queries' shares, and no row is dropped.
+step 4 joins them), hot groups are copied over their queries' shares, tokens are counted with partial sums and
+joined by plain equality, so adaptive execution splits hot ones, and no row is dropped.
 
 Null ids are kept; a component without other ids has a null id. Null texts and texts without words
-have empty sets, which link with nothing. Repeated rows are equal texts. docs is read more than once
+have empty sets, which link with nothing. Repeated rows are equal texts. An empty table gives no rows. Columns other than id and
+text are not looked at, whatever their names. docs is read more than once
 and must give equal rows in equal order, as files do; else an error is raised.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +41,18 @@ from pyspark.sql import functions as F
 from pagemill.llm.chunks import release, runs
 from pagemill.llm.components import components
 from pagemill.llm.op07_byte_bpe import squeeze, unsqueeze
-from pagemill.llm.shared import discard, parts, table, written
+from pagemill.llm.shared import CHANGED, discard, mark, parts, picked, table, written
 from pagemill.llm.wordhash import U, grams, hashed_words, mixed
 
 RUN_BYTES = 4 << 20
 SKETCH_BITS = 21
+#: Longs of a set's sketch, and the columns that hold them.
+SKETCH_LONGS = 8
+BITS = [f"bits{k}" for k in range(SKETCH_LONGS)]
 #: Tokens that prefixes of linked sets have in common at least, or else all that small sets must share.
 COMMON = 24
+#: Large sets have one in STEP of their tokens more in their prefixes, and must share as many.
+STEP = 64
 CHUNKS = 32
 GROUP = 256
 #: Tokens of all members after which a group is full, and cells of a matrix held at once.
@@ -72,15 +78,11 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-def packed(s: np.ndarray) -> bytes:
-    """The high 48 bits of each token: what sets are compared by."""
-    return np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def sketch(s: np.ndarray) -> np.ndarray:
+    """SKETCH_LONGS integers with a bit set for each token."""
+    bits = np.zeros(SKETCH_LONGS * 64, bool)
+    bits[(s & U(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -140,20 +142,29 @@ def group_roots(links: np.ndarray) -> np.ndarray:
 
 
 def prefix(s: np.ndarray, classes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The tokens of which every other set that links with s has common() in its own prefix; none if only equal sets link."""
+    """The tokens of which every other set that links with s has shared_at_least() in its own prefix, in order; none if only equal sets link."""
     n = len(s)
     if n * (den - num) < num:
         return s[:0]
     least = -(-num * n // den)
-    p = n - least + min(COMMON, least)
     key = classes[s & U(len(classes) - 1)].astype(U) << U(58) | s >> U(6)
-    return s[np.argpartition(key, p - 1)[:p]] if p < n else s
+    return s[np.argsort(key, kind="stable")[: n - least + min(max(COMMON, n // STEP), least)]]
+
+
+def least_overlap(n, num: int, den: int):
+    """Column: the tokens that a set of n shares at least with any that links with it."""
+    return F.ceil(n * num / den)
 
 
-def common(n, num: int, den: int):
+def first_tokens(n):
+    """Column: how many tokens linked sets share among their first ones; it grows with n."""
+    return F.greatest(F.lit(1), F.floor(n / STEP))
+
+
+def shared_at_least(n, num: int, den: int):
     """Column: the prefix tokens that a set of n shares at least with any that links with it, the smallest having 0.9 n."""
-    least = lambda x: F.ceil(x * num / den)
-    return F.least(F.lit(COMMON), least(least(n)))
+    smallest = least_overlap(n, num, den)
+    return F.least(F.greatest(F.lit(COMMON), F.floor(smallest / STEP)), least_overlap(smallest, num, den))
 
 
 def _frequencies(d: DataFrame, size: int) -> np.ndarray:
@@ -188,35 +199,14 @@ def small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def _shared(batches):
-    """token, node (sorted by token): those whose token comes in another row too."""
-    held = None
-    for b in batches:
-        tok, node = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if held is not None:
-            tok, node = np.concatenate([held[0], tok]), np.concatenate([held[1], node])
-            before = held[2]
-        else:
-            before = False
-        if not len(tok):
-            continue
-        same = tok[1:] == tok[:-1]
-        keep = np.append(same, False) | np.insert(same, 0, before)
-        # the last row waits for what follows it
-        held = tok[-1:], node[-1:], bool(keep[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(tok[:-1][keep[:-1]]), pa.array(node[:-1][keep[:-1]])], names=["tok", "node"])
-    if held is not None and held[2]:
-        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["tok", "node"])
-
-
-def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, row, kept: a row for each row of docs.
-
-    row: monotonically_increasing_id() of the row in docs. kept: true for one row of each component, that
+def linked_rows(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, row, mark, kept: a row for each row of docs.
+
+    row: monotonically_increasing_id() of the row in docs. mark: a hash of its id and text. kept: true for one row of each component, that
     of the smallest id (null ids last), then the first; true for rows with empty sets.
     """
     spark = docs.sparkSession
-    d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("row", F.monotonically_increasing_id())
+    d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumns({"row": F.monotonically_increasing_id(), "mark": mark(F.col("doc_id"), F.col("text"))})
     n = parts(d)
     classes = spark.sparkContext.broadcast(_frequencies(d, size))
 
@@ -228,33 +218,25 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
                     [
                         b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.array([int(s[0].astype(np.int64)) if len(s) else None for s in sets], pa.int64()),
-                        pa.array([prefix(s, classes.value, num, den).view(np.int64) for s in sets], pa.list_(pa.int64())),
+                        pa.array([prefix(s, classes.value, num, den).view(np.int64) for s in sets], pa.list_(pa.int64())), b.column(3),
                     ],
-                    names=["doc_id", "row", "n", "sig", "least", "prefix"],
+                    names=["doc_id", "row", "n", "sig", "least", "prefix", "mark"],
                 )
 
-    all_docs = written(d.mapInArrow(describe, "doc_id long, row long, n long, sig binary, least long, prefix array<long>"), "shingle-sets")
-    one = F.min(F.struct("row", "n", "least")).alias("x")
+    all_docs = written(d.mapInArrow(describe, "doc_id long, row long, n long, sig binary, least long, prefix array<long>, mark long"), "shingle-sets")
+    one = F.min(F.struct("row", "n", "least", "prefix")).alias("x")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("best")
     nodes = all_docs.where("n > 0").groupBy("sig").agg(one, best)
-    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "sig", "best", "x.row", "x.n", "x.least"), "shingle-nodes")
-
-    prefixes = all_docs.where("size(prefix) > 0").select("row", "prefix").join(nodes.select("node", "row"), "row")
-    tokens = prefixes.select(F.explode("prefix").alias("tok"), "node").repartition(n, "tok").sortWithinPartitions("tok")
-    sizes = nodes.select("node", "n")
-
-    def with_enough(counts: DataFrame) -> DataFrame:
-        """counts: node and c, its tokens in common."""
-        return counts.join(sizes, "node").where(F.col("c") >= common(F.col("n"), num, den)).drop("c", "n")
-
-    def by_node(found: DataFrame) -> DataFrame:
-        return with_enough(found.groupBy("node").agg(F.count(F.lit(1)).alias("c")))
-
-    all_shared = written(tokens.mapInArrow(_shared, "tok long, node long"), "shared-tokens")
-    tokens = all_shared.join(by_node(all_shared), "node").select("tok", "node").repartition(n, "tok").sortWithinPartitions("tok")
-    shared = written(tokens.mapInArrow(_shared, "tok long, node long"), "shared-tokens")  # with nodes that are left
-    discard(all_shared)
-    some = nodes.join(by_node(shared), "node").select("node", "row", "sig", "least")
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "sig", "best", "x.row", "x.n", "x.least", "x.prefix"), "shingle-nodes")
+
+    early = F.col("pos") < F.col("n") - least_overlap(F.col("n"), num, den) + first_tokens(F.col("n"))
+    tokens = nodes.where("size(prefix) > 0").select("node", "n", F.posexplode("prefix").alias("pos", "tok")).select("tok", "node", early.alias("early"))
+    often = tokens.groupBy("tok").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("tok")
+    in_two = written(tokens.join(often, "tok").select("tok", "node", "early"), "tokens-of-two")
+    counts = in_two.groupBy("node").agg(F.count(F.lit(1)).alias("c")).join(nodes.select("node", "row", "sig", "least", "n"), "node")
+    some = written(counts.where(F.col("c") >= shared_at_least(F.col("n"), num, den)).select("node", "row", "sig", "least"), "nodes-that-share")
+    shared = written(in_two.where("early").join(small(some.select("node")), "node").select("tok", "node"), "shared-tokens")
+    discard(in_two)
     shares = some.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / SALT_NODES).alias("shares"))
     some = written(some.join(shares, "least").withColumn("salt", F.pmod(F.xxhash64("node"), "shares")).drop("shares"), "nodes-to-compare")
 
@@ -264,11 +246,15 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
                 sets = shingle_sets(b.column(0), size)
                 for s, sig in zip(sets, b.column(4).to_pylist(), strict=True):
                     if hashlib.blake2b(s.tobytes(), digest_size=16).digest() != sig:
-                        raise RuntimeError("the input gave other rows on its second reading; write it to a table first")
-                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array([len(s) for s in sets], pa.int64()), pa.array([packed(s) for s in sets], pa.binary())], names=["node", "least", "salt", "n", "tokens"])
+                        raise RuntimeError(CHANGED)
+                bits = np.stack([sketch(s) for s in sets], axis=1) if sets else np.zeros((SKETCH_LONGS, 0), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(1), b.column(2), b.column(3), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), *map(pa.array, bits)],
+                    names=["node", "least", "salt", "n", "tokens", *BITS],
+                )
 
     texts = d.join(small(some), "row").select("text", "node", "least", "salt", "sig")
-    sets = written(texts.mapInArrow(again, "node long, least long, salt long, n long, tokens binary"), "sets-to-compare")
+    sets = written(texts.mapInArrow(again, f"node long, least long, salt long, n long, tokens binary, {', '.join(f'{k} long' for k in BITS)}"), "sets-to-compare")
 
     def group(batches):
         """Sorted by smallest token, share and size: node, root (in the group's components), grp (the first node of the group)."""
@@ -286,13 +272,13 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
                     nodes_, held, size = [], [], 0
                 last = least, salt
                 nodes_.append(node)
-                held.append(unpacked(data))
+                held.append(np.frombuffer(data, U))
                 size += len(held[-1])
         if held:
             yield done()
         release()
 
-    meet = sets.repartition(n, "least", "salt").sortWithinPartitions("least", "salt", "n", "node")
+    meet = sets.select("node", "least", "salt", "n", "tokens").repartition(n, "least", "salt").sortWithinPartitions("least", "salt", "n", "node")
     groups = written(meet.mapInArrow(group, "node long, root long, grp long"), "similar-groups")
 
     def open_groups(batches):
@@ -303,7 +289,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
             for grp, share, kind, node, comp, data in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 if (grp, share) != last:
                     last, members, union, matrix = (grp, share), [], None, None
-                s = unpacked(data)
+                s = np.frombuffer(data, U)
                 if kind == 0:
                     members.append((node, comp, s))
                     continue
@@ -334,31 +320,34 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
         """Links between nodes of different groups and components. labels: node, component."""
         of = groups.join(labels, "node").withColumnRenamed("component", "comp")
         of = of.join(of.groupBy("comp").agg(F.count(F.lit(1)).alias("weight")), "comp")
-        # a component's nodes share groups; nodes that are alone stay with the group they were compared in
         slot = F.pmod(F.xxhash64("node"), F.ceil(F.col("weight") / GROUP))
-        of = of.select("node", "comp", F.struct("weight", "comp").alias("rank"), F.when(F.col("weight") > 1, F.xxhash64("comp", slot)).otherwise(F.xxhash64("grp")).alias("grp"))
-        of = written(of, "components-in-groups")
-        tok = shared.join(of, "node")
-        mixed_tokens = tok.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("tok")
-        tok = written(tok.join(mixed_tokens, "tok").select("tok", "node", "grp", "rank"), "token-groups")
+        of = of.select("node", "comp", F.struct("weight", "comp").alias("rank"), F.xxhash64("comp", slot).alias("grp"))
+        of = written(of.join(sets.select("node", "n", *BITS), "node"), "components-in-groups")
+        tok = shared.join(small(of if not largest_only else of.drop(*BITS)), "node").drop("comp")
+        could = (F.col("grp") != F.col("own")) & (F.col("rank") < F.col("top"))
+        could = could & (F.col("n") * den >= F.col("low") * num) & (F.col("high") * den >= F.col("n") * num)
+        bounds = [F.max("rank").alias("top"), F.min("n").alias("low"), F.max("n").alias("high")]
         if largest_only:
-            matrix = tok.groupBy("tok").agg(F.max(F.struct("rank", "grp")).alias("m")).select("tok", "m.grp", F.col("m.rank").alias("top"))
+            fields = ["top", "grp", "low", "high"]
+            matrix = tok.groupBy("tok", "grp").agg(*bounds).groupBy("tok").agg(F.max(F.struct(*fields)).alias("m")).select("tok", *[f"m.{k}" for k in fields])
         else:
-            matrix = tok.groupBy("tok", "grp").agg(F.max("rank").alias("top"))
-        asking = tok.select("tok", "node", F.col("grp").alias("own"), "rank")
-        pairs = asking.join(matrix, "tok").where("grp <> own AND rank < top").groupBy("node", "grp").agg(F.count(F.lit(1)).alias("c"))
-        pairs = written(with_enough(pairs), "queries")
+            matrix = tok.groupBy("tok", "grp").agg(*bounds, *[F.bit_or(k).alias(f"any_{k}") for k in BITS])
+            absent = reduce(add, [F.bit_count(F.col(k).bitwiseAND(F.bitwise_not(f"any_{k}"))) for k in BITS])
+            could = could & (absent <= F.col("n") - least_overlap(F.col("n"), num, den))
+        asked = tok.withColumnRenamed("grp", "own").join(matrix, "tok").where(could)
+        enough = F.col("c") >= first_tokens(least_overlap(F.col("n"), num, den))
+        pairs = written(asked.groupBy("node", "grp").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n")).where(enough).select("node", "grp"), "queries")
         if not pairs.head(1):
             return pairs.select(F.col("node").alias("a"), F.col("node").alias("b"))
         split = written(pairs.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / SALT_QUERIES).alias("shares")), "query-shares")
         queries = pairs.join(split, "grp").withColumns({"share": F.pmod(F.xxhash64("node"), "shares"), "kind": F.lit(1), "comp": F.col("node")})
-        asked = of.join(split, "grp").withColumns({"share": F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)), "kind": F.lit(0)})
+        opened = of.join(split, "grp").withColumns({"share": F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)), "kind": F.lit(0)})
         cols = ["grp", "share", "kind", "node", "comp"]
-        asked_rows = written(asked.select(cols).unionByName(queries.select(cols)), "asked")
+        asked_rows = written(opened.select(cols).unionByName(queries.select(cols)), "asked")
         both = sets.select("node", "tokens").join(small(asked_rows), "node").select(*cols, "tokens")
         ordered = both.repartition(n, "grp", "share").sortWithinPartitions("grp", "share", "kind", "node")
         links = written(ordered.mapInArrow(open_groups, "a long, b long"), "links")
-        discard(tok, pairs, asked_rows)
+        discard(pairs, asked_rows)
         return links
 
     edges = groups.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
@@ -375,15 +364,20 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     of_sig = written(joined.join(first, "component").select("sig", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row")), "component-ids")
     discard(shared, sets, nodes)
     full = F.col("n") > 0
-    rows = all_docs.select("doc_id", "row", "n", F.when(full, F.col("sig")).alias("sig")).join(of_sig, "sig", "left")
+    rows = all_docs.select("doc_id", "row", "mark", "n", F.when(full, F.col("sig")).alias("sig")).join(of_sig, "sig", "left")
     component = F.when(full, F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "row", (~full | (F.col("row") == F.col("first_row"))).alias("kept"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "row", "mark", (~full | (F.col("row") == F.col("first_row"))).alias("kept"))
+
+
+def jaccard_components(docs: DataFrame, **options) -> DataFrame:
+    """linked_rows() without marks."""
+    return linked_rows(docs, **options).drop("mark")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay, one of each component."""
-    stay = written(jaccard_components(docs, **options).where("kept").select(F.col("row").alias("row__")), "components-kept")
-    return docs.withColumn("row__", F.monotonically_increasing_id()).join(stay, "row__", "left_semi").select(*docs.columns)
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that stay, one of each component, with all their columns."""
+    found = linked_rows(docs, id_col=id_col, text_col=text_col, **options)
+    return picked(docs, written(found.where("kept").select("row", "mark"), "components-kept"), id_col, text_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

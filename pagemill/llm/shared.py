@@ -17,13 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Only where it is unset (tests on one machine) a temporary folder is made and set.
+    Only where it is unset and driver and executors are one process (master local[...]) a temporary folder is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jsc = spark.sparkContext._jsc.sc()
         found = jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="pagemill-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -53,6 +56,27 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+CHANGED = "the input gave other rows on a later reading; write it to a table first"
+
+
+def mark(key: Column, text: Column) -> Column:
+    """A hash of what a row holds, by which a later reading is known to give the same rows."""
+    return F.xxhash64(key, text)
+
+
+def picked(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that stay, with their columns as they are, whatever their names.
+
+    stay: row (monotonically_increasing_id() in docs) and mark of each. A row that isn't there again, or holds
+    something else, raises an error.
+    """
+    d = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"), mark(docs[id_col].cast("long"), docs[text_col]).alias("mark"))
+    s = stay.select(F.col("row").alias("stay_row"), F.col("mark").alias("stay_mark"))
+    both = s.join(d, s["stay_row"] == d["row"], "left")
+    same = F.when(F.col("mark") == F.col("stay_mark"), True).otherwise(F.raise_error(F.lit(CHANGED)).cast("boolean"))
+    return both.where(same).select("doc.*")
+
+
 def write_atomic(uri: str, data: bytes) -> None:
     """Put a file at uri from an executor; a retried task overwrites it with equal bytes."""
     if uri.startswith("file:") or "://" not in uri:
