@@ -1,27 +1,34 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-measures() counts what the rules look at; rules are boolean columns that are true for text to
-reject. cascade() times every rule on a bounded sample (SAMPLE_ROWS rows, a parameter), counts
-what it rejects there, and orders the rules by rejections per second. A CASE evaluates them in
-that order for each row and stops at the first that rejects. The order changes the cost only:
-a row is kept if no rule rejects it, so reruns agree.
-
-Null texts count as empty: all counts are 0 and base_failed is true. Repeated rows give a row each.
+Each rule is an expression of its own over the text, true for text to reject. order() takes a bounded sample (the
+first SAMPLE_ROWS rows of at most SAMPLE_BYTES bytes that Spark delivers, which reads partitions until it has them; both are
+parameters), runs every rule alone on it, once to warm up and then timed, counts what it rejects there, and orders the rules by rejections per
+second. A nested CASE evaluates them in that order for each row and stops at the first that rejects; what several rules look at
+(the array of words) is made when the first rule that needs it is reached, and not before. The
+order changes the cost only: a row is kept if no rule rejects it, so reruns agree.
+
+good() filters by all rules, the base rules among them. judge() returns the counts of every row, so these are made first, and
+rules that look at counts only cost nothing more; the others run for rows that no rule before rejects.
+
+Null texts count as empty: all counts are 0 and base_failed is true. Repeated rows give a row each, an empty table gives none; other
+columns are not looked at, and good() keeps them, whatever their names. Texts of any length are taken whole.
 Eight-word windows are compared by 64-bit hashes of the words' 64-bit hashes, within one text.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.shared import SPACES, WORD, let, table, without
+from pagemill.llm.shared import SPACES, WORD, discard, let, table, without, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS, SAMPLE_BYTES = 1000, 1 << 15
 
 
 def words(text: Column) -> Column:
@@ -61,85 +68,136 @@ def n_repeat_words(w: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(w) <= window, 0).otherwise(let(F.transform(w, lambda x: F.xxhash64(x)), counted)).cast("long")
 
 
-def measures(text: Column) -> Column:
-    """Struct of n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stutter (words equal to the one before)."""
-
-    def of_words(w):
-        same = F.aggregate(F.sequence(F.lit(1), F.size(w)), F.lit(0), lambda a, i: a + F.when(F.get(w, i) == F.get(w, i - 1), 1).otherwise(0))
-        return F.struct(F.size(w).cast("long").alias("n_words"), n_repeat_words(w).alias("n_repeat_words"), F.when(F.size(w) == 0, 0).otherwise(same).cast("long").alias("n_stutter"))
-
-    of_lines = lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))
-    return let(
-        F.struct(let(words(text), of_words).alias("w"), let(lines(text), of_lines).alias("l")),
-        lambda m: F.struct(
-            m["w"]["n_words"].alias("n_words"), F.char_length(without(text, SPACES)).cast("long").alias("word_chars"), n_symbols(text).alias("n_symbols"),
-            m["l"]["n"].alias("n_lines"), m["l"]["dup"].alias("n_dup_lines"), m["w"]["n_repeat_words"].alias("n_repeat_words"), m["w"]["n_stutter"].alias("n_stutter"),
-        ),
-    )
+def n_stutter(w: Column) -> Column:
+    """Words equal to the one before."""
+    same = F.aggregate(F.sequence(F.lit(1), F.size(w)), F.lit(0), lambda a, i: a + F.when(F.get(w, i) == F.get(w, i - 1), 1).otherwise(0))
+    return F.when(F.size(w) == 0, 0).otherwise(same)
 
 
 def letters(text: Column, kind: str) -> Column:
     return F.char_length(F.regexp_replace(text, f"\\P{{{kind}}}+", ""))
 
 
-def rules(text: Column, m: Column) -> dict[str, Column]:
-    """Default rules, true for text to reject; m: measures(text). The limits only meet plain junk."""
-    return {
-        "symbols": m["n_symbols"] * 10 > m["n_words"],
-        "repeated_lines": m["n_dup_lines"] * 10 > m["n_lines"] * 4,
-        "stutter": m["n_stutter"] * 2 > m["n_words"],
-        "word_length": (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 20 * m["n_words"]),
-        "shouting": letters(text, "Lu") * 10 > letters(text, "L") * 6,
-    }
+@dataclass(frozen=True)
+class Facts:
+    """What rules look at. Counts that are known are columns, others are expressions of the text."""
+
+    text: Column
+    words: Column | None = None
+    counts: Column | None = None
+
+    def count(self, name: str, otherwise: Callable[[], Column]) -> Column:
+        return otherwise() if self.counts is None else self.counts[name]
+
+    def n_words(self) -> Column:
+        return self.count("n_words", lambda: F.regexp_count(self.text, F.lit(WORD)) if self.words is None else F.size(self.words))
+
+    def word_chars(self) -> Column:
+        return self.count("word_chars", lambda: F.char_length(without(self.text, SPACES)))
+
+    def n_symbols(self) -> Column:
+        return self.count("n_symbols", lambda: n_symbols(self.text))
+
+    def n_repeat_words(self) -> Column:
+        return self.count("n_repeat_words", lambda: n_repeat_words(self.words))
+
+    def line_share(self, over: Callable[[Column, Column], Column]) -> Column:
+        """over(repeated lines, lines)."""
+        return let(lines(self.text), lambda x: over(F.size(x) - F.size(F.array_distinct(x)), F.size(x)))
+
+
+@dataclass(frozen=True)
+class Rule:
+    """rejects(facts); needs_words: it looks at the array of words."""
+
+    rejects: Callable[[Facts], Column]
+    needs_words: bool = False
+
+
+#: The rules of the contract.
+BASE = {
+    "too_short": Rule(lambda f: f.n_words() < 20),
+    "repeated_words": Rule(lambda f: 100 * f.n_repeat_words() > 30 * f.n_words(), True),
+}
+#: Default rules. The limits only meet plain junk.
+RULES = {
+    "symbols": Rule(lambda f: f.n_symbols() * 10 > f.n_words()),
+    "repeated_lines": Rule(lambda f: f.line_share(lambda again, n: again * 10 > n * 4)),
+    "stutter": Rule(lambda f: n_stutter(f.words) * 2 > f.n_words(), True),
+    "word_length": Rule(lambda f: (f.word_chars() < 2 * f.n_words()) | (f.word_chars() > 20 * f.n_words())),
+    "shouting": Rule(lambda f: letters(f.text, "Lu") * 10 > letters(f.text, "L") * 6),
+}
 
 
 def order(df: DataFrame, found: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Names by rejections per second on the sample, best first."""
-    sample = df.limit(sample_rows)
+    """Names by rejections per second on the first rows of df, best first. found: columns over df."""
+    rows = df.limit(sample_rows).collect()  # reads partitions, the first one and then more, until it has them
+    sample = written(df.sparkSession.createDataFrame(rows, df.schema).coalesce(1), "rule-sample")
 
     def timed(rule):
         began = time.perf_counter()
         hit = sample.agg(F.sum(F.when(rule, 1).otherwise(0))).head()[0] or 0
         return hit, time.perf_counter() - began
 
-    timed(F.lit(False))
-    floor = timed(F.lit(False))[1]
+    def warm(rule):
+        timed(rule)
+        return timed(rule)
+
+    floor = warm(F.lit(False))[1]
     rate = {}
     for name, rule in found.items():
-        hit, s = timed(rule)
+        hit, s = warm(rule)
         rate[name] = hit / max(s - floor, 1e-3)
+    discard(sample)
     return sorted(found, key=lambda k: (-rate[k], k))
 
 
-def cascade(df: DataFrame, found: dict[str, Column], first: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> Column:
-    """Column: true where neither `first` nor any rule rejects, evaluated in the measured order."""
-    kept = None
-    for rule in ([] if first is None else [first]) + [found[k] for k in order(df, found, sample_rows)]:
-        rule = F.coalesce(rule, F.lit(False))
-        kept = F.when(rule, F.lit(False)) if kept is None else kept.when(rule, F.lit(False))
-    return F.lit(True) if kept is None else kept.otherwise(F.lit(True))
+def measured_order(df: DataFrame, rules: dict[str, Rule], sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> list[str]:
+    """order() of the rules, each alone. df: text."""
+    facts = Facts(F.col("text"))
+
+    def with_words(rule: Rule) -> Column:
+        return let(words(facts.text), lambda w: rule.rejects(replace(facts, words=w)))
 
+    alone = {k: with_words(r) if r.needs_words else r.rejects(facts) for k, r in rules.items()}
+    return order(df.select("text").where(F.octet_length("text") <= sample_bytes), alone, sample_rows)
 
-def base_failed(counts: Column) -> Column:
-    return (counts["n_words"] < 20) | (100 * counts["n_repeat_words"] > 30 * counts["n_words"])
 
+def passes(names: list[str], rules: dict[str, Rule], facts: Facts) -> Column:
+    """True where no rule rejects, evaluated in this order."""
+    if not names:
+        return F.lit(True)
+    first = rules[names[0]]
+    if first.needs_words and facts.words is None:
+        return let(words(facts.text), lambda w: passes(names, rules, replace(facts, words=w)))
+    return F.when(F.coalesce(first.rejects(facts), F.lit(False)), F.lit(False)).otherwise(passes(names[1:], rules, facts))
 
-def good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that pass."""
-    text, counts = F.coalesce(docs[text_col], F.lit("")), F.col("m__")
-    m = docs.withColumn("m__", measures(text))
-    return m.where(cascade(m, rules(text, counts), base_failed(counts))).select(*docs.columns)
 
+def good(docs: DataFrame, text_col: str = "text", rules: dict[str, Rule] = BASE | RULES) -> DataFrame:
+    """The rows of docs that pass, with all their columns."""
+    d = docs.select(F.struct("*").alias("doc"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    return d.where(passes(measured_order(d, rules), rules, Facts(F.col("text")))).select("doc.*")
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: dict[str, Rule] = RULES) -> DataFrame:
     """doc_id, the counts, base_failed and kept, a row for each row of docs."""
-    text = F.coalesce(F.col("text__"), F.lit(""))
-    m = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text__")).withColumn("m__", measures(text))
-    counts = F.col("m__")
-    base = base_failed(counts)
-    kept = cascade(m, rules(text, counts), base)
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return m.select("doc_id", *[counts[k].alias(k) for k in names], base.alias("base_failed"), kept.alias("kept"))
+    d = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    names, text = measured_order(d, rules), F.col("text")
+    counted = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+    def of_words(w):
+        f = Facts(text, w)
+        counts = dict(zip(counted, (f.n_words(), f.word_chars(), f.n_symbols(), f.line_share(lambda again, n: again), f.n_repeat_words()), strict=True))
+
+        def verdict(c):
+            base = BASE["too_short"].rejects(replace(f, counts=c)) | BASE["repeated_words"].rejects(replace(f, counts=c))
+            kept = F.when(base, F.lit(False)).otherwise(passes(names, rules, replace(f, counts=c)))
+            return F.struct(*[c[k].alias(k) for k in counted], base.alias("base_failed"), kept.alias("kept"))
+
+        return let(F.struct(*[v.cast("long").alias(k) for k, v in counts.items()]), verdict)
+
+    m = d.select("doc_id", let(words(text), of_words).alias("m"))
+    return m.select("doc_id", *[F.col(f"m.{k}") for k in (*counted, "base_failed", "kept")])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
