@@ -11,8 +11,8 @@ can match them:
 1. Every window of WINDOW words has an anchor, the ANCHOR consecutive words in it with the
    smallest hash (the leftmost of equal ones); equal windows have equal anchors. Consecutive
    windows with the same anchor are a unit, some 25 words. Anchors are counted over the corpus: each
-   block of documents sends its distinct anchors, sorted and packed, by ranges of their hash.
-2. Units whose anchor is unique are done. The others are sent to the shard of their anchor. Of
+   block of documents sends a row for each of its distinct anchors, and those that come again are named to their blocks.
+2. Units whose anchor is unique are done. The others are sent to the shard of their anchor, a row each. Of
    equal units a block sends the first and marks the rest; units of anchors with more than HOT
    occurrences are sent as single windows by the windows' own hashes, so no group holds more
    than one row a block of any content, whatever share of the corpus a passage has.
@@ -21,11 +21,13 @@ can match them:
    Units with other windows left join the automaton, so it holds each reference text once.
 4. Windows found go back to their blocks, where the covered words are removed.
 
+The work for a block depends on its own size only, not on the number of blocks or partitions.
+
 "Earlier" is by document id (null ids last), then by place in the input, then by position. Null
 texts have no words. Rows with the same id are documents of their own, the first in the input
 counting as earlier. The input is read once for step 1 and again for step 2 and must give the
 same rows in the same order, as files do; a difference raises an error. Words are compared by
-64-bit hashes.
+64-bit hashes. An empty table gives no rows, columns other than id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.op07_byte_bpe import batch, squeeze, unsqueeze
-from pagemill.llm.shared import parts, table, written
+from pagemill.llm.shared import CHANGED, parts, table, written
 from pagemill.llm.chunks import release, runs
 from pagemill.llm.wordhash import grams, hashed_words
 
@@ -47,7 +49,6 @@ ANCHOR = 7
 HOT = 2000
 BLOCK_BYTES = 10 << 20
 DOCS_BYTES = 2 << 20
-SPREAD = 4
 NULL_ID = (1 << 63) - 1
 
 
@@ -193,12 +194,33 @@ def _blocks(batches):
         yield block()
 
 
-def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Ranges of the hash, in order."""
-    return ((hashes >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+#: Rows that go to a block: 0 for a repeated anchor (key, n: 1, or 2 for a hot one; -1 with a checksum of all), 1 for texts.
+TO_BLOCK = "block long, kind int, key long, n int, data binary"
+#: Rows that leave a block: 0 for a unit (key, the rest of it, words as hashes), 1 for documents with repeated anchors, 2 for results of those without.
+FROM_BLOCK = "block long, kind int, key long, id long, doc int, start int, windows int, data binary"
+
+
+def rows_of(schema: str, count: int, /, **columns) -> pa.RecordBatch:
+    """count rows; columns: one value for all, or an array; those that aren't given are null."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    arrays, names = [], []
+    for name, kind in (c.split() for c in schema.split(", ")):
+        v, t = columns.get(name), kinds[kind]
+        if v is None:
+            arrays.append(pa.nulls(count, t))
+        elif isinstance(v, np.ndarray):
+            arrays.append(pa.array(v.view(np.int64) if v.dtype == np.uint64 else v).cast(t))
+        else:
+            arrays.append(pa.array(v if isinstance(v, list) else [v] * count, t))
+        names.append(name)
+    return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def checksum(anchors: np.ndarray) -> int:
+    """Of distinct anchors."""
+    return int(np.bitwise_xor.reduce(anchors, initial=np.uint64(len(anchors))).astype(np.int64))
 
 
-ROW = "block long, kind int, bucket int, data binary"
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -229,84 +251,89 @@ class Text:
         return batch(out, ("doc_id", "n_words", "n_removed", "kept"), (pa.int64(), pa.int64(), pa.int64(), pa.string()))
 
 
-def match_units(contents: list[bytes], window: int) -> list[list[tuple[int, int]]]:
-    """For each unit (words as 8-byte hashes), in order, runs (first window, number) of windows that an earlier unit has."""
-    found: list[list[tuple[int, int]]] = [[]]
-    seen, automaton = {contents[0]}, None
-    for x in contents[1:]:
+class UnitMatcher:
+    """Takes the units of an anchor (words as 8-byte hashes) in order, and gives for each the runs (first window, number) of
+    windows that an earlier one has."""
+
+    def __init__(self, window: int):
+        self.window, self.seen, self.first, self.automaton = window, set(), None, None
+
+    def match(self, x: bytes) -> list[tuple[int, int]]:
         n = len(x) // 8
-        if x in seen:
-            found.append([(0, n - window + 1)])
-            continue
-        seen.add(x)
-        if automaton is None:
-            automaton = SuffixAutomaton()
-            automaton.add(np.frombuffer(contents[0], "<u8").tolist())
+        if x in self.seen:
+            return [(0, n - self.window + 1)]
+        self.seen.add(x)
+        if self.first is None:
+            self.first = x
+            return []
+        if self.automaton is None:
+            self.automaton = SuffixAutomaton()
+            self.automaton.add(np.frombuffer(self.first, "<u8").tolist())
         sequence = np.frombuffer(x, "<u8").tolist()
         own: list[tuple[int, int]] = []
-        for i, m in enumerate(automaton.statistics(sequence)):
-            if m >= window:
-                s = i + 1 - window
+        for i, m in enumerate(self.automaton.statistics(sequence)):
+            if m >= self.window:
+                s = i + 1 - self.window
                 if own and own[-1][0] + own[-1][1] == s:
                     own[-1] = (own[-1][0], own[-1][1] + 1)
                 else:
                     own.append((s, 1))
-        if sum(c for _, c in own) < n - window + 1:
-            automaton.add(sequence)
-        found.append(own)
-    return found
+        if sum(c for _, c in own) < n - self.window + 1:
+            self.automaton.add(sequence)
+        return own
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT, result=Digest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs, as `result` gives it (Digest, Text)."""
     d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), (F.spark_partition_id() + 1).cast("long").alias("part"))
     n = parts(d)
-    buckets = n * SPREAD
 
     def anchors_of(batches):
         for number, _, texts in _blocks(batches):
             found, *_ = units(*hashed_words(texts), window, anchor)
             distinct, times = np.unique(found, return_counts=True)
-            to = _bucket(distinct, buckets)
-            ends = np.searchsorted(to, np.arange(buckets + 1))
-            for k in range(buckets):
-                if ends[k] < ends[k + 1]:
-                    cut = slice(ends[k], ends[k + 1])
-                    yield batch([(number, 0, k, squeeze((distinct[cut], np.minimum(times[cut], hot + 1).astype("<u4"))))])
+            yield rows_of("anchor long, block long, times long", 1, anchor=checksum(distinct), block=number, times=-1)
+            if len(distinct):
+                yield rows_of("anchor long, block long, times long", len(distinct), anchor=distinct, block=number, times=times)
 
     def count_anchors(batches):
-        """Sorted by bucket: 0 for unique anchors, 1 for repeated, 2 for hot ones, back to each block."""
-        held, bucket = [], None
+        """Sorted by anchor: those that come twice or more, to each of their blocks; checksums as they are."""
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def done():
-            every = np.concatenate([h for _, h, _ in held])
-            distinct, where = np.unique(every, return_inverse=True)
-            total = np.bincount(where, np.concatenate([t for _, _, t in held]), len(distinct))
-            kind = (total > 1).astype(np.uint8) + (total > hot)
-            for block, h, _ in held:
-                yield batch([(block, 0, bucket, squeeze(kind[np.searchsorted(distinct, h)]))])
+        def counted(anchors, blocks, times):
+            first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
+            total = np.repeat(np.add.reduceat(times, first), np.diff(np.append(first, len(anchors))))
+            some = total > 1
+            if some.any():
+                yield rows_of(TO_BLOCK, int(some.sum()), block=blocks[some], kind=0, key=anchors[some], n=(1 + (total[some] > hot)).astype(np.int32))
 
         for b in batches:
-            for block, k, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if k != bucket and held:
-                    yield from done()
-                    held = []
-                bucket = k
-                held.append((block, *unsqueeze(data)))
+            anchors, blocks, times = (c.to_numpy() for c in b.columns)
+            if (sums := times < 0).any():
+                yield rows_of(TO_BLOCK, int(sums.sum()), block=blocks[sums], kind=0, key=anchors[sums], n=-1)
+                anchors, blocks, times = anchors[~sums], blocks[~sums], times[~sums]
+            if not len(anchors):
+                continue
+            held.append((anchors, blocks, times))
+            if held[0][0][0] != anchors[-1]:  # the last anchor may go on in the next batch
+                whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+                cut = int(np.searchsorted(whole[0], anchors[-1]))
+                yield from counted(*(x[:cut] for x in whole))
+                held = [tuple(x[cut:] for x in whole)]
         if held:
-            yield from done()
+            yield from counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     def texts_of(batches):
         for number, ids, texts in _blocks(batches):
             start = k = 0
             for run in runs(pa.record_batch([texts], names=["text"]), 0, DOCS_BYTES):
-                yield batch([(number, 1, k, squeeze((ids[start : start + run.num_rows], run.column(0).to_pylist())))])
+                yield rows_of(TO_BLOCK, 1, block=number, kind=1, key=k, data=squeeze((ids[start : start + run.num_rows], run.column(0).to_pylist())))
                 start, k = start + run.num_rows, k + 1
 
     def route(batches):
-        """Sorted by block, kind: the kinds of the block's anchors, then its texts. Kind 0: units for a
-        bucket; 1: documents with repeated anchors, with what the block knows to go; 2: the results of those without."""
-        block, kinds, held = None, [], []
+        """Sorted by block, kind: the block's repeated anchors, then its texts. Gives FROM_BLOCK; documents with repeated anchors come
+        with what the block knows to go."""
+        block, named, held = None, [], []
 
         def done():
             ids = np.concatenate([x for x, _ in held])
@@ -314,11 +341,18 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int
             texts = pa.array(listed, pa.string())
             h, at = hashed_words(texts)
             found, doc, first, count = units(h, at, window, anchor)
-            distinct, where = np.unique(found, return_inverse=True)
-            kind = np.concatenate([np.zeros(0, np.uint8), *kinds])
-            if len(kind) != len(distinct):
-                raise RuntimeError("the input gave other rows on its second reading; write it to a table first")
-            kind = kind[where] if len(where) else kind
+            if not named:
+                raise RuntimeError(CHANGED)
+            keys_, values = (np.concatenate(x) for x in zip(*named, strict=True))
+            sums, keys_, values = keys_[values < 0], keys_[values > 0], values[values > 0]
+            order = np.argsort(keys_)
+            keys_, values = keys_[order], values[order]
+            if sums.tolist() != [checksum(np.unique(found))]:
+                raise RuntimeError(CHANGED)
+            kind = np.zeros(len(found), np.int32)
+            if len(keys_):
+                at_key = np.minimum(np.searchsorted(keys_, found.view(np.int64)), len(keys_) - 1)
+                kind = np.where(keys_[at_key] == found.view(np.int64), values[at_key], 0)
             some = np.flatnonzero(kind)
             # (hash, document, first window, windows) of what is compared: units, or windows of hot anchors
             cold = some[kind[some] == 1]
@@ -349,13 +383,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int
                     sent.append(i)
                     contents.append(x)
             sent = np.array(sent, np.int64)
-            to = _bucket(keys[sent], buckets)
-            ends = np.searchsorted(to, np.arange(buckets + 1))
-            for k in range(buckets):
-                a, z = int(ends[k]), int(ends[k + 1])
-                if a < z:
-                    own = sent[a:z]
-                    yield batch([(block, 0, k, squeeze((keys[own], ids[docs_[own]], docs_[own].astype("<u4"), starts[own].astype("<u4"), counts[own].astype("<u4"), b"".join(contents[a:z]))))])
+            if len(sent):
+                yield rows_of(FROM_BLOCK, len(sent), block=block, kind=0, key=keys[sent], id=ids[docs_[sent]], doc=docs_[sent], start=starts[sent], windows=counts[sent], data=contents)
             local = np.array(local, np.int64)
             gone = docs_[local], starts[local], counts[local]
             touched = np.zeros(len(ids), bool)
@@ -371,94 +400,85 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int
                             data = squeeze((run, ids[run], [listed[j] for j in run], [x[own] for x in gone]))
                         else:  # nothing goes, so the rows are ready
                             data = squeeze(result.rows([(int(ids[j]), listed[j].encode().split(), None) for j in run]).to_pydict())
-                        yield batch([(block, kind_, run[0] & 0x7FFFFFFF, data)])
+                        yield rows_of(FROM_BLOCK, 1, block=block, kind=kind_, key=run[0], data=data)
                         run, size = [], 0
             release()
 
         for b in batches:
-            for at_, kind_, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if at_ != block:
+            at, of = b.column(0).to_numpy(), b.column(1).to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (of[1:] != of[:-1])])).tolist() if len(at) else []
+            for a, z in zip(edge, [*edge[1:], len(at)], strict=True):
+                if at[a] != block:
                     if held:
                         yield from done()
-                    block, kinds, held = at_, [], []
-                (held if kind_ else kinds).append(unsqueeze(data))
+                    block, named, held = int(at[a]), [], []
+                if of[a] == 0:
+                    named.append((b.column(2)[a:z].to_numpy(), b.column(3)[a:z].to_numpy()))
+                else:
+                    held += [unsqueeze(x) for x in b.column(4)[a:z].to_pylist()]
         if held:
             yield from done()
 
     def compare(batches):
-        """Sorted by bucket: the units of an anchor in order past its automaton; windows that go, to their blocks."""
-        held, bucket = [], None
-
-        def done():
-            blocks = np.concatenate([np.full(len(x[0]), b, np.int64) for b, x in held])
-            keys, ids, docs_, starts, counts = (np.concatenate([x[i] for _, x in held]) for i in range(5))
-            contents = []
-            for _, x in held:
-                ends = np.cumsum((x[4].astype(np.int64) + window - 1) * 8).tolist()
-                contents += [x[5][a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
-            order = np.lexsort((starts, docs_, blocks, ids, keys))
-            edge = np.flatnonzero(np.diff(keys[order])) + 1
-            go: dict[int, list] = {}
-            for a, z in zip([0, *edge.tolist()], [*edge.tolist(), len(order)], strict=True):
-                if z - a > 1:
-                    own = order[a:z].tolist()
-                    for i, found in zip(own, match_units([contents[j] for j in own], window), strict=True):
-                        for s, c in found:
-                            go.setdefault(int(blocks[i]), []).append((int(docs_[i]), int(starts[i]) + s, c))
-            for b, x in go.items():
-                yield batch([(b, 0, bucket, squeeze(np.array(x, "<u4")))])
-
+        """Sorted by key and place: the units of an anchor in order past its automaton; windows that go, to their blocks."""
+        key, matcher = None, None
         for b in batches:
-            for block, k, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if k != bucket and held:
-                    yield from done()
-                    held = []
-                bucket = k
-                held.append((block, unsqueeze(data)))
-        if held:
-            yield from done()
+            out = []
+            for k, block, doc, start, data in zip(*(b.column(i).to_pylist() for i in (2, 0, 4, 5, 7)), strict=True):
+                if k != key:
+                    key, matcher = k, UnitMatcher(window)
+                out += [(block, doc, start + s, c) for s, c in matcher.match(data)]
+            if out:
+                blocks, docs_, starts, counts = (np.array(x, np.int64) for x in zip(*out, strict=True))
+                yield rows_of(FROM_BLOCK, len(out), block=blocks, kind=0, key=0, doc=docs_, start=starts, windows=counts)
+        release()
 
     def finish(batches):
         """Sorted by block, kind: windows that go, then documents."""
         block, go = None, []
+
+        def one(run, ids, texts, local):
+            more = np.stack([x.astype(np.int64) for x in local], axis=1)
+            more = more[np.argsort(more[:, 0], kind="stable")]
+            for j, i in enumerate(run):
+                w, mask = texts[j].encode().split(), None
+                for x in (go, more):
+                    a, z = np.searchsorted(x[:, 0], [i, i + 1])
+                    if a < z:
+                        if mask is None:
+                            mask = np.zeros(len(w) + 1, np.int64)
+                        np.add.at(mask, x[a:z, 1], 1)
+                        np.add.at(mask, x[a:z, 1] + x[a:z, 2] + window - 1, -1)
+                yield int(ids[j]), w, None if mask is None else np.cumsum(mask)[:-1] == 0
+
         for b in batches:
-            for at_, kind_, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if at_ != block:
-                    block, go = at_, []
-                if kind_ == 0:
-                    go.append(unsqueeze(data))
+            at, of = b.column(0).to_numpy(), b.column(1).to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (of[1:] != of[:-1])])).tolist() if len(at) else []
+            for a, z in zip(edge, [*edge[1:], len(at)], strict=True):
+                if at[a] != block:
+                    block, go = int(at[a]), []
+                if of[a] == 0:
+                    go.append(np.stack([b.column(i)[a:z].to_numpy() for i in (4, 5, 6)], axis=1))
                     continue
                 if isinstance(go, list):
-                    go = np.concatenate([np.zeros((0, 3), "<u4"), *go]).astype(np.int64)
+                    go = np.concatenate([np.zeros((0, 3), np.int64), *go]).astype(np.int64)
                     go = go[np.argsort(go[:, 0], kind="stable")]
-                run, ids, texts, local = unsqueeze(data)
-                more = np.stack([x.astype(np.int64) for x in local], axis=1)
-                more = more[np.argsort(more[:, 0], kind="stable")]
-                rows = []
-                for j, i in enumerate(run):
-                    w, mask = texts[j].encode().split(), None
-                    for x in (go, more):
-                        a, z = np.searchsorted(x[:, 0], [i, i + 1])
-                        if a < z:
-                            if mask is None:
-                                mask = np.zeros(len(w) + 1, np.int64)
-                            np.add.at(mask, x[a:z, 1], 1)
-                            np.add.at(mask, x[a:z, 1] + x[a:z, 2] + window - 1, -1)
-                    rows.append((int(ids[j]), w, None if mask is None else np.cumsum(mask)[:-1] == 0))
-                yield result.rows(rows)
+                for data in b.column(7)[a:z].to_pylist():
+                    yield result.rows(list(one(*unsqueeze(data))))
 
     def unpack(batches):
         for b in batches:
-            for data in b.column(3).to_pylist():
+            for data in b.column(7).to_pylist():
                 yield pa.RecordBatch.from_pydict(unsqueeze(data), schema=result.arrow)
 
     def spread(df, key, *more):
         return df.repartition(n, key).sortWithinPartitions(key, *more)
 
-    kinds = spread(d.mapInArrow(anchors_of, ROW), "bucket").mapInArrow(count_anchors, ROW)
-    routed = written(spread(kinds.unionByName(d.mapInArrow(texts_of, ROW)), "block", "kind", "bucket").mapInArrow(route, ROW), "substring-units")
-    gone = spread(routed.where("kind = 0"), "bucket").mapInArrow(compare, ROW)
-    touched = spread(gone.unionByName(routed.where("kind = 1")), "block", "kind", "bucket").mapInArrow(finish, result.schema)
+    anchors = spread(d.mapInArrow(anchors_of, "anchor long, block long, times long"), "anchor")
+    to_blocks = anchors.mapInArrow(count_anchors, TO_BLOCK).unionByName(d.mapInArrow(texts_of, TO_BLOCK))
+    routed = written(spread(to_blocks, "block", "kind", "key").mapInArrow(route, FROM_BLOCK), "substring-units")
+    gone = spread(routed.where("kind = 0"), "key", "id", "block", "doc", "start").mapInArrow(compare, FROM_BLOCK)
+    touched = spread(gone.unionByName(routed.where("kind = 1")), "block", "kind", "key").mapInArrow(finish, result.schema)
     return touched.unionByName(routed.where("kind = 2").mapInArrow(unpack, result.schema))
 
 
