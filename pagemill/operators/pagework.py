@@ -1,4 +1,4 @@
-"""What the stages compute from one gray page: where to split it, its skew, its content and its output."""
+"""What the stages compute from one gray page: its skew, its place on a turned sheet, and its output. Cuts are in split, content boxes in content."""
 
 from __future__ import annotations
 
@@ -6,98 +6,30 @@ import numpy as np
 
 from pagemill.operators import rasters
 
-#: Shares of the centre and of the page that decide layouts.
-NEAR_CENTRE, EDGE_SPAN, GAP_RATIO, NEARLY_BEST = 0.6, 15, 0.25, 0.9
+#: The confidence of a good angle, bounds of the output's threshold, and the shadow that deskewing takes away at 150 dpi.
 GOOD_CONFIDENCE = 2.0
 LEAST_THRESHOLD, MOST_THRESHOLD = 30, 225
-
-
-def spans(counts: np.ndarray, least: int = 1, gap: int = 1) -> list[tuple[int, int]]:
-    """[from, to) of runs above 0, joined over gaps shorter than `gap`; narrow ones go after that."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], (counts > 0).astype(np.int8), [0]])))
-    out: list[list[int]] = []
-    for a, z in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        if out and a - out[-1][1] < gap:
-            out[-1][1] = z
-        else:
-            out.append([a, z])
-    return [(a, z) for a, z in out if z - a >= least]
-
-
-def without_edge_spans(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans at the edges that hold no more than a fifteenth of all go."""
-    total = sum(z - a for a, z in found)
-    found = list(found)
-    while len(found) > 1 and (found[0][1] - found[0][0]) * EDGE_SPAN <= total:
-        found.pop(0)
-    while len(found) > 1 and (found[-1][1] - found[-1][0]) * EDGE_SPAN <= total:
-        found.pop()
-    return found
-
-
-def folding_line(g: np.ndarray) -> int | None:
-    """The column of a dark vertical fold near the middle: darkest against its surroundings over most of the height."""
-    level = rasters.blur(g, 1.0, 8.0).astype(np.int64)
-    n = max(3, g.shape[1] // 40)
-    around = rasters.erode_gray(level.astype(np.uint8), 2 * n + 1, 1).astype(np.int64)
-    depth = np.median(around - level, axis=0)
-    x = int(np.argmax(depth))
-    middle = (g.shape[1] - 1) / 2
-    return x if depth[x] >= 20 and abs(x - middle) <= NEAR_CENTRE * g.shape[1] / 2 else None
-
-
-def split_page(g: np.ndarray, layout: str = "auto") -> tuple[str, list[int]]:
-    """(layout, columns of the cutters): 0 for an uncut page, 2 for a page with an offcut, 1 for two pages."""
-    h, w = g.shape
-    if layout == "single_uncut":
-        return layout, []
-    if layout == "auto":
-        layout = "two_pages" if w > h else "page_plus_offcut"
-    if layout == "two_pages" and (x := folding_line(g)) is not None:
-        return layout, [x]
-    b = rasters.despeckle(g < rasters.otsu(g), "aggressive", 100)
-    found = without_edge_spans(spans(b.sum(axis=0), 2, max(2, w // 100)))
-    if layout == "two_pages":
-        return layout, [two_page_cut(found, w)]
-    if not found:
-        return "single_uncut", []
-    left, right = found[0][0], found[-1][1]
-    return ("single_uncut", []) if left <= w // 50 and right >= w - w // 50 else (layout, [left // 2, (right + w) // 2])
-
-
-def two_page_cut(found: list[tuple[int, int]], w: int) -> int:
-    """The gap that parts the content best (by the ratio of the widths before and after), then the widest among its like."""
-    if len(found) < 2:
-        return single_span_cut(found[0], w) if found else w // 2
-    widths = np.cumsum([z - a for a, z in found])
-    ratio = np.minimum(widths[:-1], widths[-1] - widths[:-1]) / np.maximum(widths[:-1], widths[-1] - widths[:-1])
-    if ratio.max() < GAP_RATIO:
-        return single_span_cut((found[0][0], found[-1][1]), w)
-    gaps = np.array([found[i + 1][0] - found[i][1] for i in range(len(found) - 1)])
-    best = int(np.argmax(np.where(ratio >= NEARLY_BEST * ratio.max(), gaps, -1)))
-    return (found[best][1] + found[best + 1][0]) // 2
-
-
-def single_span_cut(span: tuple[int, int], w: int) -> int:
-    """All content on one side of the middle: its edge towards the middle; else the middle."""
-    a, z = span
-    if z <= w // 2:
-        return (z + w) // 2 if w - z > w // 2 else z
-    return a if a >= w // 2 else w // 2
-
-
-def page_outlines(w: int, h: int, layout: str, cutters: list[int]) -> dict[int, tuple[int, int, int, int]]:
-    """Sub-page -> left, top, right, bottom."""
-    if layout == "two_pages":
-        return {1: (0, 0, cutters[0], h), 2: (cutters[0], 0, w, h)}
-    return {0: (cutters[0], 0, cutters[1], h) if cutters else (0, 0, w, h)}
-
-
-def skew(g: np.ndarray) -> tuple[float, float]:
-    """(angle, confidence): long horizontal shadows are taken away first; an uncertain angle is 0."""
-    b = g < rasters.otsu(g)
-    shadow = rasters.opened(b, max(3, b.shape[1] // 4), max(2, b.shape[0] // 60))
-    angle, confidence = rasters.find_skew(b & ~rasters.fill_from(shadow, b) if shadow.any() else b)
+SHADOW = (200, 14)
+
+
+def without_shadows(b: np.ndarray, dpi: float) -> np.ndarray:
+    """A page without long horizontal shadows, which are looked for at less than 200 dpi."""
+    small, at = b, dpi
+    while at >= 200:
+        small, at = rasters.reduce(small, 2), at / 2
+    size = [max(1, int((n * at + 75) // 150)) for n in SHADOW]
+    seed = rasters.opened(small, *size, True)
+    k = round(dpi / at)
+    whole = np.zeros_like(b)
+    large = rasters.upscale(seed, k, k)[: b.shape[0], : b.shape[1]]
+    whole[: large.shape[0], : large.shape[1]] = large
+    return b & ~rasters.fill_from(whole & b, b)
+
+
+def skew(g: np.ndarray, dpi: float = 100) -> tuple[float, float]:
+    """(angle, confidence); an uncertain angle is 0. Pages of less than 200 dpi are not halved."""
+    halved = {} if dpi >= 200 else {"coarse": 0, "fine": 0}
+    angle, confidence = rasters.find_skew(without_shadows(g < rasters.otsu(g), dpi), **halved)
     return (angle, confidence) if confidence >= GOOD_CONFIDENCE else (0.0, confidence)
 
 
@@ -112,41 +44,6 @@ def rotated(g: np.ndarray, degrees: float, outside: int = 255) -> np.ndarray:
     return rasters.transform_gray(g, m, h, w, outside)
 
 
-def content_box(g: np.ndarray) -> tuple[int, int, int, int] | None:
-    """left, top, right, bottom of the content: local binarization, shadows along the edges away, specks away, then the box of
-    components that are larger than dots, trimmed where a side holds almost nothing."""
-    side = max(3, min(51, min(g.shape) // 2))
-    b = rasters.wolf(g, side, side)
-    for w, h in ((max(8, g.shape[1] // 3), 3), (3, max(8, g.shape[0] // 3))):
-        shadow = rasters.opened(b, w, h)
-        if shadow.any():
-            edge = np.zeros_like(b)
-            edge[0] = edge[-1] = True
-            edge[:, 0] = edge[:, -1] = True
-            b &= ~rasters.fill_from(shadow & rasters.fill_from(edge & b, b), b)
-    b = rasters.despeckle(b, "normal", 150)
-    boxes = rasters.component_boxes(rasters.labels(b))
-    boxes = boxes[boxes[:, 5] >= 4]
-    if not len(boxes):
-        return None
-    left, top, right, bottom = int(boxes[:, 1].min()), int(boxes[:, 2].min()), int(boxes[:, 3].max()) + 1, int(boxes[:, 4].max()) + 1
-    while True:
-        area = b[top:bottom, left:right]
-        total, before = area.sum(), (left, top, right, bottom)
-        rows, columns = spans(area.sum(axis=1), 1, 4), spans(area.sum(axis=0), 1, 4)
-        if len(rows) > 1 and area[rows[0][0] : rows[0][1]].sum() * 200 < total:
-            top += rows[1][0]
-        elif len(rows) > 1 and area[rows[-1][0] : rows[-1][1]].sum() * 200 < total:
-            bottom = top + rows[-2][1]
-        elif len(columns) > 1 and area[:, columns[0][0] : columns[0][1]].sum() * 200 < total:
-            left += columns[1][0]
-        elif len(columns) > 1 and area[:, columns[-1][0] : columns[-1][1]].sum() * 200 < total:
-            right = left + columns[-2][1]
-        if (left, top, right, bottom) == before:
-            break
-    return (left, top, right, bottom) if right - left >= 8 and bottom - top >= 8 else None
-
-
 def normalised(g: np.ndarray) -> np.ndarray:
     """Levels relative to the estimated background, which becomes white."""
     paper = rasters.background(g).astype(np.int64)

@@ -49,8 +49,8 @@ def erode(b: np.ndarray, w: int, h: int, outside: bool = True) -> np.ndarray:
     return ~dilate(~b, w, h, not outside)
 
 
-def opened(b: np.ndarray, w: int, h: int) -> np.ndarray:
-    e = erode(b, w, h, False)
+def opened(b: np.ndarray, w: int, h: int, outside: bool = False) -> np.ndarray:
+    e = erode(b, w, h, outside)
     return sliding(sliding(e, w // 2, w - w // 2 - 1, 1, False, np.maximum), h // 2, h - h // 2 - 1, 0, False, np.maximum)
 
 
@@ -73,8 +73,11 @@ def open_gray(g: np.ndarray, w: int, h: int) -> np.ndarray:
     return dilate_gray(erode_gray(g, w, h), w, h)
 
 
-def close_gray(g: np.ndarray, w: int, h: int) -> np.ndarray:
-    return erode_gray(dilate_gray(g, w, h), w, h)
+def close_gray(g: np.ndarray, w: int, h: int, outside: int | None = None) -> np.ndarray:
+    """outside: a level around the image for both steps; else what changes nothing."""
+    if outside is None:
+        return erode_gray(dilate_gray(g, w, h), w, h)
+    return erode_gray(dilate_gray(np.pad(g, ((h, h), (w, w)), constant_values=outside), w, h, outside), w, h, outside)[h:-h, w:-w]
 
 
 def gradient_dark(g: np.ndarray, w: int, h: int) -> np.ndarray:
@@ -166,34 +169,44 @@ def nearest(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     use_up = (up >= 0) & ((rows - up <= down - rows) | (down >= h))
     near = np.where(use_up, up, np.where(down < h, down, -1))
     gap = np.where(near >= 0, np.abs(rows - near), 10**6).astype(np.int64)
-    dist, source = np.empty((h, w), np.int64), np.empty((h, w), np.int64)
-    for y in range(h):
-        f = gap[y] ** 2
-        stack, starts = [0], [0]
-        for q in range(1, w):
-            while stack:
-                p = stack[-1]
-                s = (q * q - p * p + int(f[q]) - int(f[p])) // (2 * (q - p)) + 1  # q is better from s on
-                if s <= starts[-1]:
-                    stack.pop()
-                    starts.pop()
-                else:
-                    break
-            if not stack:
-                stack, starts = [q], [0]
-            elif s < w:
-                stack.append(q)
-                starts.append(s)
-        own = np.repeat(stack, np.diff([*starts, w]))
-        x = np.arange(w)
-        dist[y] = (x - own) ** 2 + f[own]
-        source[y] = np.where(near[y, own] >= 0, near[y, own] * w + own, -1)
-    return dist, source
-
-
-def distance_map(b: np.ndarray, to_black: bool = False, borders: bool = True) -> np.ndarray:
-    """Squared distances to the nearest white (or black) pixel; with borders the outside counts as well."""
-    seeds = np.pad(b == to_black, 1, constant_values=borders)
+    # all rows at once: the parabola of column q takes over from the last one on the row's stack, after those it hides went
+    f = gap * gap
+    row = np.arange(h)
+    stack, starts, top = np.zeros((h, w), np.int64), np.zeros((h, w), np.int64), np.zeros(h, np.int64)
+    for q in range(1, w):
+        todo, at = row, np.zeros(h, np.int64)
+        while len(todo):
+            p = stack[todo, top[todo]]
+            better = (q * q - p * p + f[todo, q] - f[todo, p]) // (2 * (q - p)) + 1  # q is better from here on
+            hidden = better <= starts[todo, top[todo]]
+            at[todo] = better
+            todo = todo[hidden]
+            top[todo] -= 1
+            alone = todo[top[todo] < 0]
+            at[alone] = 0
+            todo = todo[top[todo] >= 0]
+        push = row[at < w]
+        top[push] += 1
+        stack[push, top[push]], starts[push, top[push]] = q, at[push]
+    held = np.arange(w)[None, :] <= top[:, None]
+    place = np.zeros((h, w), np.int64)
+    r, j = np.nonzero(held)
+    place[r, starts[r, j]] = j
+    own = np.take_along_axis(stack, np.maximum.accumulate(place, axis=1), axis=1)
+    dist = (np.arange(w)[None, :] - own) ** 2 + np.take_along_axis(f, own, axis=1)
+    by = np.take_along_axis(near, own, axis=1)
+    return dist, np.where(by >= 0, by * w + own, -1)
+
+
+#: Where the line outside of each side lies in an image with a border of one pixel.
+SIDES = {"top": np.s_[0, :], "bottom": np.s_[-1, :], "left": np.s_[:, 0], "right": np.s_[:, -1]}
+
+
+def distance_map(b: np.ndarray, to_black: bool = False, borders: bool | frozenset[str] = True) -> np.ndarray:
+    """Squared distances to the nearest white (or black) pixel; with borders (all, or some of SIDES) the line outside counts as well."""
+    seeds = np.pad(b == to_black, 1)
+    for side in (SIDES if borders else ()) if isinstance(borders, bool) else borders:
+        seeds[SIDES[side]] = True
     return nearest(seeds)[0][1:-1, 1:-1]
 
 
@@ -305,27 +318,47 @@ def shear_columns(b: np.ndarray, t: float) -> np.ndarray:
     return out
 
 
-def skew_score(b: np.ndarray, degrees: float) -> float:
-    n = shear_columns(b, np.tan(np.radians(degrees))).sum(axis=1).astype(np.int64)
+def skew_score(b: np.ndarray, degrees: float, ratio: float = 1.0) -> float:
+    n = shear_columns(b, np.tan(np.radians(degrees)) / ratio).sum(axis=1).astype(np.int64)
     return float((np.diff(n) ** 2).sum())
 
 
-def find_skew(b: np.ndarray, most: float = 7.0, accuracy: float = 0.1) -> tuple[float, float]:
-    """(angle that the page is turned by, confidence): whole degrees first, then halving around the best.
-    A confidence of 2 is good; too little difference between rows gives 0, 0."""
-    grid = [float(a) for a in np.arange(-most, most + 0.5)]
-    scores = [skew_score(b, a) for a in grid]
-    best = int(np.argmax(scores))
-    angle, top, step = grid[best], scores[best], 0.5
-    mean = sum(scores) / len(scores)
-    while step >= accuracy / 2:
-        near = [(skew_score(b, angle + s), angle + s) for s in (-step, step)]
-        if max(near)[0] > top:
-            top, angle = max(near)
-        step /= 2
-    if top <= 1000:
-        return 0.0, 0.0
-    return -angle, top / mean - 1
+def reduced(b: np.ndarray, times: int, first: int = 0) -> np.ndarray:
+    """Halved `times` times: any black of four in the very first halving (number 0), two of four in later ones."""
+    for i in range(first, first + times):
+        b = reduce(b, 1 if i == 0 else 2)
+    return b
+
+
+#: Fixed value: a score that is no sign of text lines.
+LOW_SCORE = 1000
+
+
+def find_skew(b: np.ndarray, most: float = 7.0, accuracy: float = 0.1, coarse: int = 2, fine: int = 1, ratio: float = 1.0) -> tuple[float, float]:
+    """(angle that the page is turned by, confidence): whole degrees first, on the page halved `coarse` times, then halving around the best one,
+    on the page halved `fine` times. A confidence of 2 is good; a low score has none. ratio: horizontal resolution by vertical."""
+    both = reduced(b, min(coarse, fine))
+    small, large = reduced(both, coarse - min(coarse, fine), min(coarse, fine)), reduced(both, fine - min(coarse, fine), min(coarse, fine))
+    grid = np.arange(-most, most + 1e-9)
+    scores = [skew_score(small, a, ratio) for a in grid]
+    at = int(np.argmax(scores))
+    mean, top, angle = sum(scores) / len(scores), scores[at], float(grid[at])
+    if accuracy < 1:
+        ends = {a: skew_score(large, a, ratio) for a in (angle - 0.5, angle + 0.5)}
+        if len(scores) == 1:
+            mean = (sum(scores) + sum(ends.values())) / 3
+        low, high = angle - 0.5, angle + 0.5
+        while high - low > accuracy and ends[low] != ends[high]:
+            middle = (low + high) / 2
+            ends[middle] = skew_score(large, middle, ratio)
+            low, high = (middle, high) if ends[high] > ends[low] else (low, middle)
+        if ends[low] == ends[high]:  # as on a page that mirrors itself: their middle, if it is better
+            ends[(low + high) / 2] = skew_score(large, (low + high) / 2, ratio)
+        angle = max(ends, key=lambda a: (ends[a], -abs(a)) if low <= a <= high else (-1.0, 0.0))
+        top = ends[angle]
+        if top <= LOW_SCORE:
+            return -angle, 0.0
+    return -angle, top / mean - 1 if mean else 0.0
 
 
 def scale_gray(g: np.ndarray, h: int, w: int) -> np.ndarray:
@@ -514,52 +547,110 @@ def largest_white(b: np.ndarray, count: int, least_w: int = 1, least_h: int = 1,
     return found
 
 
-#: Fixed values of the despeckling levels at 300 dpi: pixels from which a component is big, and how far (in squared pixels,
-#: truncated) it may lie from a big one, in proportion to its own size.
-DESPECKLE = {"cautious": (7, 42), "normal": (12, 12), "aggressive": (17, 6)}
+#: Fixed values of the despeckling levels at 300 dpi: the width or height in pixels from which a component is big, how far (in squared
+#: pixels, for each pixel of its own) a component may lie from what it is attached to, and what share of its own pixels that must have.
+DESPECKLE = {"cautious": (7, 100, 0.125), "normal": (12, 42, 0.175), "aggressive": (17, 12, 0.225)}
+
+
+def neighbours(lab: np.ndarray, seeds: np.ndarray, blocked: np.ndarray | None = None) -> dict[tuple[int, int], int]:
+    """Pairs of labels whose areas of influence touch, with the least squared distance between their pixels next to the border, less
+    the step over the border. Vertical distances count twice when areas are parted. seeds: pixels from which areas grow; areas leave out `blocked` cells."""
+    h, w = lab.shape
+    tall = np.zeros((2 * h, w), bool)
+    tall[::2] = seeds
+    source = nearest(tall)[1][::2]
+    known = source >= 0
+    if blocked is not None:
+        known &= ~blocked
+    sy, sx = np.divmod(np.where(known, source, 0), w)
+    sy //= 2
+    area = np.where(known, lab[sy, sx], 0)
+    out: dict[tuple[int, int], int] = {}
+    for dy, dx in ((0, 1), (1, 0)):
+        p, q = np.s_[: h - dy, : w - dx], np.s_[dy:, dx:]
+        touch = (area[p] != area[q]) & known[p] & known[q]
+        i, j = area[p][touch], area[q][touch]
+        d = (sx[q][touch] - dx - sx[p][touch]) ** 2 + (sy[q][touch] - dy - sy[p][touch]) ** 2
+        for a, b, v in zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist(), d.tolist(), strict=True):
+            if v < out.get((a, b), BIG):
+                out[a, b] = v
+    return out
 
 
 def despeckle(b: np.ndarray, level: str = "normal", dpi: int = 300) -> np.ndarray:
-    """Small components go unless they are attached, over components near each other, to a big one. Vertical distance counts four
-    times in squares. Neighbours are components whose cells of the nearest-component map touch."""
-    scale = dpi / 300
-    big_from, reach = DESPECKLE[level]
+    """Small components go unless they are attached, over components near each other, to a big one.
+
+    All big components are one. Two components are near if their areas of influence touch. One may be attached to another that is not
+    farther than its own pixels allow and not much smaller. Components near smaller ones only get a second chance, in which their areas
+    grow over those of the rest; it is taken if the last component is one of them (a fixed rule).
+    """
     lab = labels(b)
     n = int(lab.max(initial=0))
     if not n:
         return b.copy()
-    size = np.bincount(lab.ravel(), minlength=n + 1)
+    big_from, reach, share = DESPECKLE[level]
+    big_from, share = int(np.floor(big_from * dpi / 300 + 0.5)), share * dpi / 300
     box = component_boxes(lab)
-    big = np.zeros(n + 1, bool)
-    big[1:] = np.maximum(box[:, 3] - box[:, 1], box[:, 4] - box[:, 2]) + 1 >= big_from * scale
-    # rows twice as far apart: vertical distances count twice, and four times squared
-    tall = np.zeros((2 * b.shape[0], b.shape[1]), np.int64)
-    tall[::2] = lab
-    near, dist = influence(tall)
-    pairs: dict[tuple[int, int], int] = {}
-    for dy, dx in ((0, 1), (1, 0)):
-        a, z = near[: near.shape[0] - dy, : near.shape[1] - dx], near[dy:, dx:]
-        touch = a != z
-        p, q = a[touch], z[touch]
-        d = (np.sqrt(dist[: near.shape[0] - dy, : near.shape[1] - dx][touch]) + np.sqrt(dist[dy:, dx:][touch]) + 1) ** 2
-        for i, j, v in zip(np.minimum(p, q).tolist(), np.maximum(p, q).tolist(), d.tolist(), strict=True):
-            pairs[i, j] = min(v, pairs.get((i, j), BIG))
-    ties: dict[int, list] = {}
-    for (i, j), v in pairs.items():
-        if i and v <= reach * scale * scale * max(1.0, float(np.sqrt(min(size[i], size[j])))):
-            ties.setdefault(i, []).append(j)
-            ties.setdefault(j, []).append(i)
-    keep, todo = big.copy(), np.flatnonzero(big).tolist()
+    is_big = np.maximum(box[:, 3] - box[:, 1], box[:, 4] - box[:, 2]) + 1 >= big_from
+    # new numbers: in order, the first big one stands for all
+    kept = ~is_big
+    big = 0
+    if is_big.any():
+        kept[np.argmax(is_big)] = True
+    number = np.concatenate([[0], np.cumsum(kept)])
+    if is_big.any():
+        big = int(number[1 + np.argmax(is_big)])
+        number[1:][is_big] = big
+    lab = number[lab]
+    size = [0] * (int(number.max()) + 1)
+    for k, pixels in zip(number[1:].tolist(), box[:, 5].tolist(), strict=True):
+        size[k] = b.size if k == big else pixels
+    near = neighbours(lab, lab > 0)
+
+    # tags stand in the upper bits of the sizes, so a tagged component counts as a large one while tags are given
+    to_big, to_small, wrap = 1 << 31, 1 << 30, 1 << 32
+    tagged = list(size)
+    for pair in sorted(near):
+        for source, target in (pair, pair[::-1]):
+            if not tagged[source] & to_big and near[pair] <= tagged[source] * reach % wrap:
+                tagged[source] |= to_big if tagged[target] >= share * tagged[source] else to_small
+    tagged[big] |= to_big
+    only_small = [t & (to_big | to_small) == to_small for t in tagged]
+    if only_small[-1]:
+        growing = np.array(only_small)[lab]
+        for pair, d in neighbours(lab, growing, (lab > 0) & ~growing).items():
+            near[pair] = min(d, near.get(pair, BIG))
+
+    attached: dict[int, list[int]] = {}
+    for pair, d in near.items():
+        for source, target in (pair, pair[::-1]):
+            if d <= size[source] * reach and size[target] >= size[source] * share:
+                attached.setdefault(target, []).append(source)
+    stays, todo = np.zeros(len(size), bool), [big]
     while todo:
-        for j in ties.get(todo.pop(), []):
-            if not keep[j]:
-                keep[j] = True
-                todo.append(j)
-    keep[0] = False
-    return keep[lab]
-
-
-def peaks(g: np.ndarray, w: int, h: int) -> np.ndarray:
-    """Pixels that are the greatest of the window around them, and more than the least of it."""
-    most = sliding(sliding(g, w // 2, w - w // 2 - 1, 1, 0, np.maximum), h // 2, h - h // 2 - 1, 0, 0, np.maximum)
-    return (g == most) & (g > 0)
+        k = todo.pop()
+        if not stays[k]:
+            stays[k] = True
+            todo += attached.get(k, [])
+    stays[0] = False
+    return stays[lab]
+
+
+def peaks(v: np.ndarray, w: int, h: int) -> np.ndarray:
+    """Plateaus of equal cells, connected over eight neighbours, of which none has an equal or greater cell in the window of w by h
+    (odd) around it besides its own plateau's."""
+    low = np.iinfo(np.int64).min
+
+    def greatest(a):
+        return sliding(sliding(a, w // 2, w // 2, 1, low, np.maximum), h // 2, h // 2, 0, low, np.maximum)
+
+    v = v.astype(np.int64)
+    top = greatest(v) == v
+    beside = top & (greatest(np.where(top, low, v)) == v)
+    return top & ~fill_from(beside, top)
+
+
+def distance_peaks(b: np.ndarray, to_black: bool = False, borders: bool = False) -> np.ndarray:
+    """Ultimate eroded points: the plateau peaks of the distance map, in windows of 3 by 3."""
+    d = np.pad(np.minimum(distance_map(b, to_black, borders), BIG >> 2), 1)
+    return peaks(d, 3, 3)[1:-1, 1:-1]

@@ -15,38 +15,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.operators import layout, pagework, rasters
+from pagemill.operators import content, layout, pagework, rasters, split
 
-ESTIMATES = "img long, sub_page int, layout string, x0 int, y0 int, x1 int, y1 int, angle double, confidence double, left int, top int, right int, bottom int"
+#: x0 to y1: the box of the page; left_edge and right_edge: x of its edges at the top and the bottom; error: why an image has no pages.
+ESTIMATES = (
+    "img long, sub_page int, layout string, x0 int, y0 int, x1 int, y1 int, left_edge array<double>, right_edge array<double>, angle double, confidence double, "
+    "left int, top int, right int, bottom int, error string"
+)
 OUTPUT = "img long, sub_page int, height int, width int, data binary, specks long"
 
 
-def estimate(images: DataFrame, rotation: int = 0, layout_type: str = "auto", manual_angle: float | None = None) -> DataFrame:
+def estimate(images: DataFrame, rotation: int = 0, layout_type: str = "auto", manual_angle: float | None = None, dpi: float = 100, box: tuple[int, int, int, int] | None = None, level: str = "normal", last: int = 6) -> DataFrame:
     """ESTIMATES, a row for each logical page: outline, skew and content box (nulls: no content) in the page's pixels.
 
-    images: img, height, width, data (see operators.kernels). Broken rows (data of another size) give no row.
+    images: img, height, width, data (see operators.kernels), and error if some couldn't be decoded. An image that can't be taken gives one row
+    with an error and no page.
+    manual_angle, box: instead of what is found. last: the last stage that is computed; what later ones find is unknown (angle 0, no box).
     """
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+    fields = [f.split(" ", 1) for f in ESTIMATES.split(", ")]
+
+    def pages(img, h, w, data, error=None):
+        if error:
+            raise ValueError(error)
+        if data is None or h is None or w is None or len(data) != h * w or not data:
+            raise ValueError(f"{0 if data is None else len(data)} bytes for {w} x {h} pixels")
+        g = rasters.rotate_quarter(np.frombuffer(data, np.uint8).reshape(h, w), rotation)
+        cut = split.split_page(g, layout_type, dpi) if last >= 2 else split.Layout("single_uncut")
+        for sub, (a, z) in split.page_outlines(g.shape[1], g.shape[0], cut).items():
+            page, x0, x1 = split.cut_page(g, a, z)
+            if not page.size:
+                continue
+            angle, confidence = (0.0, 0.0) if last < 3 else pagework.skew(page, dpi) if manual_angle is None else (manual_angle, 0.0)
+            found = (None,) * 4
+            if last >= 4:
+                found = box or content.content_box(pagework.rotated(page, -angle), dpi, level) or found
+            yield img, sub, cut.kind, x0, 0, x1, g.shape[0], list(a), list(z), angle, confidence, *found, None
 
     def run(batches):
         for b in batches:
             rows = []
-            for img, h, w, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if data is None or h is None or w is None or len(data) != h * w or not data:
-                    continue
-                g = rasters.rotate_quarter(np.frombuffer(data, np.uint8).reshape(h, w), rotation)
-                kind, cutters = pagework.split_page(g, layout_type)
-                for sub, (x0, y0, x1, y1) in pagework.page_outlines(g.shape[1], g.shape[0], kind, cutters).items():
-                    page = g[y0:y1, x0:x1]
-                    if page.size == 0:
-                        continue
-                    angle, confidence = pagework.skew(page) if manual_angle is None else (manual_angle, 0.0)
-                    box = pagework.content_box(pagework.rotated(page, -angle)) or (None,) * 4
-                    rows.append((img, sub, kind, x0, y0, x1, y1, angle, confidence, *box))
+            for image in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                try:
+                    rows += list(pages(*image))
+                except Exception as e:  # noqa: BLE001  one bad image must not end the job; its row says why
+                    rows.append((image[0], *(None,) * (len(fields) - 2), f"{type(e).__name__}: {e}"))
             if rows:
-                kinds = [pa.int64(), pa.int32(), pa.string(), *[pa.int32()] * 4, pa.float64(), pa.float64(), *[pa.int32()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in ESTIMATES.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
-    return images.select("img", "height", "width", "data").mapInArrow(run, ESTIMATES)
+    return images.select("img", "height", "width", "data", *[c for c in images.columns if c == "error"]).mapInArrow(run, ESTIMATES)
 
 
 def reuse(fresh: DataFrame, stored: DataFrame, deps: tuple[str, ...] = ("x0", "y0", "x1", "y1")) -> DataFrame:
@@ -62,11 +79,12 @@ def reuse(fresh: DataFrame, stored: DataFrame, deps: tuple[str, ...] = ("x0", "y
     return s.withColumns({**moved, "angle": layout.merge_params(s, "angle", "stored_angle")}).select(*fresh.columns, "stale")
 
 
-def laid_out(estimates: DataFrame, dpi: int, settings: DataFrame | None = None) -> DataFrame:
-    """Estimates with content size in mm, margins, and the page size: the largest over all pages, by alignment."""
+def laid_out(estimates: DataFrame, dpi: int, settings: DataFrame | None = None, margins: dict[str, float] | None = None, align: tuple[str | None, str | None] = ("center", "center")) -> DataFrame:
+    """Estimates with content size in mm, margins, and the page size: the largest over all pages, by alignment. margins, align: of pages
+    without settings. Images without pages are left out."""
     mm = 25.4 / dpi
-    d = estimates.withColumns({"content_w": F.coalesce((F.col("right") - F.col("left")) * mm, F.lit(-1.0)), "content_h": F.coalesce((F.col("bottom") - F.col("top")) * mm, F.lit(-1.0)), "ord": F.col("img") * 4 + F.col("sub_page")})
-    defaults = {c: F.lit(v) for c, v in layout.DEFAULT_MARGINS.items()} | {"align_h": F.lit("center"), "align_v": F.lit("center")}
+    d = estimates.where("error IS NULL").drop("error").withColumns({"content_w": F.coalesce((F.col("right") - F.col("left")) * mm, F.lit(-1.0)), "content_h": F.coalesce((F.col("bottom") - F.col("top")) * mm, F.lit(-1.0)), "ord": F.col("img") * 4 + F.col("sub_page")})
+    defaults = {c: F.lit(v) for c, v in (layout.DEFAULT_MARGINS | (margins or {})).items()} | {c: F.lit(v).cast("string") for c, v in zip(("align_h", "align_v"), align, strict=True)}
     if settings is None:
         return layout.page_sizes(d.withColumns(defaults))
     d = d.join(settings.withColumn("known__", F.lit(True)), ["img", "sub_page"], "left")
@@ -75,7 +93,7 @@ def laid_out(estimates: DataFrame, dpi: int, settings: DataFrame | None = None)
 
 def render(images: DataFrame, pages: DataFrame, dpi: int, rotation: int = 0, **options) -> DataFrame:
     """OUTPUT: each page cut out, turned, put on its sheet and rendered. pages: of laid_out(). options: of pagework.rendered()."""
-    cols = ["sub_page", "x0", "y0", "x1", "y1", "angle", "left", "top", "right", "bottom", "page_w", "page_h", "margin_left", "margin_top", "soft_left", "soft_top"]
+    cols = ["sub_page", "left_edge", "right_edge", "angle", "left", "top", "right", "bottom", "page_w", "page_h", "margin_left", "margin_top", "soft_left", "soft_top"]
     todo = pages.groupBy("img").agg(F.to_json(F.collect_list(F.struct(*cols))).alias("pages"))
 
     def run(batches):
@@ -83,7 +101,7 @@ def render(images: DataFrame, pages: DataFrame, dpi: int, rotation: int = 0, **o
             for img, h, w, data, text in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 g = rasters.rotate_quarter(np.frombuffer(data, np.uint8).reshape(h, w), rotation)
                 for p in json.loads(text):
-                    page = pagework.rotated(g[p["y0"] : p["y1"], p["x0"] : p["x1"]], -p["angle"])
+                    page = pagework.rotated(split.cut_page(g, p["left_edge"], p["right_edge"])[0], -p["angle"])
                     px = lambda mm: int(round(mm * dpi / 25.4))
                     sheet = np.full((max(1, px(p["page_h"])), max(1, px(p["page_w"]))), 255, np.uint8)
                     if "left" in p:
@@ -101,4 +119,4 @@ def render(images: DataFrame, pages: DataFrame, dpi: int, rotation: int = 0, **o
 
 def run(images: DataFrame, dpi: int = 100, rotation: int = 0, layout_type: str = "auto", manual_angle: float | None = None, **options) -> DataFrame:
     """All stages."""
-    return render(images, laid_out(estimate(images, rotation, layout_type, manual_angle), dpi), dpi, rotation, **options)
+    return render(images, laid_out(estimate(images, rotation, layout_type, manual_angle, dpi), dpi), dpi, rotation, **options)

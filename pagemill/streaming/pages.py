@@ -18,18 +18,20 @@ from pagemill.sources import images
 
 
 def decoded(files: DataFrame) -> DataFrame:
-    """img (a hash of the path), height, width, data of single-image files; what can't be decoded is left out."""
+    """img (a hash of the path), height, width, data, error of single-image files; what can't be decoded has an error and no data."""
 
     def run(batches):
         for b in batches:
             for img, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 try:
                     g = np.ascontiguousarray(images.plane_of(data.as_py(), 0))
-                except Exception:  # noqa: BLE001
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array([img], pa.int64()), pa.array([g.shape[0]], pa.int32()), pa.array([g.shape[1]], pa.int32()), pa.array([g.tobytes()], pa.binary())], names=["img", "height", "width", "data"])
+                    row = (img, *g.shape, g.tobytes(), None)
+                except Exception as e:  # noqa: BLE001  a broken file is a row, not a failed stream
+                    row = (img, None, None, None, f"{type(e).__name__}: {e}")
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["img", "height", "width", "data", "error"])
 
-    return files.select(F.xxhash64(F.element_at(F.split("path", "/"), -1)).alias("img"), "content").mapInArrow(run, "img long, height int, width int, data binary")
+    return files.select(F.xxhash64(F.element_at(F.split("path", "/"), -1)).alias("img"), "content").mapInArrow(run, "img long, height int, width int, data binary, error string")
 
 
 def estimates_stream(spark: SparkSession, folder: str, table: str, checkpoint: str, glob: str = "*.tif") -> StreamingQuery:

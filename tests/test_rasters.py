@@ -101,9 +101,12 @@ def test_rotation_of_text_is_found():
     b[60:340:12] = b[61:341:12] = b[62:342:12] = True
     b[:, :40] = b[:, 360:] = False
     turned = r.shear_columns(b, np.tan(np.radians(-4.5)))
-    angle, confidence = r.find_skew(turned)
-    assert abs(abs(angle) - 4.5) <= 0.15 and confidence >= 2
-    assert r.find_skew(image(1, 200, 200))[1] < 2
+    for halved in ((2, 1), (1, 1), (0, 0)):
+        angle, confidence = r.find_skew(turned, coarse=halved[0], fine=halved[1])
+        assert abs(abs(angle) - 4.5) <= 0.15 and confidence >= 2
+    assert r.find_skew(image(1, 200, 200), coarse=0, fine=0)[1] < 2
+    blank = r.find_skew(np.zeros((40, 40), bool))
+    assert blank[1] == 0.0
 
 
 def test_scale_keeps_levels():
