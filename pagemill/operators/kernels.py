@@ -13,44 +13,51 @@ from pyspark.sql import functions as F
 IMAGE = "img int, height int, width int, data binary"
 
 
+class Columns(tuple):
+    """Arrays of equal length, one for each column of a kernel's result."""
+
+
 def to_images(pixels: DataFrame, value: str = "gray", width: int | None = None, height: int | None = None) -> DataFrame:
     """Image rows from (img, y, x, value); missing pixels are 0. One image is one task's work, whatever its size."""
-    pairs = F.array_sort(F.collect_list(F.struct("y", "x", F.col(value).cast("int").alias("v"))))
-    size = pixels.groupBy("img").agg(pairs.alias("p"), (F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    cells = [F.collect_list(F.col(c).cast("int")).alias(n) for c, n in (("y", "ys"), ("x", "xs"), (value, "vs"))]
+    whole = pixels.where(F.col("y").isNotNull() & F.col("x").isNotNull()).withColumn(value, F.coalesce(F.col(value).cast("int"), F.lit(0))).groupBy("img").agg(*cells)
 
     def draw(batches):
         for b in batches:
-            for img, p, h, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h, w = height or h, width or w
+            at = b.column(1).offsets.to_numpy()
+            img, (ys, xs, vs) = b.column(0).to_pylist(), (b.column(k).flatten().to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            for k, (lo, hi) in enumerate(zip((at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist(), strict=True)):
+                y, x = ys[lo:hi], xs[lo:hi]
+                h, w = height or int(y.max()) + 1, width or int(x.max()) + 1
                 a = np.zeros((h, w), np.uint8)
-                for q in p:
-                    a[q["y"], q["x"]] = q["v"]
-                yield pa.RecordBatch.from_arrays([pa.array([img], pa.int32()), pa.array([h], pa.int32()), pa.array([w], pa.int32()), pa.array([a.tobytes()], pa.binary())], names=["img", "height", "width", "data"])
+                a[y, x] = vs[lo:hi]
+                yield pa.RecordBatch.from_arrays([pa.array([img[k]], pa.int32()), pa.array([h], pa.int32()), pa.array([w], pa.int32()), pa.array([a.tobytes()], pa.binary())], names=["img", "height", "width", "data"])
 
-    return size.mapInArrow(draw, IMAGE)
+    return whole.mapInArrow(draw, IMAGE)
 
 
 def mapped(images: DataFrame, f, schema: str, binary: bool = False) -> DataFrame:
-    """f(image array) gives rows (tuples) of `schema` without img, which is put before them."""
+    """f(image array) gives rows of `schema` without img, as Columns or as a list of tuples; img is put before them."""
 
     def run(batches):
         for b in batches:
             for img, h, w, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 a = np.frombuffer(data, np.uint8).reshape(h, w)
-                rows = [(img, *r) for r in f(a.astype(bool) if binary else a)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=None, names=names)
+                found = f(a.astype(bool) if binary else a)
+                if not isinstance(found, Columns):
+                    found = Columns(zip(*found, strict=True))
+                if found and len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[0]), img, np.int64)), *map(pa.array, found)], names=names)
 
     names = ["img", *[x.split()[0] for x in schema.split(",")]]
     return images.select("img", "height", "width", "data").mapInArrow(run, f"img long, {schema}")
 
 
-def as_pixels(a: np.ndarray):
-    """Rows y, x, value of an array."""
+def as_pixels(a: np.ndarray) -> Columns:
+    """y, x, value of every cell."""
     y, x = np.indices(a.shape)
-    return list(zip(y.ravel().tolist(), x.ravel().tolist(), a.ravel().astype(np.int64).tolist(), strict=True))
+    return Columns((y.ravel(), x.ravel(), a.ravel().astype(np.int64)))
 
 
-def as_black(b: np.ndarray):
-    y, x = np.nonzero(b)
-    return list(zip(y.tolist(), x.tolist(), strict=True))
+def as_black(b: np.ndarray) -> Columns:
+    return Columns(np.nonzero(b))

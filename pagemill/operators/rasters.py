@@ -423,11 +423,16 @@ def polynomial_terms(y: np.ndarray, x: np.ndarray, dy: int, dx: int) -> np.ndarr
     return np.stack([y**j * x**i for j in range(dy + 1) for i in range(dx + 1)], axis=-1)
 
 
-def smooth_local(g: np.ndarray, w: int, h: int, dx: int, dy: int) -> np.ndarray:
-    """Local least-squares polynomials (Savitzky and Golay) of the window around each pixel."""
+def local_kernel(w: int, h: int, dx: int, dy: int) -> np.ndarray:
+    """Weights of a window's pixels in the value at its middle of the least-squares polynomial (Savitzky and Golay)."""
     j, i = np.mgrid[0:h, 0:w]
     a = polynomial_terms((j - h // 2).ravel().astype(float), (i - w // 2).ravel().astype(float), dy, dx)
-    kernel = np.linalg.pinv(a)[0].reshape(h, w)
+    return np.linalg.pinv(a)[0].reshape(h, w)
+
+
+def smooth_local(g: np.ndarray, w: int, h: int, dx: int, dy: int) -> np.ndarray:
+    """Local least-squares polynomials of the window around each pixel."""
+    kernel = local_kernel(w, h, dx, dy)
     p = np.pad(g.astype(np.float64), ((h // 2, h - h // 2 - 1), (w // 2, w - w // 2 - 1)), mode="edge")
     out = sum(kernel[y, x] * p[y : y + g.shape[0], x : x + g.shape[1]] for y in range(h) for x in range(w))
     return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8)

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.functions import curves
-from pagemill.operators import kernels, rasters
-from pagemill.plans import stages
+from pagemill.operators import content, kernels, lines, rasters, split
+from pagemill.plans import pixel_queries, stages
 from pagemill.sources import derived, images
 
 QUERIES: dict = {}
@@ -23,7 +23,7 @@ def query(sql: str | None = None):
     def keep(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = derived.SQL + sql
+            SQL[f.__name__] = derived.SQL.replace("WITH files", "WITH RECURSIVE files") + sql
         return f
 
     return keep
@@ -38,6 +38,12 @@ def black_images(spark: SparkSession, d: str, threshold: int = 105) -> DataFrame
     return kernels.to_images(g.withColumn("b", (g["gray"] < threshold).cast("int")), "b")
 
 
+def block_images(spark: SparkSession, d: str, threshold: int | None = None) -> DataFrame:
+    """Of derived.blocks, gray or black and white."""
+    g = derived.blocks(spark, d)
+    return kernels.to_images(g) if threshold is None else kernels.to_images(g.withColumn("b", (g["gray"] < threshold).cast("int")), "b")
+
+
 def gray_kernel(name: str, f, sql: str | None = None):
     def run(spark: SparkSession, d: str) -> DataFrame:
         return kernels.mapped(gray_images(spark, d), lambda a: kernels.as_pixels(f(a)), VALUE)
@@ -46,21 +52,31 @@ def gray_kernel(name: str, f, sql: str | None = None):
     query(sql)(run)
 
 
-def black_kernel(name: str, f, sql: str | None = None, threshold: int = 105):
+def black_kernel(name: str, f, sql: str | None = None, threshold: int = 105, images=black_images):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return kernels.mapped(black_images(spark, d, threshold), lambda a: kernels.as_black(f(a)), PLACE, binary=True)
+        return kernels.mapped(images(spark, d, threshold), lambda a: kernels.as_black(f(a)), PLACE, binary=True)
 
     run.__name__ = name
     query(sql)(run)
 
 
+def block_kernel(name: str, f, sql: str | None = None, threshold: int = 112):
+    black_kernel(name, f, sql, threshold, block_images)
+
+
 DARK = ", dark AS (SELECT img::BIGINT AS img, y::BIGINT AS y, x::BIGINT AS x FROM gray WHERE gray < 105), cell AS (SELECT img::BIGINT AS img, y::BIGINT AS y, x::BIGINT AS x FROM gray)\n"
+#: The same of derived.blocks, below a threshold of 112.
+SOLID = ", dark AS (SELECT img::BIGINT AS img, y::BIGINT AS y, x::BIGINT AS x FROM blocks WHERE gray < 112), cell AS (SELECT img::BIGINT AS img, y::BIGINT AS y, x::BIGINT AS x FROM blocks)\n"
 NEAR = "abs(c.x - d.x) <= 1 AND abs(c.y - d.y) <= 1"
 
 black_kernel("kernel_dilated", lambda b: rasters.dilate(b, 3, 3), DARK + f"SELECT DISTINCT c.img, c.y, c.x FROM cell c JOIN dark d ON c.img = d.img AND {NEAR}")
-black_kernel("kernel_eroded", lambda b: rasters.erode(b, 3, 3, True), DARK + f"SELECT c.img, c.y, c.x FROM cell c LEFT JOIN dark d ON c.img = d.img AND {NEAR} GROUP BY c.img, c.y, c.x HAVING count(d.x) = (2 + (c.x BETWEEN 1 AND 62)::INT) * (2 + (c.y BETWEEN 1 AND 98)::INT)")
-black_kernel("kernel_opened", lambda b: rasters.opened(b, 3, 2))
-black_kernel("kernel_closed", lambda b: rasters.closed(b, 3, 2))
+block_kernel("kernel_eroded", lambda b: rasters.erode(b, 3, 3, True), SOLID + f"SELECT c.img, c.y, c.x FROM cell c LEFT JOIN dark d ON c.img = d.img AND {NEAR} GROUP BY c.img, c.y, c.x HAVING count(d.x) = (2 + (c.x BETWEEN 1 AND 62)::INT) * (2 + (c.y BETWEEN 1 AND 98)::INT)")
+block_kernel("kernel_opened", lambda b: rasters.opened(b, 5, 4), SOLID + """, e AS (SELECT c.img, c.y, c.x FROM cell c JOIN dark d ON c.img = d.img AND d.x BETWEEN c.x - 2 AND c.x + 2 AND d.y BETWEEN c.y - 1 AND c.y + 2 GROUP BY c.img, c.y, c.x HAVING count(*) = 20)
+SELECT DISTINCT c.img, c.y, c.x FROM cell c JOIN e ON c.img = e.img AND c.x BETWEEN e.x - 2 AND e.x + 2 AND c.y BETWEEN e.y - 1 AND e.y + 2""")
+block_kernel("kernel_closed", lambda b: rasters.closed(b, 5, 6), SOLID + """, wide AS (SELECT i.img, y.y, x.x FROM (SELECT DISTINCT img FROM cell) i, (SELECT unnest(range(-6, 106)) AS y) y, (SELECT unnest(range(-5, 69)) AS x) x),
+white AS (SELECT * FROM wide EXCEPT SELECT * FROM dark),
+e AS (SELECT c.img, c.y, c.x FROM wide c JOIN white d ON c.img = d.img AND d.x BETWEEN c.x - 2 AND c.x + 2 AND d.y BETWEEN c.y - 2 AND c.y + 3 GROUP BY c.img, c.y, c.x HAVING count(*) = 30)
+SELECT * FROM cell c WHERE NOT EXISTS (SELECT 1 FROM e WHERE c.img = e.img AND c.x BETWEEN e.x - 2 AND e.x + 2 AND c.y BETWEEN e.y - 2 AND e.y + 3)""")
 black_kernel("kernel_inverted", lambda b: ~b, DARK + "SELECT * FROM cell EXCEPT SELECT * FROM dark")
 black_kernel("kernel_reduced", lambda b: rasters.reduce(b, 3), DARK + "SELECT img, y // 2 AS y, x // 2 AS x FROM dark GROUP BY ALL HAVING count(*) >= 3")
 black_kernel("kernel_rotated", lambda b: rasters.rotate_quarter(b, 270), DARK + "SELECT img, 63 - x AS y, y AS x FROM dark")
@@ -73,46 +89,65 @@ black_kernel("kernel_dents_and_holes", rasters.dents_and_holes, DARK + """SELECT
   UNION ALL SELECT c.img, c.y, c.x, 1, sign(d.y - c.y) FROM cell c JOIN dark d ON c.img = d.img AND d.x = c.x
   UNION ALL SELECT c.img, c.y, c.x, 2, sign(d.x - c.x) FROM cell c JOIN dark d ON c.img = d.img AND d.x - d.y = c.x - c.y
   UNION ALL SELECT c.img, c.y, c.x, 3, sign(d.x - c.x) FROM cell c JOIN dark d ON c.img = d.img AND d.x + d.y = c.x + c.y) GROUP BY img, y, x, k) WHERE hit EXCEPT SELECT * FROM dark""")
-black_kernel("kernel_filled_from_seed", lambda b: rasters.fill_from(rasters.erode(b, 2, 2, False), b))
-black_kernel("kernel_despeckled", lambda b: rasters.despeckle(b, "normal"), threshold=100)
-black_kernel("kernel_sheared", lambda b: rasters.shear_columns(b, 0.1))
+block_kernel("kernel_filled_from_seed", lambda b: rasters.fill_from(rasters.erode(b, 12, 2, False), b), SOLID + """, seed AS (SELECT c.img, c.y, c.x FROM cell c JOIN dark d ON c.img = d.img AND d.x BETWEEN c.x - 5 AND c.x + 6 AND d.y BETWEEN c.y AND c.y + 1 GROUP BY c.img, c.y, c.x HAVING count(*) = 24),
+reached AS (SELECT * FROM seed SEMI JOIN dark USING (img, y, x) UNION SELECT d.img, d.y, d.x FROM reached c JOIN dark d ON c.img = d.img AND abs(c.x - d.x) <= 1 AND abs(c.y - d.y) <= 1)
+SELECT * FROM reached""")
+block_kernel("kernel_despeckled", lambda b: rasters.despeckle(b, "aggressive"), threshold=105)
+black_kernel("kernel_sheared", lambda b: rasters.shear_columns(b, 0.1), DARK + "SELECT * FROM (SELECT img, (y + floor(0.1::DOUBLE * (x + 0.5 - 32) + 0.5))::BIGINT AS y, x FROM dark) WHERE y BETWEEN 0 AND 99")
+block_kernel("kernel_distance_peaks", lambda b: rasters.distance_peaks(b, borders=True))
 
 gray_kernel("kernel_dilated_gray", lambda g: rasters.dilate_gray(g, 5, 3), "SELECT a.img::BIGINT AS img, a.y::BIGINT AS y, a.x::BIGINT AS x, min(b.gray)::BIGINT AS v FROM gray a JOIN gray b ON a.img = b.img AND b.x BETWEEN a.x - 2 AND a.x + 2 AND b.y BETWEEN a.y - 1 AND a.y + 1 GROUP BY a.img, a.y, a.x")
-gray_kernel("kernel_opened_gray", lambda g: rasters.open_gray(g, 3, 3))
-gray_kernel("kernel_closed_gray", lambda g: rasters.close_gray(g, 3, 3))
+for _name, _kernel, _first, _second in (("kernel_opened_gray", rasters.open_gray, "max", "min"), ("kernel_closed_gray", rasters.close_gray, "min", "max")):
+    _window = "a.img = b.img AND b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1"
+    gray_kernel(
+        _name, lambda g, f=_kernel: f(g, 3, 3),
+        f", e AS (SELECT a.img, a.y, a.x, {_first}(b.gray) AS gray FROM gray a JOIN gray b ON {_window} GROUP BY a.img, a.y, a.x) "
+        f"SELECT a.img::BIGINT AS img, a.y::BIGINT AS y, a.x::BIGINT AS x, {_second}(b.gray)::BIGINT AS v FROM e a JOIN e b ON {_window} GROUP BY a.img, a.y, a.x",
+    )
 gray_kernel("kernel_gradient_dark", lambda g: rasters.gradient_dark(g, 3, 3), "SELECT a.img::BIGINT AS img, a.y::BIGINT AS y, a.x::BIGINT AS x, (a.gray - min(b.gray))::BIGINT AS v FROM gray a JOIN gray b ON a.img = b.img AND abs(b.x - a.x) <= 1 AND abs(b.y - a.y) <= 1 GROUP BY a.img, a.y, a.x, a.gray")
 gray_kernel("kernel_gradient_light", lambda g: rasters.gradient_light(g, 3, 3), "SELECT a.img::BIGINT AS img, a.y::BIGINT AS y, a.x::BIGINT AS x, (max(b.gray) - a.gray)::BIGINT AS v FROM gray a JOIN gray b ON a.img = b.img AND abs(b.x - a.x) <= 1 AND abs(b.y - a.y) <= 1 GROUP BY a.img, a.y, a.x, a.gray")
-gray_kernel("kernel_filled_gray", lambda g: rasters.fill_gray(np.maximum(g, 130), g))
+gray_kernel("kernel_filled_gray", lambda g: rasters.fill_gray(np.maximum(g, 130), g), """, c AS (SELECT img::BIGINT AS img, y::BIGINT AS y, x::BIGINT AS x, gray::BIGINT AS m FROM gray),
+t(img, y, x, v) USING KEY (img, y, x) AS (SELECT img, y, x, greatest(m, 130) FROM c
+  UNION SELECT c.img, c.y, c.x, min(greatest(c.m, t.v)) FROM t JOIN c ON c.img = t.img AND abs(c.x - t.x) <= 1 AND abs(c.y - t.y) <= 1
+  JOIN recurring.t AS old ON old.img = c.img AND old.y = c.y AND old.x = c.x WHERE greatest(c.m, t.v) < old.v GROUP BY c.img, c.y, c.x) SELECT * FROM t""")
 gray_kernel("kernel_scaled", lambda g: rasters.scale_gray(g, 50, 32), "SELECT img::BIGINT AS img, (y // 2)::BIGINT AS y, (x // 2)::BIGINT AS x, floor(sum(gray)::DOUBLE / 4 + 0.5)::BIGINT AS v FROM gray GROUP BY ALL")
 gray_kernel("kernel_transformed", lambda g: rasters.transform_gray(g, np.array([[1, 0, -3.0], [0, 1, 2.0], [0, 0, 1]]), 100, 64), "SELECT i.img::BIGINT AS img, y.y AS y, x.x AS x, coalesce(g.gray, 255)::BIGINT AS v FROM (SELECT DISTINCT img FROM gray) i, (SELECT unnest(range(100)) AS y) y, (SELECT unnest(range(64)) AS x) x LEFT JOIN gray g ON g.img = i.img AND g.x = x.x - 3 AND g.y = y.y + 2")
-gray_kernel("kernel_blurred", lambda g: rasters.blur(g, 1.5, 1.0))
+MIRROR = ", b1 AS (SELECT g.img, g.y, t.x, sum(g.gray * k.w) AS v FROM (SELECT unnest(range(64)) AS x) t, gaussx k, gray g WHERE g.x = CASE WHEN t.x + k.i < 0 THEN -1 - t.x - k.i WHEN t.x + k.i > 63 THEN 127 - t.x - k.i ELSE t.x + k.i END GROUP BY g.img, g.y, t.x)"
+GAUSS = ", ".join(f"gauss{n} AS (SELECT i, exp(-i * i / {2 * s * s}::DOUBLE) / sum(exp(-i * i / {2 * s * s}::DOUBLE)) OVER () AS w FROM (SELECT unnest(range({-r}, {r + 1})) AS i))" for n, s, r in (("x", 1.5, 5), ("y", 1.0, 3)))
+gray_kernel("kernel_blurred", lambda g: rasters.blur(g, 1.5, 1.0), ", " + GAUSS + MIRROR + """
+SELECT b.img::BIGINT AS img, t.y::BIGINT AS y, b.x::BIGINT AS x, floor(sum(b.v * k.w) + 0.5)::BIGINT AS v FROM (SELECT unnest(range(100)) AS y) t, gaussy k, b1 b
+WHERE b.y = CASE WHEN t.y + k.i < 0 THEN -1 - t.y - k.i WHEN t.y + k.i > 99 THEN 199 - t.y - k.i ELSE t.y + k.i END GROUP BY b.img, t.y, b.x""")
 gray_kernel("kernel_sobel", lambda g: rasters.sobel(g), """, p AS (SELECT i.img, y.y, x.x, g.gray AS v FROM (SELECT DISTINCT img FROM gray) i, (SELECT unnest(range(-1, 101)) AS y) y, (SELECT unnest(range(-1, 65)) AS x) x JOIN gray g ON g.img = i.img AND g.x = least(greatest(x.x, 0), 63) AND g.y = least(greatest(y.y, 0), 99))
 SELECT c.img::BIGINT AS img, c.y::BIGINT AS y, c.x::BIGINT AS x, sum(p.v * (p.x - c.x) * (2 - abs(p.y - c.y)))::BIGINT AS v FROM gray c JOIN p ON p.img = c.img AND abs(p.x - c.x) <= 1 AND abs(p.y - c.y) <= 1 GROUP BY c.img, c.y, c.x""")
-gray_kernel("kernel_smoothed", lambda g: rasters.smooth_local(g, 5, 5, 3, 3))
+SAVITZKY = ", ".join(f"({i - 2}, {j - 2}, {w!r}::DOUBLE)" for j, row in enumerate(rasters.local_kernel(5, 5, 3, 3).tolist()) for i, w in enumerate(row))
+gray_kernel("kernel_smoothed", lambda g: rasters.smooth_local(g, 5, 5, 3, 3), f""", k AS (SELECT * FROM (VALUES {SAVITZKY}) AS v(i, j, w))
+SELECT c.img::BIGINT AS img, c.y::BIGINT AS y, c.x::BIGINT AS x, least(255, greatest(0, floor(sum(g.gray * k.w) + 0.5)))::BIGINT AS v FROM gray c, k
+JOIN gray g ON g.img = c.img AND g.x = least(63, greatest(0, c.x + k.i)) AND g.y = least(99, greatest(0, c.y + k.j)) GROUP BY c.img, c.y, c.x""")
 gray_kernel("kernel_polynomial_surface", lambda g: rasters.polynomial_surface(g, 3, 3))
 gray_kernel("kernel_background", rasters.background)
 
 
-@query(DARK + ", seed AS (SELECT * FROM cell EXCEPT SELECT * FROM dark) SELECT c.img, c.y, c.x, least(min((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)), (c.x + 1) * (c.x + 1), (64 - c.x) * (64 - c.x), (c.y + 1) * (c.y + 1), (100 - c.y) * (100 - c.y)) AS v FROM cell c JOIN seed s ON s.img = c.img WHERE c.img = 0 GROUP BY c.img, c.y, c.x")
+@query(DARK + ", seed AS (SELECT * FROM cell EXCEPT SELECT * FROM dark) SELECT c.img, c.y, c.x, least(min((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)), (c.x + 1) * (c.x + 1), (64 - c.x) * (64 - c.x), (c.y + 1) * (c.y + 1), (100 - c.y) * (100 - c.y)) AS v FROM cell c JOIN seed s ON s.img = c.img GROUP BY c.img, c.y, c.x")
 def kernel_distance_map(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.mapped(black_images(spark, d).where("img = 0"), lambda a: kernels.as_pixels(rasters.distance_map(a)), VALUE, binary=True)
+    return kernels.mapped(black_images(spark, d), lambda a: kernels.as_pixels(rasters.distance_map(a)), VALUE, binary=True)
 
 
-@query()
-def kernel_distance_map_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every image; kernel_distance_map and its SQL, quadratic in an image's pixels, take the first."""
-    return kernels.mapped(black_images(spark, d), lambda a: kernels.as_pixels(rasters.distance_map(a)), VALUE, binary=True)
+CONNECTED = SOLID + """, near AS (SELECT c.img, c.y, c.x, d.y AS y2, d.x AS x2 FROM dark c JOIN dark d ON c.img = d.img AND abs(c.x - d.x) <= 1 AND abs(c.y - d.y) <= 1),
+lab(img, y, x, k) USING KEY (img, y, x) AS (SELECT img, y, x, y * 64 + x FROM dark
+  UNION SELECT n.img, n.y2, n.x2, min(lab.k) FROM lab JOIN near n ON n.img = lab.img AND n.y = lab.y AND n.x = lab.x JOIN recurring.lab AS old ON old.img = n.img AND old.y = n.y2 AND old.x = n.x2 WHERE lab.k < old.k GROUP BY n.img, n.y2, n.x2)
+"""
 
 
-@query()
+@query(CONNECTED + "SELECT img, row_number() OVER (PARTITION BY img ORDER BY k) AS label, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS pixels FROM lab GROUP BY img, k")
 def kernel_components(spark: SparkSession, d: str) -> DataFrame:
-    """A row for each component: label, box and pixels."""
-    return kernels.mapped(black_images(spark, d), lambda a: [tuple(r) for r in rasters.component_boxes(rasters.labels(a)).tolist()], "label long, x0 long, y0 long, x1 long, y1 long, pixels long", binary=True)
+    """A row for each component, in order of its first pixel: label, box and pixels."""
+    return kernels.mapped(block_images(spark, d, 112), lambda a: [tuple(r) for r in rasters.component_boxes(rasters.labels(a)).tolist()], "label long, x0 long, y0 long, x1 long, y1 long, pixels long", binary=True)
 
 
-@query()
+@query(SOLID + "SELECT c.img, c.y, c.x, min((c.x - d.x) * (c.x - d.x) + (c.y - d.y) * (c.y - d.y)) AS v FROM cell c JOIN dark d ON d.img = c.img GROUP BY c.img, c.y, c.x")
 def kernel_influence(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.mapped(black_images(spark, d, 100), lambda a: kernels.as_pixels(rasters.influence(rasters.labels(a))[0]), VALUE, binary=True)
+    """The squared distance of each pixel to the component whose area it lies in."""
+    return kernels.mapped(block_images(spark, d, 112), lambda a: kernels.as_pixels(rasters.influence(rasters.labels(a))[1]), VALUE, binary=True)
 
 
 @query()
@@ -120,14 +155,72 @@ def kernel_white_rectangles(spark: SparkSession, d: str) -> DataFrame:
     return kernels.mapped(black_images(spark, d, 95), lambda a: [(i, *r) for i, r in enumerate(rasters.largest_white(a, 5, 3, 3))], "rank long, x long, y long, width long, height long", binary=True)
 
 
+@query(SOLID + """, tall AS (SELECT i.img, a.y AS top, b.y AS bottom, x.x FROM (SELECT DISTINCT img FROM cell) i, (SELECT unnest(range(100)) AS y) a, (SELECT unnest(range(100)) AS y) b, (SELECT unnest(range(64)) AS x) x WHERE b.y >= a.y),
+upto AS (SELECT c.img, c.y, c.x, sum((d.x IS NOT NULL)::INT) OVER (PARTITION BY c.img, c.x ORDER BY c.y) AS n FROM cell c LEFT JOIN dark d USING (img, y, x)),
+free AS (SELECT t.img, t.top, t.bottom, t.x, t.x - row_number() OVER (PARTITION BY t.img, t.top, t.bottom ORDER BY t.x) AS run FROM tall t
+  JOIN upto z ON z.img = t.img AND z.x = t.x AND z.y = t.bottom LEFT JOIN upto a ON a.img = t.img AND a.x = t.x AND a.y = t.top - 1 WHERE z.n = coalesce(a.n, 0))
+SELECT img, max(area)::BIGINT AS area FROM (SELECT img, count(*) * (bottom - top + 1) AS area FROM free GROUP BY img, top, bottom, run) GROUP BY img""")
+def largest_white_area(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels of the largest white rectangle."""
+    return kernels.mapped(block_images(spark, d, 112), lambda b: [((x1 - x0) * (y1 - y0),) for x0, y0, x1, y1 in [content.WhiteSpaces(b).next(1_000_000)]], "area long", binary=True)
+
+
 @query()
 def kernel_skew(spark: SparkSession, d: str) -> DataFrame:
     return kernels.mapped(black_images(spark, d), lambda a: [rasters.find_skew(a)], "angle double, confidence double", binary=True)
 
 
-@query()
+POLYGON = [(5, 5), (60, 20), (30, 90), (40, 40)]
+SIDES = ", ".join(f"({x1}::DOUBLE, {y1}::DOUBLE, {x2}::DOUBLE, {y2}::DOUBLE)" for (x1, y1), (x2, y2) in zip(POLYGON, POLYGON[1:] + POLYGON[:1], strict=True))
+
+
+@query(f""", side AS (SELECT * FROM (VALUES {SIDES}) AS v(x1, y1, x2, y2))
+SELECT c.img::BIGINT AS img, c.y::BIGINT AS y, c.x::BIGINT AS x FROM gray c JOIN side s ON (s.y1 <= c.y + 0.5) <> (s.y2 <= c.y + 0.5) AND c.x + 0.5 > s.x1 + (c.y + 0.5 - s.y1) * (s.x2 - s.x1) / (s.y2 - s.y1)
+GROUP BY c.img, c.y, c.x HAVING count(*) % 2 = 1""")
 def kernel_polygon(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.mapped(black_images(spark, d), lambda a: kernels.as_black(rasters.fill_polygon(a.shape, [(5, 5), (60, 20), (30, 90), (40, 40)])), PLACE, binary=True)
+    return kernels.mapped(black_images(spark, d), lambda a: kernels.as_black(rasters.fill_polygon(a.shape, POLYGON)), PLACE, binary=True)
+
+
+DEGREES = [-2.0, 0.0, 2.0, 90.0]
+
+
+@query()
+def hough_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The peaks of the votes of all black pixels, best first: direction of the normal, distance and quality."""
+
+    def found(b):
+        y, x = np.nonzero(b)
+        votes, bias = lines.hough(y, x, np.ones(len(y), np.int64), b.shape, 2.0, np.array(DEGREES))
+        return [(i, line.u, line.v, line.distance, line.quality) for i, line in enumerate(lines.hough_lines(votes, bias, 2.0, np.array(DEGREES), 60))]
+
+    return kernels.mapped(block_images(spark, d, 112), found, "rank long, u double, v double, distance double, quality double", binary=True)
+
+
+@query()
+def cloud_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The two lines with the most support among the first pixels of the components."""
+
+    def found(b):
+        boxes = rasters.component_boxes(rasters.labels(b))
+        finder = lines.CloudLines(boxes[:, 1:3].astype(float), least_points=3, tolerance_degrees=1.0)
+        out = []
+        while len(out) < 2 and (line := finder.next()) is not None:
+            out.append((len(out), *line[0], len(line[1])))
+        return out
+
+    return kernels.mapped(block_images(spark, d, 112), found, "rank long, u double, v double, distance double, points long", binary=True)
+
+
+@query()
+def content_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """The content box of every raster, taken as a page at 150 dpi."""
+    return kernels.mapped(block_images(spark, d), lambda g: [box] if (box := content.content_box(g)) else [], "left long, top long, right long, bottom long")
+
+
+@query()
+def page_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """How every raster would be cut into two pages: x of the cutter at the top and the bottom."""
+    return kernels.mapped(gray_images(spark, d), lambda g: [(cut.kind, *map(float, cut.cutters[0]))] if (cut := split.split_page(g, "two_pages")).cutters else [], "kind string, top double, bottom double")
 
 
 WOLF = """, l AS (SELECT a.img, a.y, a.x, a.gray, sum(b.gray)::DOUBLE / count(*) AS mean, sum(b.gray * b.gray)::DOUBLE / count(*) AS sq FROM gray a
@@ -140,7 +233,7 @@ def kernel_sauvola(spark: SparkSession, d: str) -> DataFrame:
     return kernels.mapped(gray_images(spark, d), lambda a: kernels.as_black(rasters.sauvola(a, 9, 6)), PLACE)
 
 
-@query()
+@query(pixel_queries.OTSU.replace("::INT AS threshold", "::BIGINT AS threshold").replace("SELECT img, coalesce", "SELECT img::BIGINT AS img, coalesce"))
 def kernel_otsu(spark: SparkSession, d: str) -> DataFrame:
     return kernels.mapped(gray_images(spark, d), lambda a: [(rasters.otsu(a),)], "threshold long")
 

@@ -45,10 +45,13 @@ def gray_histogram_masked(spark: SparkSession, d: str) -> DataFrame:
     return pixels.histogram(g.join(mask, ["img", "y", "x"], "left_semi"))
 
 
-@query(HIST + """, c AS (SELECT img, gray, sum(n) OVER w AS b, sum(n * gray) OVER w AS mb, sum(n) OVER (PARTITION BY img) AS t, sum(n * gray) OVER (PARTITION BY img) AS mt FROM hist WINDOW w AS (PARTITION BY img ORDER BY gray)),
+OTSU = HIST + """, c AS (SELECT img, gray, sum(n) OVER w AS b, sum(n * gray) OVER w AS mb, sum(n) OVER (PARTITION BY img) AS t, sum(n * gray) OVER (PARTITION BY img) AS mt FROM hist WINDOW w AS (PARTITION BY img ORDER BY gray)),
 v AS (SELECT img, gray, CASE WHEN b > 0 AND t > b THEN ((mt - mb)::DOUBLE / (t - b) - mb::DOUBLE / b) * ((mt - mb)::DOUBLE / (t - b) - mb::DOUBLE / b) * b * (t - b) END AS v FROM c),
 m AS (SELECT *, max(v) OVER (PARTITION BY img) AS top FROM v)
-SELECT img, coalesce((min(gray) FILTER (v = top AND top > 0) + max(gray) FILTER (v = top AND top > 0) + 2) >> 1, 0)::INT AS threshold FROM m GROUP BY img""")
+SELECT img, coalesce((min(gray) FILTER (v = top AND top > 0) + max(gray) FILTER (v = top AND top > 0) + 2) >> 1, 0)::INT AS threshold FROM m GROUP BY img"""
+
+
+@query(OTSU)
 def otsu_threshold(spark: SparkSession, d: str) -> DataFrame:
     return pixels.otsu(derived.gray(spark, d))
 
@@ -140,14 +143,8 @@ def quarter_rotation(spark: SparkSession, d: str) -> DataFrame:
     return pixels.rotate_quarter(derived.black(spark, d), 90, WIDTH, HEIGHT)
 
 
-@query("SELECT img, y * 2 + j AS y, x * 3 + i AS x FROM black, (SELECT unnest(range(2))::INT AS j), (SELECT unnest(range(3))::INT AS i) WHERE img = 0")
-def integer_upscale(spark: SparkSession, d: str) -> DataFrame:
-    return pixels.upscale(derived.black(spark, d).where("img = 0"), 3, 2)
-
-
 @query("SELECT img, y * 2 + j AS y, x * 3 + i AS x FROM black, (SELECT unnest(range(2))::INT AS j), (SELECT unnest(range(3))::INT AS i)")
-def integer_upscale_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every image; integer_upscale and its SQL take the first."""
+def integer_upscale(spark: SparkSession, d: str) -> DataFrame:
     return pixels.upscale(derived.black(spark, d), 3, 2)
 
 
@@ -203,16 +200,9 @@ for op, expr in {
 }.items():
 
     def two_gray(spark: SparkSession, d: str, op=op) -> DataFrame:
-        g = derived.gray(spark, d)
-        return pixels.gray_op(g.where("img = 0"), g.where("img = 1").withColumn("img", F.lit(0)), op)
-
-    two_gray.__name__ = f"gray_{op}"
-    query(f"SELECT a.img, a.y, a.x, ({expr})::INT AS gray FROM gray a JOIN gray b ON b.img = 1 AND a.y = b.y AND a.x = b.x WHERE a.img = 0")(two_gray)
-
-    def two_gray_all(spark: SparkSession, d: str, op=op) -> DataFrame:
-        """Every image, with itself a column on (the last column comes first); gray_* and their SQL take images 0 and 1."""
+        """Every image, with itself a column on (the last column comes first)."""
         g = derived.gray(spark, d)
         return pixels.gray_op(g, g.withColumn("x", (F.col("x") + 1) % WIDTH), op)
 
-    two_gray_all.__name__ = f"gray_{op}_all"
-    query(f"SELECT a.img, a.y, a.x, ({expr})::INT AS gray FROM gray a JOIN gray b ON a.img = b.img AND a.y = b.y AND a.x = (b.x + 1) % 64")(two_gray_all)
+    two_gray.__name__ = f"gray_{op}"
+    query(f"SELECT a.img, a.y, a.x, ({expr})::INT AS gray FROM gray a JOIN gray b ON a.img = b.img AND a.y = b.y AND a.x = (b.x + 1) % 64")(two_gray)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -59,8 +59,12 @@ def black(spark: SparkSession, sf_dir: str, threshold: int = 118) -> DataFrame:
     return gray(spark, sf_dir).where(F.col("gray") < threshold).select("img", "y", "x")
 
 
-def other(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters with structure: each block of 4 x 4 pixels has the level of its first one."""
+    g = gray(spark, sf_dir)
+    first = g.where("x % 4 = 0 AND y % 4 = 0")
+    step = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    return first.withColumn("dy", step).withColumn("dx", step).select("img", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "gray")
 
 
 #: The same tables for DuckDB, as common table expressions.
@@ -76,5 +80,6 @@ settings AS (SELECT img_ord, (5 + img_ord % 7)::DOUBLE AS margin_left, (4 + img_
   CASE WHEN img_ord % 4 = 0 THEN NULL ELSE ['left', 'center', 'right'][img_ord % 3 + 1] END AS align_h, CASE WHEN img_ord % 4 = 0 THEN NULL ELSE ['top', 'center', 'bottom'][img_ord // 3 % 3 + 1] END AS align_v
   FROM images WHERE img_ord % 5 <> 0),
 gray AS (SELECT (vec_id // 100)::INT AS img, (vec_id % 100)::INT AS y, (i - 1)::INT AS x, least(255, greatest(0, floor((embedding[i]::DOUBLE + 1) * 127.5::DOUBLE)))::INT AS gray FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i)),
-black AS (SELECT img, y, x FROM gray WHERE gray < 118)
+black AS (SELECT img, y, x FROM gray WHERE gray < 118),
+blocks AS (SELECT img, (y + j)::INT AS y, (x + i)::INT AS x, gray FROM gray, unnest(range(4)) AS a(j), unnest(range(4)) AS b(i) WHERE x % 4 = 0 AND y % 4 = 0)
 """

@@ -19,7 +19,7 @@ def gray(spark, sf_dir):
 
 def test_distance_maps_of_every_image(spark, sf_dir, gray):
     found = {k: np.full(a.shape, -1) for k, a in gray.items()}
-    rows = kernel_queries.kernel_distance_map_all(spark, sf_dir).collect()
+    rows = kernel_queries.kernel_distance_map(spark, sf_dir).collect()
     for r in rows:
         found[r.img][r.y, r.x] = r.v
     assert len(rows) == sum(a.size for a in gray.values())
@@ -38,13 +38,13 @@ BOTH = {
 
 @pytest.mark.parametrize("op", sorted(BOTH))
 def test_gray_operations_of_every_image(spark, sf_dir, gray, op):
-    found = {(r.img, r.y, r.x): r.gray for r in pixel_queries.QUERIES[f"gray_{op}_all"](spark, sf_dir).collect()}
+    found = {(r.img, r.y, r.x): r.gray for r in pixel_queries.QUERIES[f"gray_{op}"](spark, sf_dir).collect()}
     want = {k: BOTH[op](a, np.roll(a, 1, axis=1)) for k, a in gray.items()}
     assert found == {(k, y, x): v for k, a in want.items() for (y, x), v in np.ndenumerate(a)}
 
 
 def test_upscale_of_every_image(spark, sf_dir, gray):
-    found = sorted((r.img, r.y, r.x) for r in pixel_queries.integer_upscale_all(spark, sf_dir).collect())
+    found = sorted((r.img, r.y, r.x) for r in pixel_queries.integer_upscale(spark, sf_dir).collect())
     assert found == sorted((k, y, x) for k, a in gray.items() for y, x in np.argwhere(np.kron(a < 118, np.ones((2, 3)))).tolist())
 
 
