@@ -12,7 +12,8 @@ value is left. Nothing is sorted by hash, and a source of any size is at most BU
 
 Null sources are a source, last in order. Null texts have size 0. Rows with equal id and text share
 their hash and their fate; what a source takes misses its target by less than the rows of the one
-hash value at the boundary. Sources without words have target 0. Reruns agree.
+hash value at the boundary. Sources without words have target 0. Reruns agree. An empty table gives no rows; other
+columns are not looked at, and mixed() keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -108,9 +109,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.
     slim = written(sized(docs, id_col, text_col, source_col), "mix-sizes")
     state, n = thresholds(slim, weights, share, cap)
     s = small(state.select(F.col("source").alias("s_source"), "whole", "left", "prefix"), n)
-    d = docs.withColumn("h__", document_hash(docs[id_col], docs[text_col]))
-    taken = d.join(s, d[source_col].eqNullSafe(s["s_source"])).withColumn("copies__", copies()).where("copies__ > 0")
-    return taken.withColumn("copy__", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies__")))).select(*docs.columns)
+    d = docs.select(F.struct("*").alias("doc"), docs[source_col].alias("d_source"), document_hash(docs[id_col], docs[text_col]).alias("h__"))
+    taken = d.join(s, d["d_source"].eqNullSafe(s["s_source"])).select("doc", copies().alias("copies")).where("copies > 0")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

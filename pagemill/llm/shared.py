@@ -64,17 +64,18 @@ def mark(key: Column, text: Column) -> Column:
     return F.xxhash64(key, text)
 
 
-def picked(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def picked(docs: DataFrame, stay: DataFrame, rows: int, id_col: str, text_col: str) -> DataFrame:
     """The rows of docs that stay, with their columns as they are, whatever their names.
 
-    stay: row (monotonically_increasing_id() in docs) and mark of each. A row that isn't there again, or holds
-    something else, raises an error.
+    stay: row (monotonically_increasing_id() in docs) and mark of each. rows: how many docs had when it was read before. Another number,
+    or a row that holds something else now, raises an error.
     """
+    if docs.count() != rows:
+        raise RuntimeError(CHANGED)
     d = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"), mark(docs[id_col].cast("long"), docs[text_col]).alias("mark"))
     s = stay.select(F.col("row").alias("stay_row"), F.col("mark").alias("stay_mark"))
-    both = s.join(d, s["stay_row"] == d["row"], "left")
     same = F.when(F.col("mark") == F.col("stay_mark"), True).otherwise(F.raise_error(F.lit(CHANGED)).cast("boolean"))
-    return both.where(same).select("doc.*")
+    return d.join(s, d["row"] == s["stay_row"]).where(same).select("doc.*")
 
 
 def write_atomic(uri: str, data: bytes) -> None:
