@@ -58,7 +58,7 @@ GROUP = 256
 #: Tokens of all members after which a group is full, and cells of a matrix held at once.
 GROUP_TOKENS, CELLS = 500_000, 1 << 21
 #: Nodes of one smallest token, and queries of one group, that a task takes at once.
-SALT_NODES, SALT_QUERIES = 2048, 1024
+SALT_NODES, SALT_QUERIES = 512, 512
 #: Up to so many rows of at most some 100 bytes are broadcast, so that texts and sets are not shuffled to meet them.
 BROADCAST_ROWS = 200_000
 
@@ -199,8 +199,8 @@ def small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def linked_rows(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, row, mark, kept: a row for each row of docs.
+def linked_rows(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """(doc_id, n_shingles, component_id, row, mark, kept: a row for each row of docs; how many there are).
 
     row: monotonically_increasing_id() of the row in docs. mark: a hash of its id and text. kept: true for one row of each component, that
     of the smallest id (null ids last), then the first; true for rows with empty sets.
@@ -366,18 +366,19 @@ def linked_rows(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, i
     full = F.col("n") > 0
     rows = all_docs.select("doc_id", "row", "mark", "n", F.when(full, F.col("sig")).alias("sig")).join(of_sig, "sig", "left")
     component = F.when(full, F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "row", "mark", (~full | (F.col("row") == F.col("first_row"))).alias("kept"))
+    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "row", "mark", (~full | (F.col("row") == F.col("first_row"))).alias("kept"))
+    return rows, all_docs.count()
 
 
 def jaccard_components(docs: DataFrame, **options) -> DataFrame:
-    """linked_rows() without marks."""
-    return linked_rows(docs, **options).drop("mark")
+    """linked_rows() without marks: doc_id, n_shingles, component_id, row, kept."""
+    return linked_rows(docs, **options)[0].drop("mark")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that stay, one of each component, with all their columns."""
-    found = linked_rows(docs, id_col=id_col, text_col=text_col, **options)
-    return picked(docs, written(found.where("kept").select("row", "mark"), "components-kept"), id_col, text_col)
+    found, rows = linked_rows(docs, id_col=id_col, text_col=text_col, **options)
+    return picked(docs, written(found.where("kept").select("row", "mark"), "components-kept"), rows, id_col, text_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
