@@ -40,14 +40,25 @@ def aggregate_size(d: DataFrame) -> DataFrame:
 
 def leave_one_out(d: DataFrame) -> DataFrame:
     """loo_w, loo_h: the aggregate of the other pages, so what it becomes if the page changes is the larger of this and the
-    page's new size. The largest page and the second size, by two aggregates for each axis; no sort."""
-    a = d.where(aligned())
-    top = [a.agg(F.max(F.struct(c, (-F.col("ord")).alias("o"))).alias("m")).select(F.col(f"m.{c}").alias(f"top_{c}"), (-F.col("m.o")).alias(f"at_{c}")) for c in ("hard_w", "hard_h")]
-    d = d.join(F.broadcast(top[0]), how="cross").join(F.broadcast(top[1]), how="cross")  # one row each
-    second = [d.where(aligned() & (F.col("ord") != F.col(f"at_{c}"))).agg(F.coalesce(F.max(c), F.lit(0.0)).alias(f"next_{c}")) for c in ("hard_w", "hard_h")]
-    d = d.join(F.broadcast(second[0]), how="cross").join(F.broadcast(second[1]), how="cross")
-    pick = lambda c: F.when(F.col("ord") == F.col(f"at_{c}"), F.col(f"next_{c}")).otherwise(F.col(f"top_{c}"))
-    return d.withColumns({"loo_w": pick("hard_w"), "loo_h": pick("hard_h")}).drop(*[f"{p}_{c}" for p in ("top", "at", "next") for c in ("hard_w", "hard_h")])
+    page's new size. One aggregate of one row, by partial sums: for each axis the largest size, a page that has it, how many have it, and
+    the largest size below; the page that has it alone gets the next one."""
+    sizes = ("hard_w", "hard_h")
+    top = d.where(aligned()).agg(*[F.max(c).alias(f"top_{c}") for c in sizes])
+    both = d.where(aligned()).join(F.broadcast(top), how="cross")  # one row
+    rest = [
+        x for c in sizes for x in (
+            F.max(f"top_{c}").alias(f"top_{c}"), F.sum(F.when(F.col(c) == F.col(f"top_{c}"), 1)).alias(f"n_{c}"), F.max(F.when(F.col(c) == F.col(f"top_{c}"), F.col("ord"))).alias(f"at_{c}"),
+            F.max(F.when(F.col(c) < F.col(f"top_{c}"), F.col(c))).alias(f"next_{c}"),
+        )
+    ]
+    one = both.agg(*rest)
+
+    def pick(c: str) -> Column:
+        alone = aligned() & (F.col("ord") == F.col(f"at_{c}")) & (F.col(f"n_{c}") == 1)
+        return F.coalesce(F.when(alone, F.col(f"next_{c}")).otherwise(F.col(f"top_{c}")), F.lit(0.0))
+
+    d = d.join(F.broadcast(one), how="cross")  # one row
+    return d.withColumns({"loo_w": pick("hard_w"), "loo_h": pick("hard_h")}).drop(*[f"{p}_{c}" for p in ("top", "at", "n", "next") for c in sizes])
 
 
 def soft_margins(d: DataFrame) -> DataFrame:
@@ -117,11 +128,5 @@ def merge_params(d: DataFrame, fresh: str, stored: str) -> Column:
     return F.when((F.col("mode") == "manual") & F.col(stored).isNotNull(), F.col(stored)).when(F.col("stale"), F.col(fresh)).otherwise(F.col(stored))
 
 
-def first_in_group(d: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """The first row by `by` of each group, by a partial aggregate of whole rows."""
-    rest = [c for c in d.columns if c not in keys]
-    return d.groupBy(*keys).agg(F.min(F.struct(by, *[c for c in rest if c != by])).alias("m")).select(*keys, "m.*")
-
-
 def numbered(d: DataFrame, keys: list[str], by: str, name: str) -> DataFrame:
     return d.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(by)) - 1)

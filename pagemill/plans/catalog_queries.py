@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import geometry, text
-from pagemill.operators import catalog, layout
+from pagemill.operators import catalog, layout, updates
 from pagemill.sources import derived
 
 QUERIES: dict = {}
@@ -360,3 +360,129 @@ def exclusive_outputs(spark: SparkSession, d: str) -> DataFrame:
     p = pages_of(spark, d).select("img_ord", "sub_page")
     whole = derived.images(spark, d).where("img_ord % 6 = 0").select("img_ord")
     return p.where("sub_page <> 0").join(whole, "img_ord", "left_anti").unionByName(p.where("sub_page = 0"))
+
+
+@query(NORMAL + "SELECT img_ord, sub_page::INT AS sub_page FROM pages WHERE sub_page <> 0 OR img_ord % 6 <> 0")
+def exclusive_halves(spark: SparkSession, d: str) -> DataFrame:
+    """The other way round: the output of a whole page goes where one of its halves was written since."""
+    p = pages_of(spark, d).select("img_ord", "sub_page")
+    halves = derived.images(spark, d).where("img_ord % 6 = 0").select("img_ord")
+    return p.where("sub_page = 0").join(halves, "img_ord", "left_anti").unionByName(p.where("sub_page <> 0"))
+
+
+@query(LAYOUT + "SELECT img_ord, row_number() OVER (ORDER BY (cw < 0 OR ch < 0), CASE WHEN cw >= 0 AND ch >= 0 THEN hh END NULLS FIRST, ord) - 1 AS rank FROM hard")
+def order_by_height(spark: SparkSession, d: str) -> DataFrame:
+    r = layout.by_size(layout.hard_sizes(laid_out(spark, d)), "h", margins=True)
+    return catalog.ordered(r, "incomplete__", "size__", "ord", name="rank").select("img_ord", "rank")
+
+
+@query(LAYOUT + "SELECT img_ord, row_number() OVER (ORDER BY (cw < 0 OR ch < 0), CASE WHEN cw >= 0 AND ch >= 0 THEN cw END NULLS FIRST, ord) - 1 AS rank FROM hard")
+def order_by_content_width(spark: SparkSession, d: str) -> DataFrame:
+    r = layout.by_size(layout.hard_sizes(laid_out(spark, d)), "w", margins=False)
+    return catalog.ordered(r, "incomplete__", "size__", "ord", name="rank").select("img_ord", "rank")
+
+
+@query("SELECT file_id, CASE file_id % 4 WHEN 1 THEN 'color' WHEN 2 THEN 'mixed' ELSE 'bw' END AS mode, CASE file_id % 4 WHEN 2 THEN 'auto' WHEN 3 THEN 'manual' ELSE 'off' END AS dewarping FROM files")
+def parsed_modes(spark: SparkSession, d: str) -> DataFrame:
+    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (F.col("file_id") % 4 + 1).cast("int"))
+    return derived.files(spark, d).select("file_id", text.parse_enum(pick("bw", "color", "mixed", "grey"), text.COLOR_MODES).alias("mode"), text.parse_enum(pick("off", "on", "auto", "manual"), text.DEWARPING_MODES).alias("dewarping"))
+
+
+#: Stored split settings and actions on them, by rules on the position of an image.
+KINDS = ("single_uncut", "page_plus_offcut", "two_pages")
+STORED = """, stored AS (SELECT img_ord, CASE img_ord % 5 WHEN 0 THEN 'auto' WHEN 1 THEN ['single_uncut', 'page_plus_offcut', 'two_pages'][img_ord % 3 + 1] END AS layout_type, CASE WHEN img_ord % 5 IN (1, 2) THEN ['single_uncut', 'page_plus_offcut', 'two_pages'][img_ord % 3 + 1] END AS kind FROM images WHERE img_ord % 5 < 3),
+action AS (SELECT img_ord, img_ord % 4 < 2 AS set_type, ['single_uncut', 'page_plus_offcut', 'two_pages'][img_ord % 7 % 3 + 1] AS layout_type, img_ord % 4 > 0 AS set_kind, ['single_uncut', 'page_plus_offcut', 'two_pages'][img_ord % 11 % 3 + 1] AS kind FROM images WHERE img_ord % 6 < 4),
+merged AS (SELECT coalesce(s.img_ord, a.img_ord) AS img_ord, a.img_ord IS NOT NULL AS touched, s.layout_type AS own_type, s.kind AS own_kind,
+  CASE WHEN a.set_type THEN a.layout_type ELSE s.layout_type END AS new_type, CASE WHEN a.set_kind THEN a.kind ELSE s.kind END AS new_kind FROM stored s FULL JOIN action a ON a.img_ord = s.img_ord),
+judged AS (SELECT *, touched AND new_kind IS NOT NULL AND coalesce(new_type, 'two_pages') <> 'auto' AND new_kind <> coalesce(new_type, 'two_pages') AS bad FROM merged)
+"""
+
+
+def stored_settings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    o = F.col("img_ord")
+    kind = lambda x: F.element_at(F.array(*map(F.lit, KINDS)), (x % 3 + 1).cast("int"))
+    i = derived.images(spark, d).select("img_ord")
+    stored = i.where("img_ord % 5 < 3").select("img_ord", F.when(o % 5 == 0, "auto").when(o % 5 == 1, kind(o)).alias("layout_type"), F.when((o % 5).isin(1, 2), kind(o)).alias("kind"))
+    return stored, i.where("img_ord % 6 < 4").select("img_ord", (o % 4 < 2).alias("set_type"), kind(o % 7).alias("layout_type"), (o % 4 > 0).alias("set_kind"), kind(o % 11).alias("kind"))
+
+
+@query(STORED + "SELECT img_ord, new_type AS layout_type, CASE WHEN NOT bad THEN new_kind END AS kind FROM judged WHERE new_type IS NOT NULL OR (NOT bad AND new_kind IS NOT NULL)")
+def updated_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Parameters that conflict with a page's new layout type go."""
+    return updates.update(*stored_settings(spark, d), default="two_pages")
+
+
+@query(STORED + "SELECT img_ord, CASE WHEN bad THEN own_type ELSE new_type END AS layout_type, CASE WHEN bad THEN own_kind ELSE new_kind END AS kind, bad AS conflict FROM judged WHERE bad OR new_type IS NOT NULL OR new_kind IS NOT NULL")
+def conditionally_updated_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Updates that would conflict are refused and flagged."""
+    return updates.conditional_update(*stored_settings(spark, d), default="two_pages")
+
+
+@query(STORED + "SELECT img_ord, NULL::VARCHAR AS layout_type, kind FROM stored WHERE kind IS NULL OR kind = 'two_pages'")
+def layout_type_for_all(spark: SparkSession, d: str) -> DataFrame:
+    return updates.set_type_for_all(stored_settings(spark, d)[0], "two_pages")
+
+
+@query("""SELECT img_ord, CASE WHEN w > 0 AND h > 0 THEN 10.0 ELSE width / 2.0::DOUBLE - 0.01::DOUBLE END::DOUBLE AS left_, CASE WHEN w > 0 AND h > 0 THEN (20 + h)::DOUBLE ELSE height / 2.0::DOUBLE + 0.01::DOUBLE END::DOUBLE AS bottom_
+FROM (SELECT *, img_ord % 4 * 50 AS w, img_ord % 3 * 70 AS h FROM images)""")
+def empty_content(spark: SparkSession, d: str) -> DataFrame:
+    """Empty content boxes become a point in the middle of the page."""
+    o = F.col("img_ord")
+    page = F.struct(F.lit(0.0).alias("left"), F.lit(0.0).alias("top"), F.col("width").cast("double").alias("right"), F.col("height").cast("double").alias("bottom"))
+    box = geometry.content_or_point(F.lit(10.0), F.lit(20.0), 10.0 + o % 4 * 50, 20.0 + o % 3 * 70, page)
+    return derived.images(spark, d).select("img_ord", box["left"].alias("left_"), box["bottom"].alias("bottom_"))
+
+
+@query(""", q AS (SELECT img_ord, radians(img_ord % 9 - 4) AS t, width - 20 AS w, height - 30 AS h, margin_left AS ml, margin_top AS mt, margin_right AS mr, margin_bottom AS mb FROM images JOIN settings USING (img_ord))
+SELECT img_ord, round(10 * cos(t) - 15 * sin(t) - ml * cos(t) + mt * sin(t), 6) AS x0, round(10 * sin(t) + 15 * cos(t) - ml * sin(t) - mt * cos(t), 6) AS y0,
+round((10 + w) * cos(t) - (15 + h) * sin(t) + mr * cos(t) - mb * sin(t), 6) AS x2, round((10 + w) * sin(t) + (15 + h) * cos(t) + mr * sin(t) + mb * cos(t), 6) AS y2 FROM q""")
+def page_quads(spark: SparkSession, d: str) -> DataFrame:
+    """Turned content boxes with hard margins along their own sides: upper left and lower right corner."""
+    i = derived.images(spark, d).join(derived.settings(spark, d), "img_ord")
+    rect = F.struct(F.lit(10.0).alias("left"), F.lit(15.0).alias("top"), (F.col("width") - 10.0).alias("right"), (F.col("height") - 15.0).alias("bottom"))
+    q = geometry.extend_quad(geometry.quad(geometry.rotation(F.col("img_ord") % 9 - 4, F.lit(0.0), F.lit(0.0)), rect), *[F.col(f"margin_{k}") for k in ("left", "top", "right", "bottom")])
+    at = lambda k, c: F.round(F.get("q", F.lit(k))[c], 6)
+    return i.select("img_ord", q.alias("q")).select("img_ord", at(0, "x").alias("x0"), at(0, "y").alias("y0"), at(2, "x").alias("x2"), at(2, "y").alias("y2"))
+
+
+@query(""", s AS (SELECT img_ord, 100 * 300.0::DOUBLE / dpi_x AS x, 50 * 300.0::DOUBLE / dpi_y AS y, width * 300.0::DOUBLE / dpi_x AS w, height * 300.0::DOUBLE / dpi_y AS h, radians(img_ord % 5) AS t FROM images WHERE dpi_x > 1 AND dpi_y > 1),
+r AS (SELECT *, CASE img_ord % 4 WHEN 1 THEN h - y WHEN 2 THEN w - x WHEN 3 THEN y ELSE x END - 12 - 100 AS dx, CASE img_ord % 4 WHEN 1 THEN x WHEN 2 THEN h - y WHEN 3 THEN w - x ELSE y END - 8 - 150 AS dy FROM s)
+SELECT img_ord, round((dx * cos(t) - dy * sin(t) + 100 - 5) * 2, 4) AS tx, round((dx * sin(t) + dy * cos(t) + 150 - 7) * 2, 4) AS ty FROM r""")
+def affine_chain(spark: SparkSession, d: str) -> DataFrame:
+    """A point through scale, quarter turn, crop, rotation, crop and scale."""
+    i = derived.images(spark, d).where("dpi_x > 1 AND dpi_y > 1")
+    rect = lambda *v: F.struct(*[F.lit(float(x)).alias(n) for x, n in zip(v, ("left", "top", "right", "bottom"), strict=True)])
+    w, h, o = F.col("width").cast("double"), F.col("height").cast("double"), F.col("img_ord")
+    m = geometry.chain(w, h, F.col("dpi_x"), F.col("dpi_y"), F.lit(300.0), o % 4 * 90, rect(12, 8, 212, 308), o % 5, rect(5, 7, 150, 250), F.lit(600.0))
+    p = i.select("img_ord", geometry.apply(m, F.lit(100.0), F.lit(50.0)).alias("p"))
+    return p.select("img_ord", F.round("p.x", 4).alias("tx"), F.round("p.y", 4).alias("ty"))
+
+
+@query("""SELECT img_ord, round(CASE WHEN t < 0 THEN px * px + py * py WHEN t > 1 THEN (px - 40) * (px - 40) + (py - 30) * (py - 30) ELSE pow(px - t * 40, 2) + pow(py - t * 30, 2) END, 6)::DOUBLE AS squared,
+round((py * (img_ord % 5 + 6) - px * 4) / (30.0::DOUBLE * (img_ord % 5 + 6) - 160), 6) AS met
+FROM (SELECT *, (px * 40 + py * 30) / 2500.0::DOUBLE AS t FROM (SELECT img_ord, (img_ord % 100)::DOUBLE AS px, (img_ord % 37)::DOUBLE AS py FROM images))""")
+def segments_and_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Squared distance of a point from the segment (0, 0) to (40, 30), and where that line meets one through the point."""
+    o = F.col("img_ord")
+    px, py = (o % 100).cast("double"), (o % 37).cast("double")
+    met = geometry.line_intersection(F.lit(0.0), F.lit(0.0), F.lit(40.0), F.lit(30.0), px, py, px + o % 5 + 6, py + 4)
+    return derived.images(spark, d).select("img_ord", F.round(geometry.segment_distance(px, py, F.lit(0.0), F.lit(0.0), F.lit(40.0), F.lit(30.0)), 6).alias("squared"), F.round(met, 6).alias("met"))
+
+
+@query("SELECT img_ord, ((img_ord % 256) * 11 + (img_ord * 7 % 256) * 16 + (img_ord * 13 % 256) * 5) >> 5 AS gray FROM images")
+def gray_of_colours(spark: SparkSession, d: str) -> DataFrame:
+    o = F.col("img_ord")
+    return derived.images(spark, d).select("img_ord", geometry.to_gray(o % 256, o * 7 % 256, o * 13 % 256).alias("gray"))
+
+
+@query("SELECT img_ord, img_ord % 5 < 3 AS same FROM images")
+def same_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """A quad against itself, begun elsewhere, backwards, with a corner moved, and with a corner less."""
+    w, h = F.col("width").cast("double"), F.col("height").cast("double")
+    pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    zero = F.lit(0.0)
+    a, b, c, e = pt(zero, zero), pt(w, zero), pt(w, h), pt(zero, h)
+    close = pt(w + 1e-6, h - 1e-6)
+    o = F.col("img_ord") % 5
+    other = F.when(o == 0, F.array(a, b, c, e)).when(o == 1, F.array(close, e, a, b)).when(o == 2, F.array(e, c, b, a)).when(o == 3, F.array(a, b, pt(w + 1, h), e)).otherwise(F.array(a, b, c))
+    return derived.images(spark, d).select("img_ord", geometry.same_polygon(F.array(a, b, c, e), other).alias("same"))
