@@ -84,6 +84,12 @@ def project_scalar(p, a, b) -> float:
     return float((np.asarray(p, float) - a) @ d / (d @ d))
 
 
+def project_scalars(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """project_scalar() of many points, each on a line of its own."""
+    d = b - a
+    return ((p - a) * d).sum(axis=1) / (d * d).sum(axis=1)
+
+
 def homography(src, dst) -> np.ndarray:
     """The 3 x 3 projective map of four points to four."""
     rows, right = [], []
@@ -98,43 +104,95 @@ def mapped(m: np.ndarray, points) -> np.ndarray:
     return p[:, :2] / p[:, 2:]
 
 
+def line_maps(pairs: np.ndarray) -> np.ndarray:
+    """The projective maps of a line that take three numbers to three: pairs is (n, 3, 2), the result (n, 3) of a, b, c in (a t + b) / (c t + 1)."""
+    t, u = pairs[..., 0], pairs[..., 1]
+    return np.linalg.solve(np.stack([t, np.ones_like(t), -t * u], axis=-1), u[..., None])[..., 0]
+
+
 class Cylinder:
     """A page bent around a vertical axis, between a top and a bottom curve (polylines from left to right).
 
-    Unit coordinates: x by arc length along the curves, y from the top to the bottom one. Generatrices join points of
-    equal share; along one, depth changes y projectively, the more the stronger the curves bend.
+    The four ends of the curves make a plane, in which generatrices are upright. How far a curve leaves the straight line between its ends
+    tells how high the page rises there, `depth` times as much as the picture shows (MOST_RISE at most); unit x is the arc length of that profile.
+    Along a generatrix, unit y is projective: 0 on the top curve, 1 on the bottom one, and on the line that stays straight as in the plane.
     """
 
+    #: The greatest elevation, how near to a curve the straight line tells nothing, and the least weight of a place for it.
+    MOST_RISE, CLOSE, LEAST_WEIGHT = 0.5, 0.05, 0.01
+
     def __init__(self, top, bottom, depth: float = 2.0):
         self.top, self.bottom, self.depth = np.asarray(top, float), np.asarray(bottom, float), depth
+        self.image = homography([(0, 0), (1, 0), (0, 1), (1, 1)], [self.top[0], self.top[-1], self.bottom[0], self.bottom[-1]])
+        self.plane = np.linalg.inv(self.image)
+        self.curves = [self._forward(mapped(self.plane, c)) for c in (self.top, self.bottom)]
+        x = np.unique(np.concatenate([c[:, 0] for c in self.curves]))
+        on1, on2, line1, line2 = self._at(x)
+        low, high = project_scalars(line1, on1, on2), project_scalars(line2, on1, on2)
+        rise = np.clip(self.depth * (1 - (high - low)), -self.MOST_RISE, self.MOST_RISE)
+        arc = np.concatenate([[0.0], np.cumsum(np.hypot(np.diff(x), np.diff(rise)))])
+        self.length = float(arc[-1])
+        self.x, self.arc = x, arc / arc[-1]
+        weight = np.abs(low + 1 - high)
+        use = weight >= self.LEAST_WEIGHT
+        self.straight = 0.5
+        if use.any():
+            at = ((high * low + low * (1 - high)) / np.where(use, low + 1 - high, 1))[use, None]
+            y = mapped(self.plane, on1[use] + at * (on2[use] - on1[use]))[:, 1]
+            self.straight = float((y * weight[use]).sum() / weight[use].sum())
+
+    @staticmethod
+    def _forward(points: np.ndarray) -> np.ndarray:
+        """Without points that go back to the left."""
+        reach = np.maximum.accumulate(points[:, 0])
+        return points[np.concatenate([[True], points[1:, 0] > reach[:-1]])]
+
+    def _at(self, x: np.ndarray):
+        """For plane x: the points on the curves, and those of the plane's upper and lower edge, in the image."""
+        y1, y2 = (np.interp(x, c[:, 0], c[:, 1]) for c in self.curves)
+        return tuple(mapped(self.image, np.column_stack([x, y])) for y in (y1, y2, np.zeros_like(x), np.ones_like(x)))
+
+    def _generatrices(self, x: np.ndarray):
+        """(upper points, lower points, pairs of unit y and place between them)."""
+        on1, on2, line1, line2 = self._at(x)
+        p1, p2 = project_scalars(on1, line1, line2), project_scalars(on2, line1, line2)
+        if min(abs(self.straight), abs(self.straight - 1)) < self.CLOSE:
+            third, at = np.full_like(x, 0.5), (p1 + p2) / 2
+        else:
+            third, at = np.full_like(x, self.straight), project_scalars(mapped(self.image, np.column_stack([x, np.full_like(x, self.straight)])), line1, line2)
+        return line1, line2, np.stack([np.stack([np.zeros_like(x), p1], 1), np.stack([np.ones_like(x), p2], 1), np.stack([third, at], 1)], 1)
 
     def to_warped(self, unit) -> np.ndarray:
         unit = np.asarray(unit, float)
-        a, b = at_arc_length(self.top, unit[:, 0]), at_arc_length(self.bottom, unit[:, 0])
-        return a + unit[:, 1:] * (b - a)
+        line1, line2, pairs = self._generatrices(np.interp(unit[:, 0], self.arc, self.x))
+        m = line_maps(pairs)
+        t = (m[:, 0] * unit[:, 1] + m[:, 1]) / (m[:, 2] * unit[:, 1] + 1)
+        return line1 + t[:, None] * (line2 - line1)
 
-    def to_unit(self, points, steps: int = 40) -> np.ndarray:
-        """The inverse: halving of x until the generatrix passes through the point."""
+    def to_unit(self, points) -> np.ndarray:
         points = np.asarray(points, float)
-        lo, hi = np.zeros(len(points)), np.ones(len(points))
-        side = lambda x: (lambda a, b: (b - a)[:, 0] * (points - a)[:, 1] - (b - a)[:, 1] * (points - a)[:, 0])(at_arc_length(self.top, x), at_arc_length(self.bottom, x))
-        for _ in range(steps):
-            mid = (lo + hi) / 2
-            right = side(mid) < 0
-            lo, hi = np.where(right, mid, lo), np.where(right, hi, mid)
-        x = (lo + hi) / 2
-        a, b = at_arc_length(self.top, x), at_arc_length(self.bottom, x)
-        d = b - a
-        return np.column_stack([x, ((points - a) * d).sum(1) / (d * d).sum(1)])
-
-
-def dewarp(g: np.ndarray, model: Cylinder, h: int, w: int, outside: int = 255) -> np.ndarray:
-    """The bent area as an upright rectangle."""
-    y, x = np.mgrid[0:h, 0:w]
-    p = np.floor(model.to_warped(np.column_stack([((x + 0.5) / w).ravel(), ((y + 0.5) / h).ravel()]))).astype(int)
-    inside = (p >= 0).all(1) & (p[:, 0] < g.shape[1]) & (p[:, 1] < g.shape[0])
-    out = np.where(inside, g[np.clip(p[:, 1], 0, g.shape[0] - 1), np.clip(p[:, 0], 0, g.shape[1] - 1)], outside)
-    return out.reshape(h, w).astype(np.uint8)
+        x = mapped(self.plane, points)[:, 0]
+        line1, line2, pairs = self._generatrices(x)
+        m = line_maps(pairs[..., ::-1])
+        t = project_scalars(points, line1, line2)
+        return np.column_stack([np.interp(x, self.x, self.arc), (m[:, 0] * t + m[:, 1]) / (m[:, 2] * t + 1)])
+
+
+def dewarp(g: np.ndarray, model: Cylinder, h: int, w: int, outside: int = 255, samples: int = 2) -> np.ndarray:
+    """The bent area as an upright rectangle; each pixel is the mean of samples x samples points."""
+    total = np.zeros(h * w)
+    # a generatrix is found once for each column, not for each pixel
+    for i in range(samples):
+        x = np.interp((np.arange(w) + (i + 0.5) / samples) / w, model.arc, model.x)
+        line1, line2, pairs = model._generatrices(x)
+        m = line_maps(pairs)
+        for j in range(samples):
+            y = ((np.arange(h) + (j + 0.5) / samples) / h)[:, None]
+            t = (m[:, 0] * y + m[:, 1]) / (m[:, 2] * y + 1)
+            u, v = (np.floor(line1[:, k] + t * (line2 - line1)[:, k]).astype(int) for k in (0, 1))
+            inside = (u >= 0) & (v >= 0) & (u < g.shape[1]) & (v < g.shape[0])
+            total += np.where(inside, g[np.clip(v, 0, g.shape[0] - 1), np.clip(u, 0, g.shape[1] - 1)], outside).ravel()
+    return np.floor(total / samples**2 + 0.5).reshape(h, w).astype(np.uint8)
 
 
 def valid_model(top, bottom) -> bool:

@@ -103,12 +103,12 @@ def with_dpi_status(images: DataFrame) -> DataFrame:
 
 
 def followers(pages: DataFrame, anchor: Column) -> DataFrame:
-    """The anchor page and all after it; none if there is no such page."""
-    at = pages.where(anchor).select(F.col("ord").alias("from_ord"))
+    """The anchor page (of several the first) and all after it; none if there is no such page."""
+    at = pages.where(anchor).agg(F.min("ord").alias("from_ord"))  # one row
     return pages.join(F.broadcast(at), F.col("ord") >= F.col("from_ord")).drop("from_ord")
 
 
 def every_other(pages: DataFrame, anchor: Column) -> DataFrame:
-    """Pages an even number of places from the anchor; `ord` must be dense among the pages given."""
-    at = pages.where(anchor).select(F.col("ord").alias("from_ord"))
+    """Pages an even number of places from the anchor (of several the first); `ord` must be dense among the pages given."""
+    at = pages.where(anchor).agg(F.min("ord").alias("from_ord"))  # one row
     return pages.join(F.broadcast(at), (F.col("ord") - F.col("from_ord")) % 2 == 0).drop("from_ord")

@@ -37,7 +37,7 @@ def otsu(gray: DataFrame) -> DataFrame:
 
 def with_extents(gray: DataFrame) -> DataFrame:
     size = gray.groupBy("img").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    return gray.join(F.broadcast(size), "img")
+    return gray.join(size, "img")
 
 
 def sliding(gray: DataFrame, aggregate, rx: tuple[int, int], ry: tuple[int, int], name: str) -> DataFrame:
@@ -89,7 +89,7 @@ def wolf(gray: DataFrame, w: int, h: int, lower: int = 1, upper: int = 254) -> D
     """Pixels with `black`: darker than mean - 0.3 (1 - sigma / largest sigma) (mean - darkest), within bounds."""
     d = local_stats(gray, w, h).withColumns({"mean": F.col("mean").cast("float"), "sigma": F.col("sigma").cast("float")})
     one = d.groupBy("img").agg(F.max("sigma").cast("double").alias("top"), F.min("gray").alias("dark"))
-    d = d.join(F.broadcast(one), "img")
+    d = d.join(one, "img")
     mean = F.col("mean").cast("double")
     t = mean - F.lit(0.3) * (1 - F.col("sigma").cast("double") / F.nullif(F.col("top"), F.lit(0.0))) * (mean - F.col("dark"))
     g = F.col("gray")
@@ -165,7 +165,7 @@ def dominant_level(gray: DataFrame, window: int = 10) -> DataFrame:
     h = histogram(gray)
     dense = h.withColumn("s", F.sum("n").over(Window.partitionBy("img").orderBy("gray").rowsBetween(0, window - 1))).where(F.col("gray") <= LEVELS - window)
     best = dense.groupBy("img").agg(F.min(F.struct((-F.col("s")).alias("s"), "gray")).alias("m")).select("img", F.col("m.gray").alias("start"), (-F.col("m.s")).alias("total"))
-    d = h.join(F.broadcast(best), "img").where((F.col("gray") >= F.col("start")) & (F.col("gray") < F.col("start") + window))
+    d = h.join(best, "img").where((F.col("gray") >= F.col("start")) & (F.col("gray") < F.col("start") + window))
     d = d.withColumn("upto", F.sum("n").over(Window.partitionBy("img").orderBy("gray")))
     return d.where(F.col("upto") * 2 >= F.col("total")).groupBy("img").agg(F.min("gray").alias("level"))
 
@@ -184,6 +184,26 @@ def raster_op(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
     raise ValueError(op)
 
 
+def raster_expression(cells: DataFrame, rasters: dict[str, DataFrame], black) -> DataFrame:
+    """Pixels of `cells` that are black by an expression of any number of rasters, nested at will: black(columns) is given, by name, whether
+    each raster has the pixel. One aggregate over all, whatever the expression."""
+    flagged = cells.select("img", "y", "x").withColumn("k", F.lit(0))
+    for i, r in enumerate(rasters.values()):
+        flagged = flagged.unionByName(r.select("img", "y", "x").withColumn("k", F.lit((1 << i) | (1 << len(rasters)))))
+    inside = flagged.groupBy("img", "y", "x").agg(F.bit_or("k").alias("k"), F.min("k").alias("least"))
+    has = {name: F.col("k").bitwiseAND(F.lit(1 << i)) != 0 for i, name in enumerate(rasters)}
+    return inside.where((F.col("least") == 0) & black(has)).select("img", "y", "x")
+
+
+def gray_expression(rasters: dict[str, DataFrame], level) -> DataFrame:
+    """Levels by an expression of any number of rasters: level(columns) is given each raster's level by name. Pixels that all have."""
+    one = None
+    for name, r in rasters.items():
+        named = r.select("img", "y", "x", F.col("gray").alias(name))
+        one = named if one is None else one.join(named, ["img", "y", "x"])
+    return one.select("img", "y", "x", level({name: F.col(name) for name in rasters}).cast("int").alias("gray"))
+
+
 def gray_op(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
     """Levels of two rasters of equal size, by pixel."""
     x, y = F.col("gray"), F.col("other")

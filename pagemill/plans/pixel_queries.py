@@ -194,6 +194,29 @@ def raster_xor(spark: SparkSession, d: str) -> DataFrame:
     return pixels.raster_op(*two(spark, d), "xor")
 
 
+@query("""SELECT * FROM (SELECT img, y, x FROM gray) c WHERE ((img, y, x) IN (SELECT (img, y, x) FROM black)) <> ((img, y, x) IN (SELECT (img, y, x + 1) FROM black) AND NOT (img, y, x) IN (SELECT (img, y + 1, x) FROM black))
+OR ((img, y, x) IN (SELECT (img, y, x + 1) FROM black) AND (img, y, x) IN (SELECT (img, y + 1, x) FROM black))""")
+def raster_expression(spark: SparkSession, d: str) -> DataFrame:
+    """A raster, itself a column on and itself a row on: (a xor (b and not c)) or (b and c)."""
+    b = derived.black(spark, d)
+    three = {"a": b, "b": b.withColumn("x", F.col("x") + 1), "c": b.withColumn("y", F.col("y") + 1)}
+    return pixels.raster_expression(derived.gray(spark, d), three, lambda k: (k["a"] != (k["b"] & ~k["c"])) | (k["b"] & k["c"]))
+
+
+@query("SELECT img, y, x FROM gray WHERE (img, y, x) IN (SELECT (img, y, x) FROM black) OR NOT (img, y, x) IN (SELECT (img, y, x + 1) FROM black)")
+def raster_subtract_white(spark: SparkSession, d: str) -> DataFrame:
+    """Black, or not white in the other raster's sense: the white of one taken from the white of the other."""
+    a, b = two(spark, d)
+    return pixels.raster_expression(derived.gray(spark, d), {"a": a, "b": b}, lambda k: k["a"] | ~k["b"])
+
+
+@query("SELECT a.img, a.y, a.x, ((a.gray + b.gray * 2 + c.gray) // 4)::INT AS gray FROM gray a JOIN gray b ON a.img = b.img AND a.y = b.y AND a.x = b.x + 1 JOIN gray c ON a.img = c.img AND a.y = c.y AND a.x = c.x + 2")
+def gray_expression(spark: SparkSession, d: str) -> DataFrame:
+    g = derived.gray(spark, d)
+    three = {"a": g, "b": g.withColumn("x", F.col("x") + 1), "c": g.withColumn("x", F.col("x") + 2)}
+    return pixels.gray_expression(three, lambda k: F.floor((k["a"] + k["b"] * 2 + k["c"]) / 4))
+
+
 for op, expr in {
     "invert": "255 - a.gray", "clipped_subtract": "greatest(a.gray - b.gray, 0)", "unclipped_subtract": "(a.gray - b.gray + 256) % 256", "clipped_add": "least(a.gray + b.gray, 255)",
     "unclipped_add": "(a.gray + b.gray) % 256", "darkest": "least(a.gray, b.gray)", "lightest": "greatest(a.gray, b.gray)",

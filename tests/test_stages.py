@@ -141,6 +141,38 @@ def test_flat_cylinder_is_the_identity():
     assert curves.valid_model(bent.top, bent.bottom) and not curves.valid_model(bent.bottom, bent.top)
 
 
+def bent(depth=2.0, lift=30.0):
+    x = np.linspace(20, 380, 60)
+    bow = np.sin((x - 20) / 360 * np.pi)
+    return curves.Cylinder(np.column_stack([x, 60 - lift * bow]), np.column_stack([x, 240 + 5 * bow]), depth)
+
+
+def test_depth_changes_the_profile_and_maps_are_inverse():
+    p = np.random.default_rng(1).random((200, 2))
+    places = {}
+    for depth in (0.0, 0.5, 1.0, 3.0):
+        m = bent(depth)
+        assert np.allclose(m.to_unit(m.to_warped(p)), p, atol=1e-6)
+        places[depth] = m.to_warped(p)
+        for y, curve in ((0.0, m.top), (1.0, m.bottom)):  # the curves are the edges
+            q = m.to_warped(np.column_stack([np.linspace(0, 1, 50), np.full(50, y)]))
+            assert max(curves.nearest_on_polyline(curve, z)[1] for z in q) < 1e-6
+    assert np.abs(places[0.5] - places[3.0]).max() > 2 and bent(3.0).length > bent(0.5).length > bent(0.0).length
+    assert abs(bent(0.0).length - 1) < 1e-9  # a flat profile is as long as the plane is wide
+
+
+def test_bent_lines_come_out_straight():
+    m = bent()
+    g = np.full((300, 400), 255, np.uint8)
+    for y in (0.25, 0.5, 0.75):
+        for u, v in np.round(m.to_warped(np.column_stack([np.linspace(0, 1, 3000), np.full(3000, y)]))).astype(int).tolist():
+            g[v - 1 : v + 2, u] = 0
+    flat = curves.dewarp(g, m, 200, 360)
+    for y in (50, 100, 150):
+        assert (flat[y - 2 : y + 3].min(axis=0) < 100).mean() > 0.97
+    assert (flat[[25, 75, 125, 175]] == 255).mean() > 0.97
+
+
 def test_skew_of_a_turned_page():
     text = sheet(400, 400, 40, 360, 40, 360)
     angle, confidence = pagework.skew(pagework.rotated(text, 3.0))
