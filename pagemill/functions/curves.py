@@ -162,9 +162,13 @@ class Cylinder:
             third, at = np.full_like(x, self.straight), project_scalars(mapped(self.image, np.column_stack([x, np.full_like(x, self.straight)])), line1, line2)
         return line1, line2, np.stack([np.stack([np.zeros_like(x), p1], 1), np.stack([np.ones_like(x), p2], 1), np.stack([third, at], 1)], 1)
 
+    def plane_x(self, unit_x: np.ndarray) -> np.ndarray:
+        """Beyond the ends the page goes on flat."""
+        return np.interp(unit_x, self.arc, self.x) + np.minimum(unit_x, 0) + np.maximum(unit_x - 1, 0)
+
     def to_warped(self, unit) -> np.ndarray:
         unit = np.asarray(unit, float)
-        line1, line2, pairs = self._generatrices(np.interp(unit[:, 0], self.arc, self.x))
+        line1, line2, pairs = self._generatrices(self.plane_x(unit[:, 0]))
         m = line_maps(pairs)
         t = (m[:, 0] * unit[:, 1] + m[:, 1]) / (m[:, 2] * unit[:, 1] + 1)
         return line1 + t[:, None] * (line2 - line1)
@@ -175,19 +179,20 @@ class Cylinder:
         line1, line2, pairs = self._generatrices(x)
         m = line_maps(pairs[..., ::-1])
         t = project_scalars(points, line1, line2)
-        return np.column_stack([np.interp(x, self.x, self.arc), (m[:, 0] * t + m[:, 1]) / (m[:, 2] * t + 1)])
+        unit_x = np.interp(x, self.x, self.arc) + np.minimum(x - self.x[0], 0) + np.maximum(x - self.x[-1], 0)
+        return np.column_stack([unit_x, (m[:, 0] * t + m[:, 1]) / (m[:, 2] * t + 1)])
 
 
-def dewarp(g: np.ndarray, model: Cylinder, h: int, w: int, outside: int = 255, samples: int = 2) -> np.ndarray:
-    """The bent area as an upright rectangle; each pixel is the mean of samples x samples points."""
+def dewarp(g: np.ndarray, model: Cylinder, h: int, w: int, outside: int = 255, samples: int = 2, across: tuple[float, float] = (0.0, 1.0), down: tuple[float, float] = (0.0, 1.0)) -> np.ndarray:
+    """The bent area as an upright rectangle, or what lies between other unit coordinates; each pixel is the mean of samples x samples points."""
     total = np.zeros(h * w)
     # a generatrix is found once for each column, not for each pixel
     for i in range(samples):
-        x = np.interp((np.arange(w) + (i + 0.5) / samples) / w, model.arc, model.x)
+        x = model.plane_x(across[0] + (across[1] - across[0]) * (np.arange(w) + (i + 0.5) / samples) / w)
         line1, line2, pairs = model._generatrices(x)
         m = line_maps(pairs)
         for j in range(samples):
-            y = ((np.arange(h) + (j + 0.5) / samples) / h)[:, None]
+            y = (down[0] + (down[1] - down[0]) * (np.arange(h) + (j + 0.5) / samples) / h)[:, None]
             t = (m[:, 0] * y + m[:, 1]) / (m[:, 2] * y + 1)
             u, v = (np.floor(line1[:, k] + t * (line2 - line1)[:, k]).astype(int) for k in (0, 1))
             inside = (u >= 0) & (v >= 0) & (u < g.shape[1]) & (v < g.shape[0])

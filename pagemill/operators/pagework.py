@@ -66,14 +66,19 @@ def smooth_edges(b: np.ndarray) -> np.ndarray:
     return b
 
 
-def rendered(g: np.ndarray, mode: str = "bw", threshold: int = 0, normalize: bool = True, level: str = "cautious", fill: list | None = None, zones: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(output plane, specks taken away). Black and white: normalise, smooth, binarize, smooth edges, despeckle, fill zones, in this
+def rendered(g: np.ndarray, *args, **options) -> tuple[np.ndarray, np.ndarray]:
+    """(output plane, specks taken away), as rendered_parts() has them."""
+    return rendered_parts(g, *args, **options)[:2]
+
+
+def rendered_parts(g: np.ndarray, mode: str = "bw", threshold: int = 0, normalize: bool = True, level: str = "cautious", fill: list | None = None, zones: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(output plane, specks taken away, picture mask). Black and white: normalise, smooth, binarize, smooth edges, despeckle, fill zones, in this
     order. Mixed: pictures keep their levels, none of them white. Zones: (kind, polygon) with kind eraser1, painter2 or eraser3
     of the picture mask; fill: (level, polygon)."""
     none = np.zeros_like(g, bool)
     if mode == "color":
         out = np.minimum(g, 254) if not normalize else np.minimum(normalised(g), 254)
-        return filled(out, fill or [], 254), none
+        return filled(out, fill or [], 254), none, none
     flat = normalised(g) if normalize else g
     soft = rasters.smooth_local(flat, 5, 5, 3, 3)
     b = soft < int(np.clip(rasters.otsu(soft) + threshold, LEAST_THRESHOLD, MOST_THRESHOLD))
@@ -89,7 +94,7 @@ def rendered(g: np.ndarray, mode: str = "bw", threshold: int = 0, normalize: boo
         b &= ~mask
     clean = rasters.despeckle(b, level) if level != "off" else b
     out = np.where(mask, np.minimum(flat, 254), np.where(clean, 0, 255)).astype(np.uint8)
-    return filled(out, [(0 if v < 128 and mode == "bw" else 255 if mode == "bw" else v, p) for v, p in fill or []], 255), b & ~clean
+    return filled(out, [(0 if v < 128 and mode == "bw" else 255 if mode == "bw" else v, p) for v, p in fill or []], 255), b & ~clean, mask
 
 
 def filled(out: np.ndarray, fill: list, most: int) -> np.ndarray:

@@ -251,7 +251,7 @@ def stage_layout(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def stage_output(spark: SparkSession, d: str) -> DataFrame:
-    return stages.run(gray_images(spark, d), dpi=100)
+    return stages.run(gray_images(spark, d), dpi=100).drop("speckles", "mask")
 
 
 @query(", b AS (SELECT * FROM gray) SELECT img::BIGINT AS img, y::BIGINT AS y, x::BIGINT AS x, gray::BIGINT AS v FROM b")

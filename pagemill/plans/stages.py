@@ -15,14 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.operators import content, layout, pagework, rasters, split
+from pagemill.operators import content, dewarp, layout, pagework, rasters, split
 
 #: x0 to y1: the box of the page; left_edge and right_edge: x of its edges at the top and the bottom; error: why an image has no pages.
 ESTIMATES = (
     "img long, sub_page int, layout string, x0 int, y0 int, x1 int, y1 int, left_edge array<double>, right_edge array<double>, angle double, confidence double, "
     "left int, top int, right int, bottom int, error string"
 )
-OUTPUT = "img long, sub_page int, height int, width int, data binary, specks long"
+#: speckles and mask: planes of 0 and 1, of the specks taken away and of pictures.
+OUTPUT = "img long, sub_page int, height int, width int, data binary, specks long, speckles binary, mask binary"
 
 
 def estimate(images: DataFrame, rotation: int = 0, layout_type: str = "auto", manual_angle: float | None = None, dpi: float = 100, box: tuple[int, int, int, int] | None = None, level: str = "normal", last: int = 6) -> DataFrame:
@@ -91,10 +92,35 @@ def laid_out(estimates: DataFrame, dpi: int, settings: DataFrame | None = None,
     return layout.page_sizes(d.withColumns({c: F.when(F.col("known__"), F.col(c)).otherwise(v) for c, v in defaults.items()}).drop("known__"))
 
 
-def render(images: DataFrame, pages: DataFrame, dpi: int, rotation: int = 0, **options) -> DataFrame:
-    """OUTPUT: each page cut out, turned, put on its sheet and rendered. pages: of laid_out(). options: of pagework.rendered()."""
+def on_sheet(page: np.ndarray, p: dict, dpi: float, out_dpi: float, white_margins: bool, dewarping: str, depth: float) -> np.ndarray:
+    """A turned page on its sheet of the common size at out_dpi: its content, or all of it that reaches the sheet."""
+    px = lambda mm: int(round(mm * out_dpi / 25.4))
+    sheet = np.full((max(1, px(p["page_h"])), max(1, px(p["page_w"]))), 255, np.uint8)
+    if p.get("left") is None:
+        return sheet
+    k = out_dpi / dpi
+    page = split.at_dpi(page, dpi, out_dpi)
+    left, top, right, bottom = (int(round(p[c] * k)) for c in ("left", "top", "right", "bottom"))
+    y, x = px(p["margin_top"] + p["soft_top"]), px(p["margin_left"] + p["soft_left"])
+    part = page[top:bottom, left:right]
+    if dewarping == "auto":
+        part = dewarp.flattened(part, depth)
+    elif not white_margins:  # as it is: what lies around the content comes along
+        up, back = min(y, top), min(x, left)
+        part, y, x = page[top - up : top + sheet.shape[0] - y, left - back : left + sheet.shape[1] - x], y - up, x - back
+    part = part[: sheet.shape[0] - y, : sheet.shape[1] - x]
+    sheet[y : y + part.shape[0], x : x + part.shape[1]] = part
+    return sheet
+
+
+def render(
+    images: DataFrame, pages: DataFrame, dpi: int, rotation: int = 0, out_dpi: int | None = None, white_margins: bool = True, dewarping: str = "off", depth: float = 2.0, **options
+) -> DataFrame:
+    """OUTPUT: each page cut out, turned, put on its sheet and rendered. pages: of laid_out(). dewarping: off or auto, with the depth of curls.
+    options: of pagework.rendered()."""
     cols = ["sub_page", "left_edge", "right_edge", "angle", "left", "top", "right", "bottom", "page_w", "page_h", "margin_left", "margin_top", "soft_left", "soft_top"]
     todo = pages.groupBy("img").agg(F.to_json(F.collect_list(F.struct(*cols))).alias("pages"))
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches):
         for b in batches:
@@ -102,17 +128,10 @@ def render(images: DataFrame, pages: DataFrame, dpi: int, rotation: int = 0, **o
                 g = rasters.rotate_quarter(np.frombuffer(data, np.uint8).reshape(h, w), rotation)
                 for p in json.loads(text):
                     page = pagework.rotated(split.cut_page(g, p["left_edge"], p["right_edge"])[0], -p["angle"])
-                    px = lambda mm: int(round(mm * dpi / 25.4))
-                    sheet = np.full((max(1, px(p["page_h"])), max(1, px(p["page_w"]))), 255, np.uint8)
-                    if "left" in p:
-                        content = page[p["top"] : p["bottom"], p["left"] : p["right"]]
-                        y, x = px(p["margin_top"] + p["soft_top"]), px(p["margin_left"] + p["soft_left"])
-                        content = content[: sheet.shape[0] - y, : sheet.shape[1] - x]
-                        sheet[y : y + content.shape[0], x : x + content.shape[1]] = content
-                    out, specks = pagework.rendered(sheet, **options)
-                    rows = [(img, p["sub_page"], *out.shape, out.tobytes(), int(specks.sum()))]
-                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in OUTPUT.split(", ")])
+                    sheet = on_sheet(page, p, dpi, out_dpi or dpi, white_margins, dewarping, depth)
+                    out, specks, mask = pagework.rendered_parts(sheet, **options)
+                    row = (img, p["sub_page"], *out.shape, out.tobytes(), int(specks.sum()), specks.astype(np.uint8).tobytes(), mask.astype(np.uint8).tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in OUTPUT.split(", ")])
 
     return images.select("img", "height", "width", "data").join(todo, "img").mapInArrow(run, OUTPUT)
 

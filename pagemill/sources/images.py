@@ -7,7 +7,10 @@ What can't be read gives a row with `error` and nulls.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -316,6 +319,44 @@ def as_tiff(images: DataFrame, dpi: tuple[int, int] = (0, 0), binary: bool = Fal
     return images.select("img", "height", "width", "data").mapInArrow(encode, "img long, tiff binary")
 
 
+def write_file(uri: str, data: bytes) -> None:
+    """A file at a path or uri; it appears whole, and a repeated task replaces it by the same."""
+    if "://" in uri and not uri.startswith("file:"):
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(uri)
+        system.create_dir(path.rpartition("/")[0], recursive=True)
+        temp = f"{path}.{uuid.uuid4().hex}"
+        with system.open_output_stream(temp) as out:
+            out.write(data)
+        system.move(temp, path)
+        return
+    path = os.path.abspath(re.sub("^file:/*", "/", uri))
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    temp = f"{path}.{uuid.uuid4().hex}"
+    with open(temp, "wb") as out:
+        out.write(data)
+    os.replace(temp, path)
+
+
+def write_tiffs(pictures: DataFrame, folder: str, dpi: tuple[int, int] = (0, 0)) -> DataFrame:
+    """name and size of the files written below a folder that all executors share. pictures: name, height, width, data, binary (black and
+    white: 0 is black in a gray plane, 1 in a mask)."""
+
+    def write(batches):
+        for b in batches:
+            rows = []
+            for name, h, w, data, binary in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                g = np.frombuffer(data, np.uint8).reshape(h, w)
+                body = tiff_bytes((g == 1) if binary and name.startswith("cache/") else (g < 128) if binary else g, dpi)
+                write_file(f"{folder}/{name}", body)
+                rows.append((name, len(body)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64())], names=["name", "size"])
+
+    return pictures.select("name", "height", "width", "data", "binary").mapInArrow(write, "name string, size long")
+
+
 def listed_files(spark: SparkSession, path: str) -> DataFrame:
     """Names from a text of white-space separated names."""
     return spark.read.text(path).select(F.explode(F.split(F.trim("value"), "\\s+")).alias("file_path")).where("file_path <> ''")
