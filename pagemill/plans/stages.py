@@ -92,8 +92,9 @@ def laid_out(estimates: DataFrame, dpi: int, settings: DataFrame | None = None,
     return layout.page_sizes(d.withColumns({c: F.when(F.col("known__"), F.col(c)).otherwise(v) for c, v in defaults.items()}).drop("known__"))
 
 
-def on_sheet(page: np.ndarray, p: dict, dpi: float, out_dpi: float, white_margins: bool, dewarping: str, depth: float) -> np.ndarray:
-    """A turned page on its sheet of the common size at out_dpi: its content, or all of it that reaches the sheet."""
+def on_sheet(page: np.ndarray, p: dict, dpi: float, out_dpi: float, white_margins: bool, normalize: bool, dewarping: str, depth: float) -> np.ndarray:
+    """A turned page on its sheet of the common size at out_dpi: its content, or all of it that reaches the sheet. Levels are made even before white comes
+    around them."""
     px = lambda mm: int(round(mm * out_dpi / 25.4))
     sheet = np.full((max(1, px(p["page_h"])), max(1, px(p["page_w"]))), 255, np.uint8)
     if p.get("left") is None:
@@ -109,12 +110,14 @@ def on_sheet(page: np.ndarray, p: dict, dpi: float, out_dpi: float, white_margin
         up, back = min(y, top), min(x, left)
         part, y, x = page[top - up : top + sheet.shape[0] - y, left - back : left + sheet.shape[1] - x], y - up, x - back
     part = part[: sheet.shape[0] - y, : sheet.shape[1] - x]
+    if normalize and part.size:
+        part = pagework.normalised(part)
     sheet[y : y + part.shape[0], x : x + part.shape[1]] = part
     return sheet
 
 
 def render(
-    images: DataFrame, pages: DataFrame, dpi: int, rotation: int = 0, out_dpi: int | None = None, white_margins: bool = True, dewarping: str = "off", depth: float = 2.0, **options
+    images: DataFrame, pages: DataFrame, dpi: int, rotation: int = 0, out_dpi: int | None = None, white_margins: bool = True, normalize: bool = True, dewarping: str = "off", depth: float = 2.0, **options
 ) -> DataFrame:
     """OUTPUT: each page cut out, turned, put on its sheet and rendered. pages: of laid_out(). dewarping: off or auto, with the depth of curls.
     options: of pagework.rendered()."""
@@ -128,8 +131,8 @@ def render(
                 g = rasters.rotate_quarter(np.frombuffer(data, np.uint8).reshape(h, w), rotation)
                 for p in json.loads(text):
                     page = pagework.rotated(split.cut_page(g, p["left_edge"], p["right_edge"])[0], -p["angle"])
-                    sheet = on_sheet(page, p, dpi, out_dpi or dpi, white_margins, dewarping, depth)
-                    out, specks, mask = pagework.rendered_parts(sheet, **options)
+                    sheet = on_sheet(page, p, dpi, out_dpi or dpi, white_margins, normalize, dewarping, depth)
+                    out, specks, mask = pagework.rendered_parts(sheet, normalize=False, **options)
                     row = (img, p["sub_page"], *out.shape, out.tobytes(), int(specks.sum()), specks.astype(np.uint8).tobytes(), mask.astype(np.uint8).tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in OUTPUT.split(", ")])
 
