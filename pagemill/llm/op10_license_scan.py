@@ -8,28 +8,27 @@ retrieves it. A template, or piece, of s shingles belongs to the scale k with 2^
 s / 2^(k+1) or more, over a quarter. Each of BANDS bands is one value (rows = 1), the least or the
 greatest under one of BANDS / 2 permutations, each as likely as J to be of a shingle of both: a window
 with a template of similarity J shares a band with probability 1 - (1 - J)^BANDS, with 16 bands
-99.0 % at a quarter and 99.998 % at a half. At a containment of CONTAINMENT the least similarity is 4 of 17 (98.6 %, five
+99.0 % at a quarter and 99.998 % at a half. At a containment of CONTAINMENT the least similarity is 8 of 33 (98.8 %, nine
 shingles), for a piece with as large a share 13 of 35 or 52 of 140 (99.9 %); a long template is missed only if all pieces are. Windows of a larger scale take their values from those of
-the scale below. Templates of one shingle need no bands: their window is the shingle. 
-The table of template bands has BANDS entries for each template or piece and the templates are a parameter of
-bounded size (MOST_TEMPLATES), so bands are looked up in literal sets, without a join. Windows that share
-a band are verified: the share of all of the template's shingles that the document's shingles from the
-window on, as many as the template has and one window more, contain; for templates in pieces, that all of the document's
-shingles contain. The match stands at CONTAINMENT or more.
+the scale below. Templates of at most DIRECT shingles need no bands: a window is one shingle, and each of theirs retrieves them.
+
+Three steps. A pass over the documents keeps the band values that any template has, looked up in literal sets; documents with
+such hits, the few that are candidates, are written with their shingles. Their hits meet the table of template bands in an equi-join, which
+names the templates of each document. Each named template is verified: the share of its shingles that the document contains, which stands
+at CONTAINMENT or more. The tables of bands and templates are broadcast; they hold TEMPLATES_A_PASS templates at most, and more
+templates take more passes.
 
 Templates of fewer than SHINGLE words are one shingle of all their words, found by lookup. A template with marks (MARKS) stands only if the
 document holds the marks too: they tell versions apart whose notices differ in a word. A licence whose text holds that of another
 (BSD-3-Clause that of BSD-2-Clause) matches both.
 
-Null and empty texts match nothing; repeated rows match alike; a document matches a template once,
-with its best containment. Documents without a match give no row.
+Null and empty texts match nothing; repeated rows match alike; a document matches a template once. Documents without a match give no
+row, an empty table gives none. Texts of any length are taken whole, and columns other than id and text are not looked at.
 """
 
 from __future__ import annotations
 
 import string
-from functools import reduce
-from operator import and_
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.op05_url_filter import LOWER, UPPER
 from pagemill.llm.op06_quality_rules import words
-from pagemill.llm.shared import let, table
+from pagemill.llm.shared import WORD, let, table, written
 
 SHINGLE = 5
 BANDS = 16
@@ -45,10 +44,14 @@ CONTAINMENT = 0.8
 MOST_SHINGLES = 16
 #: Templates of more than LONG shingles are cut into pieces of LONG_PIECE, to have fewer literals.
 LONG, LONG_PIECE = 256, 64
-MOST_TEMPLATES = 500
+#: Templates of so many shingles or fewer are retrieved by each shingle.
+DIRECT = 8
+#: Templates whose bands are looked up in one pass over the documents.
+TEMPLATES_A_PASS = 500
 
 PUNCTUATION = string.punctuation + "\u2018\u2019\u201c\u201d\u2013\u2014\u2026\u00ab\u00bb\u2022"
-MATCH = "struct<template:string,containment:double,n_windows:bigint>"
+HIT = "array<struct<scale:int,start:int,band:int,value:bigint>>"
+RESULT = "doc_id long, template string, containment double, n_windows long"
 
 #: (template id, text): one-line notices, headers of files, and the full texts (without copyright lines) in licenses/.
 NOTICES = (
@@ -126,72 +129,61 @@ def permuted(h: Column, k: int) -> Column:
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, size: int = SHINGLE, bands: int = BANDS, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text", marks=MARKS) -> DataFrame:
-    """doc_id, template, containment, n_windows (that shared a band and were verified)."""
+    """doc_id, template, containment, n_windows (that shared a band)."""
+    spark, found = docs.sparkSession, None
+    for i in range(0, len(templates), TEMPLATES_A_PASS):
+        part = _scan(docs, templates[i : i + TEMPLATES_A_PASS], size, bands, containment, id_col, text_col, marks)
+        if part is not None:
+            found = part if found is None else found.unionByName(part)
+    return spark.createDataFrame([], RESULT) if found is None else found
+
+
+def _scan(docs: DataFrame, templates, size: int, bands: int, containment: float, id_col: str, text_col: str, marks) -> DataFrame | None:
     spark = docs.sparkSession
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError(f"more than {MOST_TEMPLATES} templates")
-    t = spark.createDataFrame([(i, str(a), b) for i, (a, b) in enumerate(templates)], "key int, template string, text string").withColumn("s", F.array_distinct(shingles(F.col("text"), size)))
-    t = t.withColumn("n", F.size(words(normal(F.col("text")))))
-    whole = F.coalesce(*[F.when(F.col("n") == m, F.get(shingles(F.col("text"), m), 0)) for m in range(1, size)], F.lit(None).cast("long"))
-    short = t.where((F.col("n") > 0) & (F.col("n") < size)).select("template", "n", whole.alias("x")).collect()
     marked = [(a, b) for a, _ in templates for b in marks.get(a, ())]
-    must: dict[str, set] = {}
-    for r in spark.createDataFrame(marked, "template string, text string").select("template", shingles(F.col("text"), size).alias("s")).collect():
-        must.setdefault(r.template, set()).update(r.s)
-    t = t.where(F.size("s") > 0)
-    full = {r.key: (r.template, r.s) for r in t.select("key", "template", F.concat_ws(" ", F.transform("s", lambda x: x.cast("string"))).alias("s")).collect()}
-    t = t.withColumn("piece", F.explode(pieces(F.col("s"))))
-    t = t.withColumn("bands", F.flatten(F.array(*[let(permuted(F.col("piece"), k), lambda y: F.array(F.array_min(y), F.array_max(y))) for k in range(bands // 2)])))
-    known = t.select("key", F.size("piece").alias("n"), "bands").collect()
-    if not known and not short:
-        return spark.createDataFrame([], "doc_id long, template string, containment double, n_windows long")
-    by_scale: dict[int, list] = {}
-    for r in known:
-        by_scale.setdefault(scale_of(r.n), []).append(r)
-
-    last = max(by_scale, default=0)
-    none = F.array().cast(f"array<{MATCH}>")
-
-    def match(h: Column, at: Column, k: int, template: str, s: str) -> Column:
-        share = contained(h, at, s, 2 ** (k + 1))
-        marks_of = sorted(must.get(template, ()))
-        if marks_of:
-            share = let(share, lambda c: F.when(reduce(and_, [F.array_contains(h, F.lit(x)) for x in marks_of], c >= containment), c))
-        return F.struct(F.lit(template).alias("template"), share.alias("containment"), F.size(at).cast("long").alias("n_windows"))
-
-    def matches(h: Column, at: dict[int, Column]) -> Column:
-        every = [F.when(F.size(at[k]) > 0, F.array(*[match(h, at[k], k, *full[x]) for x in dict.fromkeys(r.key for r in rows)])).otherwise(none) for k, rows in by_scale.items()]
-        return F.filter(F.concat(*every), lambda m: m["containment"] >= containment)
-
-    def short_matches(m: int) -> Column:
-        def found_in(g: Column, r) -> Column:
-            n = F.size(F.filter(g, lambda y: y == r.x)).cast("long")
-            return F.struct(F.lit(r.template).alias("template"), F.when(n > 0, F.lit(1.0)).alias("containment"), n.alias("n_windows"))
-
-        of = lambda g: F.filter(F.array(*[found_in(g, r) for r in short if r.n == m]), lambda x: x["containment"] >= containment)
-        return let(shingles(docs[text_col], m), of)
-
-    def from_scale(k: int, h: Column, b: Column, at: dict[int, Column]) -> Column:
-        """The matches, given what the smaller scales found and the block extremes of scale k."""
-        go_on = lambda at: matches(h, at) if k == last else let(paired(b, bands), lambda b: from_scale(k + 1, h, b, at))
-        if k not in by_scale:
-            return go_on(at)
-        return let(windows(b, 2**k, by_scale[k], bands), lambda x: go_on(at | {k: x}))
+    must = spark.createDataFrame(marked, "template string, mark string").groupBy("template").agg(F.array_distinct(F.flatten(F.collect_list(shingles(F.col("mark"), size)))).alias("must"))
+    t = spark.createDataFrame([(i, str(a), b) for i, (a, b) in enumerate(templates)], "key int, template string, text string").join(F.broadcast(must), "template", "left")
+    whole = F.coalesce(*[F.when(F.size(words(normal(F.col("text")))) == m, F.get(shingles(F.col("text"), m), 0)) for m in range(1, size)], F.lit(None).cast("long"))
+    t = t.select("key", "template", "must", F.size(words(normal(F.col("text")))).alias("n_words"), F.array_distinct(shingles(F.col("text"), size)).alias("s"), whole.alias("whole"))
+    t = written(t.where("n_words > 0"), "license-templates")
+
+    short = t.where(F.col("n_words") < size).select("key", (-F.col("n_words")).alias("scale"), F.lit(0).alias("band"), F.col("whole").alias("value")).collect()
+    pieced = t.where(F.size("s") > 0).select("key", F.explode(pieces(F.col("s"))).alias("piece"))
+    values = F.flatten(F.array(*[let(permuted(F.col("piece"), k), lambda y: F.array(F.array_min(y), F.array_max(y))) for k in range(bands // 2)]))
+    known = [tuple(r) for r in short]
+    for r in pieced.withColumn("bands", values).collect():
+        few = len(r.piece) <= DIRECT
+        known += [(r.key, 0 if few else scale_of(len(r.piece)), 0 if few else k, v) for k, v in enumerate(r.piece if few else r.bands)]
+    if not known:
+        return None
+    wanted: dict[int, dict[int, set]] = {}
+    for _, scale, band, v in known:
+        wanted.setdefault(scale, {}).setdefault(band, set()).add(v)
+    scales = sorted(k for k in wanted if k > 0)
+
+    def from_scale(k: int, b: Column) -> list[Column]:
+        """The hits at scale k, whose block extremes are b, and those above."""
+        mine = hits(b, k, wanted[k]) if k in wanted else None
+        above = let(paired(b, bands), lambda b: F.concat(*from_scale(k + 1, b))) if k < scales[-1] else None
+        return [x for x in (mine, above) if x is not None]
 
     def of(h: Column) -> Column:
-        at = {0: places(h, [int(full[r.key][1]) for r in by_scale[0]])} if 0 in by_scale else {}
-        if last == 0:
-            return matches(h, at)
-        k = min(x for x in by_scale if x > 0)
-        return let(blocks(h, 2**k, bands), lambda b: from_scale(k, h, b, at))
-
-    h = shingles(docs[text_col], size)
-    found = let(h, lambda h: F.when(F.size(h) > 0, of(h))) if by_scale else none
-    if short:
-        found = F.concat(F.coalesce(found, none), *[short_matches(m) for m in sorted({r.n for r in short})])
-    # an outer explode: for an inner one Spark would evaluate the array twice, to filter empty ones
-    rows = docs.select(docs[id_col].alias("doc_id"), F.explode_outer(found).alias("m"))
-    return rows.select("doc_id", "m.template", "m.containment", "m.n_windows").where(F.col("containment") >= containment)
+        found = [places(h, 0, wanted[0][0])] if 0 in wanted else []
+        if scales:
+            found.append(F.when(F.size(h) > 0, let(blocks(h, 2 ** scales[0], bands), lambda b: F.concat(*from_scale(scales[0], b)))).otherwise(F.array().cast(HIT)))
+        found += [places(shingles(docs[text_col], -m), m, wanted[m][0]) for m in wanted if m < 0]
+        return F.struct(h.alias("h"), F.concat(*found).alias("hits"))
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("doc_id"), let(shingles(docs[text_col], size), of).alias("x"))
+    candidates = written(rows.select("row", "doc_id", "x.h", "x.hits").where(F.size("hits") > 0), "license-candidates")
+    table_of_bands = F.broadcast(spark.createDataFrame(known, "key int, scale int, band int, value long"))
+    hit = candidates.select("row", F.explode("hits").alias("x")).select("row", "x.*")
+    named = hit.join(table_of_bands, ["scale", "band", "value"]).groupBy("row", "key").agg(F.size(F.collect_set(F.struct("scale", "start"))).cast("long").alias("n_windows"))
+    each = candidates.select("row", "doc_id", "h").join(named, "row").join(F.broadcast(t), "key")
+    n = F.size("s")
+    share = F.when(n == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect("h", "s")) / n.cast("double"))
+    held = F.coalesce(F.size(F.array_except("must", "h")) == 0, F.lit(True))
+    return each.where(held).select("doc_id", "template", share.alias("containment"), "n_windows").where(F.col("containment") >= containment)
 
 
 def blocks(h: Column, step: int, bands: int) -> Column:
@@ -221,31 +213,54 @@ def paired(b: Column, bands: int) -> Column:
     return F.struct(*[F.struct(of(2 * k).alias("lo"), of(2 * k + 1).alias("hi")).alias(f"m{k}") for k in range(bands // 2)])
 
 
-def windows(b: Column, step: int, rows: list, bands: int) -> Column:
-    """The first shingles of the windows (a block and the next) that share a band with a template."""
+def hits(b: Column, k: int, wanted: dict[int, set]) -> Column:
+    """The windows (a block of 2^k shingles and the next) and bands whose values are wanted."""
+    step = 2**k
 
-    def hit(i):
+    def any_band(i):
         said = F.lit(False)
-        for k in range(bands):
-            said = said | with_next(b, k)(i).isin([r.bands[k] for r in rows])
+        for band, values in wanted.items():
+            said = said | with_next(b, band)(i).isin(list(values))
         return said
 
-    found = F.filter(F.sequence(F.lit(0), F.size(b["m0"]["lo"]) - 1), hit)
-    return F.transform(found, lambda i: i * step)
+    def each_band(i):
+        return F.array(*[F.struct(F.lit(k).alias("scale"), (i * step).cast("int").alias("start"), F.lit(band).alias("band"), with_next(b, band)(i).alias("value")) for band in wanted])
 
+    found = F.filter(F.sequence(F.lit(0), F.size(b["m0"]["lo"]) - 1), any_band)
+    return F.flatten(F.transform(found, each_band)).cast(HIT)
 
-def places(h: Column, wanted: list[int]) -> Column:
-    return F.filter(F.transform(h, lambda x, i: F.when(x.isin(wanted), i)), lambda i: i.isNotNull())
 
-
-def contained(h: Column, at: Column, template: str, window: int) -> Column:
-    """template: its shingles, parted by spaces. The largest share of it in the shingles from one of the windows on; of one in pieces, in all shingles."""
-    whole = F.split(F.lit(template), " ").cast("array<bigint>")  # a literal, without a call for each shingle
-    n = template.count(" ") + 1
-    if n > MOST_SHINGLES:
-        return F.when(F.size(at) > 0, F.size(F.array_intersect(h, whole)) / F.lit(float(n)))
-    return F.array_max(F.transform(at, lambda i: F.size(F.array_intersect(F.slice(h, i + 1, n + window), whole)) / F.lit(float(n))))
+def places(h: Column, scale: int, wanted: set) -> Column:
+    """The shingles that are wanted themselves."""
+    at = F.filter(F.transform(h, lambda x, i: F.struct(F.lit(scale).alias("scale"), i.alias("start"), F.lit(0).alias("band"), x.alias("value"))), lambda x: x["value"].isin(list(wanted)))
+    return F.coalesce(at, F.array().cast(HIT)).cast(HIT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(table(spark, sf_dir, "documents")).drop("n_windows")
+
+
+def _sql() -> str:
+    """All documents against all templates, without bands."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in TEMPLATES)
+    marks = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, found in MARKS.items() for b in found)
+    normal = f"regexp_extract_all(translate(coalesce(text, ''), {quoted(UPPER + PUNCTUATION)}, {quoted(LOWER)}), {quoted(WORD)})"
+    grams = "list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))"
+    return f"""
+WITH template AS (SELECT name, {normal} AS w FROM (VALUES {values}) AS v(name, text)),
+mark AS (SELECT name, unnest({grams}) AS g FROM (SELECT name, {normal} AS w FROM (VALUES {marks}) AS v(name, text)) WHERE len(w) >= 5),
+wanted AS (SELECT name, unnest({grams}) AS g FROM template WHERE len(w) >= 5),
+size AS (SELECT name, count(*) AS n FROM wanted GROUP BY name),
+doc AS (SELECT row_number() OVER () AS r, doc_id, {normal} AS w FROM documents),
+gram AS (SELECT DISTINCT r, g FROM (SELECT r, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM doc WHERE len(w) >= 5) JOIN (SELECT DISTINCT g FROM wanted UNION SELECT g FROM mark) USING (g)),
+hit AS (SELECT r, name, count(*) AS k FROM gram JOIN wanted USING (g) GROUP BY r, name),
+need AS (SELECT name, count(DISTINCT g) AS n FROM mark GROUP BY name),
+has AS (SELECT r, name, count(DISTINCT g) AS n FROM gram JOIN mark USING (g) GROUP BY r, name)
+SELECT doc.doc_id, hit.name AS template, hit.k::DOUBLE / size.n AS containment FROM hit JOIN size USING (name) JOIN doc USING (r)
+LEFT JOIN need ON need.name = hit.name LEFT JOIN has ON has.r = hit.r AND has.name = hit.name
+WHERE hit.k::DOUBLE / size.n >= {CONTAINMENT} AND (need.n IS NULL OR has.n = need.n)
+"""
+
+
+ORACLE_SQL = _sql()
