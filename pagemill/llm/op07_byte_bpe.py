@@ -7,9 +7,10 @@ shuffled by their hash, so that each distinct word of the corpus is encoded once
 their ids are shuffled back to the blocks, joined to the numbers and so put together by
 position. Decoding joins the ids with the table of token bytes.
 
-What is shuffled is packed and compressed: a row for each block and bucket of words, a row for
-each block and run of documents. No row holds more than a block, no task more than one block and
-the distinct words of a few buckets; a word that every text repeats counts once a block. The
+The distinct words of a block go out as arrays, a row for each bucket of the hash that has any of them, and their ids come back so; a run of
+documents is a row of packed numbers. No row holds more than a block, no task more than one block and
+the distinct words of a bucket; a word that every text repeats counts once a block, and the work for a block depends on its own
+words only, however many blocks and buckets there are. The
 blocks are made twice, alike, from the input; it must give its rows in the same order again, as
 files do (written() first, if they come from a shuffle). A block that differs raises an error.
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.chunks import arrow_pieces, gather, runs, tiktoken_encoding, tiktoken_ranks
-from pagemill.llm.shared import parts, table
+from pagemill.llm.shared import CHANGED, parts, table
 
 BLOCK_BYTES = 40 << 20
 #: Bytes of documents in a row of numbers.
@@ -38,7 +39,6 @@ RUN_BYTES = 4 << 20
 #: Buckets of words for each partition of their shuffle.
 SPREAD = 4
 
-
 @lru_cache(maxsize=2)
 def _find(pattern: str):
     import regex
@@ -102,11 +102,6 @@ def blocks(batches):
         yield block()
 
 
-def dealt(words: dict[str, int], buckets: int) -> np.ndarray:
-    """The bucket of each word."""
-    return np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint32, len(words)) % np.uint32(buckets)
-
-
 def squeeze(x) -> bytes:
     import zstandard
 
@@ -119,10 +114,11 @@ def unsqueeze(x: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
 
 
-ROW = "block long, kind int, bucket int, data binary"
+#: What goes to a block: how many ids the words of a bucket have, and these ids (kind 0), or a run of documents (1).
+ROW = "block long, kind int, number int, sizes array<int>, data binary"
 
 
-def batch(rows: list[tuple], names=("block", "kind", "bucket", "data"), kinds=(pa.int64(), pa.int32(), pa.int32(), pa.binary())):
+def batch(rows: list[tuple], names, kinds):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
 
 
@@ -134,21 +130,25 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, result, schema
     n = parts(d)
     buckets = n * SPREAD
 
+    def in_buckets(words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The bucket of each word, and the words' numbers in order of buckets."""
+        to = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint32, len(words)) % np.uint32(buckets)
+        return to, np.argsort(to, kind="stable")
+
     def words_of(batches):
         for number, _, texts in blocks(batches):
             words, _, _ = split_words(pattern, texts)
-            to, listed = dealt(words, buckets), list(words)
-            order = np.argsort(to, kind="stable")
-            ends = np.searchsorted(to[order], np.arange(buckets + 1))
-            for k in range(buckets):
-                if ends[k] < ends[k + 1]:
-                    yield batch([(number, 0, k, squeeze([listed[i] for i in order[ends[k] : ends[k + 1]].tolist()]))])
+            if words:
+                to, order = in_buckets(words)
+                bucket, first = np.unique(to[order], return_index=True)
+                listed = pa.array(list(words), pa.string()).take(pa.array(order))
+                rows = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), listed)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), number)), pa.array(bucket.astype(np.int32)), rows], names=["block", "bucket", "words"])
 
     def numbers_of(batches):
         for number, keys, texts in blocks(batches):
             words, numbers, at = split_words(pattern, texts)
-            to = dealt(words, buckets)
-            order = np.argsort(to, kind="stable")
+            _, order = in_buckets(words)
             rank = np.empty(len(order), "<u4")  # a word's place when the buckets come one after another
             rank[order] = np.arange(len(order), dtype="<u4")
             placed = rank[numbers] if len(numbers) else numbers
@@ -156,21 +156,27 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, result, schema
             for run in runs(pa.record_batch([texts], names=["text"]), 0, RUN_BYTES):
                 stop = start + run.num_rows
                 planes = np.ascontiguousarray(placed[at[start] : at[stop]].view(np.uint8).reshape(-1, 4).T).tobytes()  # bytes of like weight together compress better
-                yield batch([(number, 1, k, squeeze((len(words), keys[start:stop], np.diff(at[start : stop + 1]), planes)))])
+                data = squeeze((len(words), keys[start:stop], np.diff(at[start : stop + 1]), planes))
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([1], pa.int32()), pa.array([k], pa.int32()), pa.nulls(1, pa.list_(pa.int32())), pa.array([data], pa.binary())], names=["block", "kind", "number", "sizes", "data"])
                 start, k = stop, k + 1
 
     def encode_words(batches):
-        enc, seen = tiktoken_encoding(ranks_path, pattern), {}
-        one = enc._core_bpe.encode_single_piece
+        """Sorted by bucket: each distinct word of a bucket is encoded when it comes first."""
+        enc = tiktoken_encoding(ranks_path, pattern)
+        one, seen, last = enc._core_bpe.encode_single_piece, {}, None
         for b in batches:
-            for block, bucket, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                out = []
-                for w in unsqueeze(data):
-                    ids = seen.get(w)
-                    if ids is None:
-                        ids = seen[w] = np.array(one(w.encode()), "<u4").tobytes()
-                    out.append(ids)
-                yield batch([(block, 0, bucket, squeeze((np.array(list(map(len, out)), np.int64) // 4, b"".join(out))))])
+            sizes, data = [], []
+            for bucket, words in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if bucket != last:
+                    last, seen = bucket, {}
+                ids = []
+                for w in words:
+                    if (x := seen.get(w)) is None:
+                        x = seen[w] = np.array(one(w.encode()), "<u4").tobytes()
+                    ids.append(x)
+                sizes.append([len(x) // 4 for x in ids])
+                data.append(b"".join(ids))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.zeros(len(data), np.int32)), b.column(1), pa.array(sizes, pa.list_(pa.int32())), pa.array(data, pa.binary())], names=["block", "kind", "number", "sizes", "data"])
 
     def put_together(batches):
         vocabulary = tiktoken_ranks(ranks_path)
@@ -179,28 +185,30 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, result, schema
         for x, i in vocabulary.items():
             texts[i] = x
         tables = pa.array(texts, pa.binary()), pa.array(shown, pa.binary())  # as large as the vocabulary
-        block, counts, ids, words = None, [], [], None
+        block, held, words = None, [], None
         for b in batches:
-            for at, kind, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if at != block:
-                    block, counts, ids, words = at, [], [], None
-                if kind == 0:
-                    own = unsqueeze(data)
-                    counts.append(own[0])
-                    ids.append(own[1])
+            at, of = b.column(0).to_numpy(), b.column(1).to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (of[1:] != of[:-1])])).tolist() if len(at) else []
+            for a, z in zip(edge, [*edge[1:], len(at)], strict=True):
+                if at[a] != block:
+                    block, held, words = int(at[a]), [], None
+                if of[a] == 0:
+                    held.append((b.column(3)[a:z].flatten().to_numpy(), b"".join(b.column(4)[a:z].to_pylist())))
                     continue
                 if words is None:
-                    words = result.prepare(np.concatenate([np.zeros(0, np.int64), *counts]), np.frombuffer(b"".join(ids), "<u4"), *tables)
-                    n_words, counts, ids = sum(map(len, counts)), [], []
-                expected, keys, sizes, planes = unsqueeze(data)
-                if n_words != expected:
-                    raise RuntimeError("the input gave other rows on its second reading; write it to a table first")
-                numbers = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-                yield result.rows(keys, numbers, np.concatenate([[0], np.cumsum(sizes)]), words)
-
-    words = d.mapInArrow(words_of, ROW).repartition(n, "bucket").mapInArrow(encode_words, ROW)
-    both = words.unionByName(d.mapInArrow(numbers_of, ROW))
-    return both.repartition(n, "block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(put_together, schema)
+                    sizes = np.concatenate([np.zeros(0, np.int32), *(x for x, _ in held)]).astype(np.int64)
+                    words = result.prepare(sizes, np.frombuffer(b"".join(x for _, x in held), "<u4"), *tables)
+                    n_words, held = len(sizes), []
+                for x in b.column(4)[a:z].to_pylist():
+                    expected, keys, sizes, planes = unsqueeze(x)
+                    if n_words != expected:
+                        raise RuntimeError(CHANGED)
+                    numbers = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+                    yield result.rows(keys, numbers, np.concatenate([[0], np.cumsum(sizes)]), words)
+
+    words = d.mapInArrow(words_of, "block long, bucket int, words array<string>").repartition(n, "bucket").sortWithinPartitions("bucket")
+    both = words.mapInArrow(encode_words, ROW).unionByName(d.mapInArrow(numbers_of, ROW))
+    return both.repartition(n, "block").sortWithinPartitions("block", "kind", "number").mapInArrow(put_together, schema)
 
 
 def by_word(table: pa.Array, counts: np.ndarray, ids: np.ndarray) -> pa.Array:
