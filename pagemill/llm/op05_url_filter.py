@@ -9,12 +9,16 @@ outcomes, the correlation is (Q - J) / (N - J)). A host is blocked if the lower
 posterior, mean less Z standard deviations, lies above THRESHOLD: few outcomes, or a good
 domain, leave the bound low.
 
+A reputation is that of the host without its port. The suffix is the longest of SUFFIXES that it ends with, else its last label; the
+registered domain has one label more. Numeric addresses are their own domain and suffix.
+
 Counts are partial sums before each shuffle, so a host with a third of all pages is one row a
 task. Pages meet the hosts' verdicts in an equi-join that adaptive execution can split.
 
 A null url, or one without "://", has an empty host and path; no rule fits it and it shares the
 reputation of the empty host. Repeated rows count as often as they occur. Without labels all
-bounds are low and pages that no rule blocks are allowed.
+bounds are low and pages that no rule blocks are allowed. An empty table gives no rows; urls of any length are taken whole; columns
+other than id and url are not looked at.
 """
 
 from __future__ import annotations
@@ -30,6 +34,13 @@ Z = 1.645
 THRESHOLD = 0.5
 #: Of the correlation, so that a prior counts like 1 to 999 outcomes.
 LEAST, MOST = 0.001, 0.5
+#: Public suffixes of two labels under which domains are registered; a parameter of reputation().
+SUFFIXES = (
+    "ac.jp", "ac.uk", "asn.au", "blogspot.com", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.bd", "com.br", "com.cn", "com.co",
+    "com.eg", "com.gr", "com.hk", "com.mx", "com.my", "com.ng", "com.pe", "com.ph", "com.pk", "com.pl", "com.pt", "com.sa", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.br", "edu.cn",
+    "github.io", "gitlab.io", "go.jp", "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk", "herokuapp.com", "ltd.uk", "me.uk", "ne.jp", "net.au", "net.br", "net.cn", "net.in", "net.nz", "netlify.app", "or.jp", "or.kr",
+    "org.au", "org.br", "org.cn", "org.in", "org.nz", "org.uk", "org.za", "pages.dev", "plc.uk", "vercel.app",
+)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,18 +64,29 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return F.lit(None).cast("string") if found is None else found
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: the last two labels."""
-    return F.substring_index(host, ".", -2)
+def key_of(host: Column) -> Column:
+    """The host without its port."""
+    return F.regexp_replace(host, ":[0-9]*$", "")
+
+
+def is_address(key: Column) -> Column:
+    return key.rlike("^[0-9]{1,3}(\\.[0-9]{1,3}){3}$|^\\[")
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def suffix_of(key: Column, suffixes=SUFFIXES) -> Column:
+    two = F.substring_index(key, ".", -2)
+    return F.when(is_address(key), key).when(two.isin(list(suffixes)), two).otherwise(F.substring_index(key, ".", -1))
 
 
-def reputation(counts: DataFrame, z: float = Z) -> DataFrame:
+def domain_of(key: Column, suffixes=SUFFIXES) -> Column:
+    """The registered domain: the suffix and the label before it."""
+    two = F.substring_index(key, ".", -2)
+    return F.when(is_address(key), key).when(two.isin(list(suffixes)), F.substring_index(key, ".", -3)).otherwise(two)
+
+
+def reputation(counts: DataFrame, z: float = Z, suffixes=SUFFIXES) -> DataFrame:
     """counts: host, n, bad (sums). Returns host, domain, suffix, n, bad, mean, lower (of the posterior)."""
-    hosts = counts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad")
+    hosts = counts.select("host", domain_of(F.col("host"), suffixes).alias("domain"), suffix_of(F.col("host"), suffixes).alias("suffix"), "n", "bad")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("n"), F.lit(0)) + 2.0)).alias("m"))
@@ -92,14 +114,14 @@ def url_filter(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: fl
     """page_id, host, path, rule, verdict and the host's lower bound. outcomes: host, n, bad, any number of rows a host."""
     url = pages[url_col]
     p = pages.select(pages[id_col].alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    p = p.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
-    all_hosts = p.select("host", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad"))
-    counts = outcomes.select("host", "n", "bad").unionByName(all_hosts).groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    known = reputation(written(counts, "reputation-counts"), z).select("host", F.col("lower").alias("bad_lower"))
+    p = p.withColumns({"rule": rule_for(F.col("host"), F.col("path"), rules), "key": key_of(F.col("host"))})
+    all_hosts = p.select(F.col("key").alias("host"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad"))
+    counts = outcomes.select(key_of(F.col("host")).alias("host"), "n", "bad").unionByName(all_hosts).groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    known = reputation(written(counts, "reputation-counts"), z).select(F.col("host").alias("key"), F.col("lower").alias("bad_lower"))
     of_rule = F.create_map(*[F.lit(x) for r in rules for x in r]) if rules else F.lit(None)
     by_rule = F.element_at(of_rule, F.col("rule")) if rules else F.lit(None).cast("string")
     verdict = F.coalesce(by_rule, F.when(F.col("bad_lower") > threshold, "block").otherwise("allow"))
-    return p.join(written(known, "reputation-hosts"), "host").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "bad_lower")
+    return p.join(written(known, "reputation-hosts"), "key").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "bad_lower")
 
 
 def labelled_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -127,9 +149,11 @@ r AS (SELECT * FROM (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'bloc
 best AS (SELECT page_id, rh || rp AS rule, verdict FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
   QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC, rh || rp) = 1),
 lab AS (SELECT doc_id, max(greatest(1 - quality, toxic)) AS bad FROM labels WHERE doc_id IS NOT NULL AND greatest(1 - quality, toxic) IS NOT NULL GROUP BY doc_id),
-o AS (SELECT host, count(*) AS n, sum(bad)::BIGINT AS bad FROM p JOIN lab ON lab.doc_id = try_cast(regexp_extract(path, '^/[a-z]+/([0-9]{1,18})(?:[./]|$)', 1) AS BIGINT) GROUP BY host),
-h AS (SELECT host, CASE WHEN len(string_split(host, '.')) > 1 THEN string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1] ELSE host END AS domain,
-  string_split(host, '.')[-1] AS suffix, coalesce(n, 0)::DOUBLE AS n, coalesce(bad, 0)::DOUBLE AS bad FROM (SELECT DISTINCT host FROM p) LEFT JOIN o USING (host)),
+o AS (SELECT regexp_replace(host, ':[0-9]*$', '') AS host, count(*) AS n, sum(bad)::BIGINT AS bad FROM p JOIN lab ON lab.doc_id = try_cast(regexp_extract(path, '^/[a-z]+/([0-9]{1,18})(?:[./]|$)', 1) AS BIGINT) GROUP BY 1),
+k AS (SELECT host, array_to_string(string_split(host, '.')[-3:], '.') AS three, array_to_string(string_split(host, '.')[-2:], '.') AS two, string_split(host, '.')[-1] AS one,
+  regexp_matches(host, '^[0-9]{1,3}(\.[0-9]{1,3}){3}$|^\[') AS address FROM (SELECT DISTINCT regexp_replace(host, ':[0-9]*$', '') AS host FROM p)),
+h AS (SELECT host, CASE WHEN address THEN host WHEN two IN (SUFFIXES) THEN three ELSE two END AS domain,
+  CASE WHEN address THEN host WHEN two IN (SUFFIXES) THEN two ELSE one END AS suffix, coalesce(n, 0)::DOUBLE AS n, coalesce(bad, 0)::DOUBLE AS bad FROM k LEFT JOIN o USING (host)),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m FROM d, (SELECT (sum(bad) + 1.0::DOUBLE) / (sum(n) + 2.0::DOUBLE) AS m FROM d) GROUP BY suffix),
 s2 AS (SELECT suffix, (k * m + bad) / (k + n) AS m FROM s, (SELECT 1 / least(greatest(CASE WHEN sum(n) > sum((n > 0)::INT)
@@ -141,6 +165,6 @@ h1 AS (SELECT h.*, m FROM h JOIN d2 USING (domain)),
 h2 AS (SELECT host, k * m + bad AS a, k * (1 - m) + n - bad AS b FROM h1, (SELECT 1 / least(greatest(CASE WHEN sum(n) > sum((n > 0)::INT)
   THEN (sum(CASE WHEN n > 0 THEN n * pow(bad / n - m, 2) / (m * (1 - m)) END) - sum((n > 0)::INT)) / (sum(n) - sum((n > 0)::INT)) ELSE 0.5 END, 0.001), 0.5)::DOUBLE - 1 AS k FROM h1)),
 h3 AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower_bound FROM h2)
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN lower_bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM p LEFT JOIN best USING (page_id) JOIN h3 USING (host)
-"""
+SELECT page_id, p.host, path, rule, coalesce(verdict, CASE WHEN lower_bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN best USING (page_id) JOIN h3 ON h3.host = regexp_replace(p.host, ':[0-9]*$', '')
+""".replace("SUFFIXES", ", ".join(f"'{x}'" for x in SUFFIXES))
