@@ -121,6 +121,14 @@ def test_shard_reader():
         op1.Shard(b"x" * 200)
 
 
+def test_shard_reader_over_signed_buffers():
+    """Arrow's buffers give signed bytes."""
+    rng = np.random.default_rng(8)
+    ids = [rng.bytes(2 * int(n)) for n in rng.integers(0, 40, 3000)]
+    s = op1.Shard(memoryview(op1.pack(list(range(3000)), ids, 2)).cast("b"))
+    assert [s.ids(i).tobytes() for i in range(3000)] == ids and s.document(2999)[0] == sum(map(len, ids[:-1])) // 2
+
+
 # 2
 
 
@@ -298,6 +306,15 @@ def test_url_filter(spark):
     assert len(found) == 102 and found[8].verdict == "allow" and found[101].verdict == "allow"
 
 
+def test_registered_domains(spark):
+    from pyspark.sql import functions as F
+
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.example.com": ("example.com", "com"), "com": ("com", "com"), "": ("", ""), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "w.shop.net:8080": ("shop.net", "net"), "u.github.io": ("u.github.io", "github.io"), "[::1]:9": ("[::1]", "[::1]")}
+    k = op5.key_of(F.col("host"))
+    found = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", op5.domain_of(k), op5.suffix_of(k)).collect()
+    assert {r[0]: (r[1], r[2]) for r in found} == hosts
+
+
 # 6
 
 

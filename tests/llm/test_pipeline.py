@@ -1,36 +1,9 @@
-"""The pipeline on the smallest tables, against a brute-force version of its stages."""
-
-import hashlib
-from collections import Counter
+"""The pipeline's stages and the operators' queries; test_pipeline_near holds the pipeline against brute force."""
 
 import public_tokenizers as P
 
 import corpus_pipeline
-from pagemill.llm import op02_source_mix as op2
-from pagemill.llm import op06_quality_rules as op6
 from pagemill.llm import queries
-from test_operators import brute_components, encoding
-
-
-def test_pipeline_against_brute_force(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = {r.doc_id: r for r in docs.collect()}
-    good = {r.doc_id for r in op6.judge(docs).where("kept").collect()}
-    best = {}
-    for k in sorted(good):
-        norm = "".join(c for c in rows[k].text or "" if c not in " \t\n\x0b\x0c\r")
-        best.setdefault(norm, []).append((-len(rows[k].text or ""), k))
-    exact = sorted(min(v)[1] for v in best.values())
-    near = [k for k, _, c in brute_components([(k, rows[k].text) for k in exact]) if c == k]
-    left = spark.createDataFrame([rows[k] for k in near], docs.schema)
-    taken = {r.doc_id: r.taken // max(r.size, 1) for r in op2.mix(left).collect()}
-    enc, want = encoding(), Counter()
-    for k in near:
-        text = rows[k].text or ""
-        ids = enc.encode_ordinary(text)
-        want[k, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()] += taken[k]
-    found = Counter(tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect())
-    assert found == +want
 
 
 def test_stages_but_the_last_keep_the_columns(spark, sf_dir):
