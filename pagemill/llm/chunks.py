@@ -104,9 +104,10 @@ def tiktoken_encoding(path: str, pattern: str):
 def peel(piece):
     """(rest, last character) if the piece ends in a letter and a full stop or comma, else None.
 
-    Tokenizers part letters from punctuation, so both can be encoded by themselves.
+    Tokenizers part letters from punctuation, so both can be encoded by themselves; but some normalise texts first, and then a
+    letter can end in a mark (U+0130 in lower case, U+0958 composed), which they may take together with punctuation. So Latin letters only.
     """
-    if len(piece) > 1 and piece[-1] in ".," and piece[-2].isalpha():
+    if len(piece) > 1 and piece[-1] in ".," and piece[-2] < "\u0250" and piece[-2].lower().isalpha():
         return piece[:-1], piece[-1]
     return None
 

@@ -16,8 +16,8 @@ short scan, and no table of 64-bit offsets is kept.
 
 Documents are range-partitioned and sorted by id before they are encoded, each partition
 streams into shards of about SHARD_BYTES, and a manifest of one row per shard is written with
-them. What is read back comes from the files; the running sum over the manifest (one small row
-for each shard) gives the ids before each shard.
+them. What is read back comes from the files, each document between select(i) and select(i + 1); the running sum over the manifest (one small row
+for each shard) gives the ids before each shard. Columns other than id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -105,6 +105,7 @@ class Shard:
     """Reader of a shard: document i has the ids from select(i) up to select(i + 1)."""
 
     def __init__(self, data):
+        data = memoryview(data).cast("B")
         magic, self.n, self.u, self.width, low_bits, *sizes = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a token file")
@@ -115,11 +116,15 @@ class Shard:
         valid = np.unpackbits(np.frombuffer(cut[1], np.uint8), bitorder="little")[: self.n]
         self.keys = [k if v else None for k, v in zip(np.frombuffer(cut[0], "<i8").tolist(), valid.tolist(), strict=True)]
         self.bounds = EliasFano(self.n + 1, low_bits, cut[2], cut[3], np.frombuffer(cut[4], "<u4"))
-        self.body = memoryview(data)[at:]
+        self.body = data[at:]
 
-    def ids(self, i: int) -> np.ndarray:
+    def document(self, i: int) -> tuple[int, np.ndarray]:
+        """(ids before it in the shard, its ids)."""
         a, b = self.bounds.select(i), self.bounds.select(i + 1)
-        return np.frombuffer(self.body[a * self.width : b * self.width], f"<u{self.width}")
+        return a, np.frombuffer(self.body[a * self.width : b * self.width], f"<u{self.width}")
+
+    def ids(self, i: int) -> np.ndarray:
+        return self.document(i)[1]
 
 
 @lru_cache(maxsize=4)
@@ -201,13 +206,14 @@ def read_tokens(spark: SparkSession, path: str, manifest: DataFrame) -> DataFram
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = Shard(memoryview(data.as_buffer()))
-                bounds = s.bounds.all()
-                crc = []
-                for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    ids = np.frombuffer(s.body[a * s.width : z * s.width], f"<u{s.width}")
+                at, n, crc = [], [], []
+                for i in range(s.n):
+                    a, ids = s.document(i)
+                    at.append(a)
+                    n.append(len(ids))
                     crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * s.n), pa.array(s.keys, pa.int64()), pa.array(bounds[:-1], pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64())],
+                    [pa.array([name] * s.n), pa.array(s.keys, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())],
                     names=["shard", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
