@@ -1,7 +1,7 @@
 """Image files as tables: metadata (a row for each page of a file) and decoded gray planes.
 
-spark.read.format("binaryFile") lists and reads; headers are parsed with struct. PNG (8-bit, not
-interlaced), PGM and TIFF (uncompressed or LZW, 1 or 8 bits a sample) are decoded; JPEG gives metadata.
+spark.read.format("binaryFile") lists and reads; headers are parsed with struct. PNG (not interlaced), PGM and TIFF in strips
+(gray, palette or RGB of 1 to 16 bits a sample; uncompressed, LZW, deflate or PackBits) are decoded to gray; JPEG gives metadata.
 What can't be read gives a row with `error` and nulls.
 """
 
@@ -62,7 +62,7 @@ def jpeg_metadata(data: bytes) -> list[tuple[int, int, int, int]] | None:
 
 
 #: Fixed values of the format: tag numbers and the sizes of its types.
-TIFF_TAGS = {256: "width", 257: "height", 258: "bits", 259: "compression", 262: "photometric", 273: "offsets", 277: "samples", 278: "rows", 279: "counts", 282: "x_res", 283: "y_res", 296: "unit", 317: "predictor"}
+TIFF_TAGS = {256: "width", 257: "height", 258: "bits", 259: "compression", 262: "photometric", 273: "offsets", 277: "samples", 278: "rows", 279: "counts", 282: "x_res", 283: "y_res", 296: "unit", 317: "predictor", 320: "colors"}
 TIFF_TYPES = {1: (1, "B"), 2: (1, "B"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II")}
 
 
@@ -178,31 +178,78 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
+def packbits_decode(data: bytes) -> bytes:
+    """Runs: n from 0 to 127 is followed by n + 1 bytes as they are, from 129 to 255 by one byte that comes 257 - n times."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += 2 + n
+        else:
+            out += data[at + 1 : at + 2] * (257 - n if n > 128 else 0)
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+#: Fixed values of the format: compressions that are decoded.
+TIFF_DECODERS = {1: bytes, 5: lzw_decode, 8: zlib.decompress, 32773: packbits_decode, 32946: zlib.decompress}
+
+
+def to_gray(px: np.ndarray) -> np.ndarray:
+    """Gray of the first three channels of (h, w, channels)."""
+    px = px.astype(np.int64)
+    return ((px[..., 0] * 11 + px[..., 1] * 16 + px[..., 2] * 5) >> 5).astype(np.uint8)
+
+
+def samples_of(raw: np.ndarray, bits: int, n: int, big_endian: bool = True) -> np.ndarray:
+    """(rows, n) samples of packed rows of bytes, as they are; of 16 bits the upper 8."""
+    if bits == 8:
+        return raw[:, :n]
+    if bits == 16:
+        return raw[:, (0 if big_endian else 1) : 2 * n : 2]
+    each = np.unpackbits(raw, axis=1).reshape(len(raw), -1, bits)[:, :n]
+    return (each @ (1 << np.arange(bits - 1, -1, -1))).astype(np.uint8)
+
+
 def tiff_plane(data: bytes, page: int) -> np.ndarray:
+    """A gray plane."""
     d = tiff_directories(data)[page]
-    w, h, bits = d["width"][0], d["height"][0], d.get("bits", [1])[0]
-    if d.get("samples", [1])[0] != 1 or bits not in (1, 8) or d.get("compression", [1])[0] not in (1, 5):
+    w, h, bits, channels, kind = d["width"][0], d["height"][0], d.get("bits", [1])[0], d.get("samples", [1])[0], d.get("photometric", [1])[0]
+    decode = TIFF_DECODERS.get(d.get("compression", [1])[0])
+    if decode is None or bits not in (1, 2, 4, 8, 16) or kind not in (0, 1, 2, 3) or channels not in (1, 2, 3, 4) or "offsets" not in d or (kind == 2) != (channels > 2):
         raise ValueError("this kind of TIFF is not decoded")
-    raw = b"".join((lzw_decode if d.get("compression", [1])[0] == 5 else bytes)(data[a : a + n]) for a, n in zip(d["offsets"], d["counts"], strict=True))
-    if bits == 8:
-        g = np.frombuffer(raw, np.uint8, w * h).reshape(h, w)
-    else:
-        g = np.unpackbits(np.frombuffer(raw, np.uint8, (w + 7) // 8 * h).reshape(h, -1), axis=1)[:, :w] * np.uint8(255)
-    return 255 - g if d.get("photometric", [1])[0] == 0 else g
+    stride, rows, parts, at = (w * channels * bits + 7) // 8, d.get("rows", [h])[0], [], 0
+    for a, n in zip(d["offsets"], d["counts"], strict=True):
+        k = min(rows, h - at)
+        raw = np.frombuffer(decode(data[a : a + n]), np.uint8, stride * k).reshape(k, stride)
+        part = samples_of(raw, bits, w * channels, d["order"] == ">").reshape(k, w, channels)
+        if d.get("predictor", [1])[0] == 2 and bits == 8:
+            part = np.cumsum(part, axis=1, dtype=np.uint8)
+        parts.append(part)
+        at += k
+    px = np.concatenate(parts)
+    if kind == 3:
+        colors = (np.array(d["colors"]).reshape(3, -1) >> 8).T
+        return to_gray(colors[px[..., 0]])
+    if kind == 2:
+        return to_gray(px if bits in (8, 16) else px.astype(np.int64) * 255 // ((1 << bits) - 1))
+    g = px[..., 0] if bits in (8, 16) else (px[..., 0].astype(np.int64) * 255 // ((1 << bits) - 1)).astype(np.uint8)
+    return np.ascontiguousarray(255 - g if kind == 0 else g)
 
 
 def tiff_bytes(g: np.ndarray, dpi: tuple[int, int] = (0, 0)) -> bytes:
-    """An LZW TIFF of a gray plane (uint8) or of a binary one (bool, True is black)."""
-    binary = g.dtype == bool
+    """An LZW TIFF of a gray plane (uint8), of a binary one (bool, True is black), or of RGB (height, width, 3)."""
+    binary, color = g.dtype == bool, g.ndim == 3
     raw = np.packbits(~g, axis=1).tobytes() if binary else g.tobytes()
     body = lzw_encode(raw)
-    h, w = g.shape
-    tags = [(256, 4, w), (257, 4, h), (258, 3, 1 if binary else 8), (259, 3, 5), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, h), (279, 4, len(body))]
+    h, w = g.shape[:2]
     at = 8 + len(body) + len(body) % 2
-    extra = at + 2 + 12 * (len(tags) + 3) + 4
-    tags += [(282, 5, extra), (283, 5, extra + 8), (296, 3, 2)]
-    entries = b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in tags)
-    return b"II*\0" + struct.pack("<I", at) + body + b"\0" * (len(body) % 2) + struct.pack("<H", len(tags)) + entries + b"\0" * 4 + struct.pack("<4I", dpi[0], 1, dpi[1], 1)
+    extra = at + 2 + 12 * 12 + 4
+    bits = (258, 3, 3, extra + 16) if color else (258, 3, 1, 1 if binary else 8)
+    tags = [(256, 4, 1, w), (257, 4, 1, h), bits, (259, 3, 1, 5), (262, 3, 1, 2 if color else 1), (273, 4, 1, 8), (277, 3, 1, 3 if color else 1), (278, 4, 1, h), (279, 4, 1, len(body)), (282, 5, 1, extra), (283, 5, 1, extra + 8), (296, 3, 1, 2)]
+    entries = b"".join(struct.pack("<HHII", *t) for t in tags)
+    return b"II*\0" + struct.pack("<I", at) + body + b"\0" * (len(body) % 2) + struct.pack("<H", len(tags)) + entries + b"\0" * 4 + struct.pack("<4I", dpi[0], 1, dpi[1], 1) + struct.pack("<3H", 8, 8, 8)
 
 
 def png_bytes(g: np.ndarray, dpi: tuple[int, int] = (0, 0)) -> bytes:
@@ -215,18 +262,22 @@ def png_bytes(g: np.ndarray, dpi: tuple[int, int] = (0, 0)) -> bytes:
 
 
 def png_plane(data: bytes) -> np.ndarray:
+    """A gray plane."""
     w, h, depth, color, _, _, interlace = struct.unpack_from(">2I5B", data, 16)
-    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(color)
-    if depth != 8 or interlace or channels is None:
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(color)
+    if interlace or channels is None:
         raise ValueError("this kind of PNG is not decoded")
+    step, stride, palette = max(1, channels * depth // 8), (w * channels * depth + 7) // 8, b""
     at, body = 8, b""
     while at + 8 <= len(data):
         n, kind = struct.unpack_from(">I4s", data, at)
         if kind == b"IDAT":
             body += data[at + 8 : at + 8 + n]
+        elif kind == b"PLTE":
+            palette = data[at + 8 : at + 8 + n]
         at += 12 + n
-    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * channels)
-    out, before = np.zeros((h, w * channels), np.uint8), np.zeros(w * channels, np.int64)
+    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + stride)
+    out, before = np.zeros((h, stride), np.uint8), np.zeros(stride, np.int64)
     for y in range(h):
         kind, line = raw[y, 0], raw[y, 1:].astype(np.int64)
         if kind == 2:
@@ -234,8 +285,8 @@ def png_plane(data: bytes) -> np.ndarray:
         elif kind:
             line = line.copy()
             for x in range(len(line)):
-                a = line[x - channels] & 255 if x >= channels else 0
-                b, c = before[x], before[x - channels] if x >= channels else 0
+                a = line[x - step] & 255 if x >= step else 0
+                b, c = before[x], before[x - step] if x >= step else 0
                 if kind == 1:
                     line[x] += a
                 elif kind == 3:
@@ -245,8 +296,12 @@ def png_plane(data: bytes) -> np.ndarray:
                     line[x] += min(((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c)))[2]
                 line[x] &= 255
         out[y] = before = line & 255
-    px = out.reshape(h, w, channels).astype(np.int64)
-    return ((px[..., 0] * 11 + px[..., 1] * 16 + px[..., 2] * 5) >> 5 if channels > 2 else px[..., 0]).astype(np.uint8)
+    px = samples_of(out, depth, w * channels).reshape(h, w, channels)
+    if color == 3:
+        return to_gray(np.frombuffer(palette, np.uint8).reshape(-1, 3)[px[..., 0]])
+    if channels > 2:
+        return to_gray(px)
+    return np.ascontiguousarray(px[..., 0] if depth >= 8 else (px[..., 0].astype(np.int64) * 255 // ((1 << depth) - 1)).astype(np.uint8))
 
 
 def plane_of(data: bytes, page: int) -> np.ndarray:
