@@ -44,6 +44,51 @@ def xspline(points, tensions, per_segment: int = 16) -> np.ndarray:
     return np.concatenate(out)
 
 
+def xspline_weights(tensions, per_segment: int = 16) -> np.ndarray:
+    """(points, control points): how much each control point counts in each point of xspline(), which is linear in them."""
+    n = len(tensions)
+    unit = np.eye(n)
+    return np.column_stack([xspline(np.column_stack([unit[:, k], unit[:, k]]), tensions, per_segment)[:, 0] for k in range(n)])
+
+
+def fit_xspline(points, controls, tensions, fixed=(), rounds: int = 20, per_segment: int = 16, stiffness: float = 1e-3) -> np.ndarray:
+    """Control points of the spline that passes nearest to `points`, by least squares in rounds: each point is taken to its nearest place on the spline, and
+    the control points are solved for under the constraint that those in `fixed` stay. stiffness weighs a little against uneven steps of the rest."""
+    points, c = np.asarray(points, float), np.asarray(controls, float).copy()
+    weights = xspline_weights(tensions, per_segment)
+    free = [k for k in range(len(c)) if k not in set(fixed)]
+    bend = np.diff(np.eye(len(c)), 2, axis=0) * stiffness * len(points)
+    for _ in range(rounds):
+        line = weights @ c
+        t = np.array([place_on_polyline(line, p) for p in points])
+        k = np.minimum(t.astype(int), len(line) - 2)
+        rows = weights[k] * (1 - (t - k))[:, None] + weights[k + 1] * (t - k)[:, None]
+        left, right = np.vstack([rows, bend]), np.vstack([points, np.zeros((len(bend), 2))])
+        right = right - left[:, list(fixed)] @ c[list(fixed)] if len(fixed) else right
+        new = c.copy()
+        new[free] = np.linalg.lstsq(left[:, free], right, rcond=None)[0]
+        done, c = np.abs(new - c).max() < 1e-6, new
+        if done:
+            break
+    return c
+
+
+def place_on_polyline(line, to) -> float:
+    """The nearest place, as a number of points and a share of the step from there."""
+    line, to = np.asarray(line, float), np.asarray(to, float)
+    a, d = line[:-1], np.diff(line, axis=0)
+    t = np.clip(((to - a) * d).sum(1) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
+    k = int(np.argmin(((a + t[:, None] * d - to) ** 2).sum(1)))
+    return k + float(t[k])
+
+
+def xspline_directions(points, tensions, per_segment: int = 16) -> np.ndarray:
+    """Unit tangents at the points of xspline(), by central differences."""
+    line = xspline(points, tensions, per_segment)
+    d = np.gradient(line, axis=0)
+    return d / np.maximum(np.hypot(d[:, 0], d[:, 1]), 1e-300)[:, None]
+
+
 def nearest_on_polyline(line, to) -> tuple[np.ndarray, float]:
     """(nearest point, squared distance)."""
     line, to = np.asarray(line, float), np.asarray(to, float)

@@ -450,6 +450,29 @@ def polynomial_surface(g: np.ndarray, dx: int, dy: int, mask: np.ndarray | None
     return np.clip(np.floor(polynomial_terms(norm(j, h), norm(i, w), dy, dx) @ coefficients + 0.5), 0, 255).astype(np.uint8)
 
 
+def polynomial_line(v: np.ndarray, degree: int) -> np.ndarray:
+    """The least-squares polynomial of a row of values, at each of them; the degree shrinks for few values."""
+    t = np.arange(len(v)) / max(1, len(v))
+    return np.polyval(np.polyfit(t, v, min(degree, len(v) - 1)), t)
+
+
+def framed(h: int, w: int, inside: int, frame: int) -> np.ndarray:
+    """A gray canvas with a frame of one pixel, from which floods start."""
+    out = np.full((h, w), inside, np.uint8)
+    out[[0, -1], :] = frame
+    out[:, [0, -1]] = frame
+    return out
+
+
+def drawn_over(g: np.ndarray, part: np.ndarray, y: int, x: int) -> np.ndarray:
+    """g with `part` at a place; what reaches beyond g is left out."""
+    out = g.copy()
+    y0, x0, y1, x1 = max(0, y), max(0, x), min(g.shape[0], y + part.shape[0]), min(g.shape[1], x + part.shape[1])
+    if y0 < y1 and x0 < x1:
+        out[y0:y1, x0:x1] = part[y0 - y : y1 - y, x0 - x : x1 - x]
+    return out
+
+
 def background(g: np.ndarray, darker: int = 30) -> np.ndarray:
     """The paper's level: text is flooded away from top and bottom and from all sides, the gentler variant is taken where both
     are alike, pixels much darker than a polynomial through their column or row go, and a surface fits the rest."""
@@ -461,7 +484,7 @@ def background(g: np.ndarray, darker: int = 30) -> np.ndarray:
     lit = top_bottom if (np.abs(top_bottom.astype(int) - sides) > 10).mean() < 0.01 else sides
     keep = np.ones_like(g, bool)
     for axis, degree in ((0, 2), (1, 4)):
-        line = np.apply_along_axis(lambda v, k=degree: np.polyval(np.polyfit(np.arange(len(v)) / len(v), v, min(k, len(v) - 1)), np.arange(len(v)) / len(v)), axis, lit.astype(float))
+        line = np.apply_along_axis(polynomial_line, axis, lit.astype(float), degree)
         keep &= lit > line - darker
     return polynomial_surface(lit, 5, 5, keep if keep.any() else None)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import geometry, text
 from pagemill.operators import catalog, layout, updates
-from pagemill.sources import derived
+from pagemill.sources import derived, zones
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -486,3 +486,14 @@ def same_polygons(spark: SparkSession, d: str) -> DataFrame:
     o = F.col("img_ord") % 5
     other = F.when(o == 0, F.array(a, b, c, e)).when(o == 1, F.array(close, e, a, b)).when(o == 2, F.array(e, c, b, a)).when(o == 3, F.array(a, b, pt(w + 1, h), e)).otherwise(F.array(a, b, c))
     return derived.images(spark, d).select("img_ord", geometry.same_polygon(F.array(a, b, c, e), other).alias("same"))
+
+
+@query("SELECT img_ord, CASE WHEN img_ord % 4 = 0 THEN 0 WHEN img_ord % 4 = 1 THEN width * height / 2.0 ELSE width * height END::DOUBLE AS area, img_ord % 4 <> 0 AS valid FROM images")
+def zone_areas(spark: SparkSession, d: str) -> DataFrame:
+    """Zones that are a line, a triangle, a rectangle and a rectangle drawn the other way round."""
+    w, h = F.col("width").cast("double"), F.col("height").cast("double")
+    pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    zero, o = F.lit(0.0), F.col("img_ord") % 4
+    a, b, c, e = pt(zero, zero), pt(w, zero), pt(w, h), pt(zero, h)
+    points = F.when(o == 0, F.array(a, c)).when(o == 1, F.array(a, b, c)).when(o == 2, F.array(a, b, c, e)).otherwise(F.array(e, c, b, a))
+    return zones.with_area(derived.images(spark, d).select("img_ord", points.alias("points"))).select("img_ord", "area", "valid")
