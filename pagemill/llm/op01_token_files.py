@@ -16,8 +16,8 @@ short scan, and no table of 64-bit offsets is kept.
 
 Documents are range-partitioned and sorted by id before they are encoded, each partition
 streams into shards of about SHARD_BYTES, and a manifest of one row per shard is written with
-them. What is read back comes from the files, each document between select(i) and select(i + 1); the running sum over the manifest (one small row
-for each shard) gives the ids before each shard. Columns other than id and text are not looked at.
+them. What is read back comes from the files, each document between select(i) and select(i + 1); running sums over the manifest (a small row
+for each shard), by parts and within them, give the ids before each shard. Columns other than id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -217,8 +217,12 @@ def read_tokens(spark: SparkSession, path: str, manifest: DataFrame) -> DataFram
                     names=["shard", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    bases = manifest.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    # ids before each part (one row a part), then before each shard in its part
+    first = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    of_parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    within = manifest.select("shard", "part", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("at_part"))
+    bases = within.join(of_parts, "part").select("shard", (F.col("before") + F.col("at_part")).alias("base"))
     if not manifest.head(1):
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(f"{path}/ids")

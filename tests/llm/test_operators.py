@@ -331,6 +331,24 @@ def test_quality_measures(docs, rows):
     assert found == want
 
 
+def test_quality_verdicts(docs, rows):
+    import regex
+
+    want = Counter()
+    for r in rows:
+        t = r[1] or ""
+        w = WORD.findall(t)
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        c = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        again = {j for i in range(len(w) - 7) if c[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        chars, upper, letters = sum(map(len, w)), len(regex.findall(r"\p{Lu}", t)), len(regex.findall(r"\p{L}", t))
+        bad = len(w) < 20 or 100 * len(again) > 30 * len(w) or sum(x in op6.SYMBOLS for x in t) * 10 > len(w) or (len(lines) - len(set(lines))) * 10 > len(lines) * 4
+        bad |= sum(a == b for a, b in zip(w, w[1:], strict=False)) * 2 > len(w) or chars < 2 * len(w) or chars > 20 * len(w) or upper * 10 > letters * 6
+        want[r[0], not bad] += 1
+    assert counted(op6.judge(docs).select("doc_id", "kept").collect()) == want
+    assert Counter(r.doc_id for r in op6.good(docs).collect()) == Counter({k: n for (k, kept), n in want.items() if kept})
+
+
 def test_cascade_order_changes_no_verdict(spark, docs, monkeypatch):
     want = counted(op6.judge(docs).select("doc_id", "kept").collect())
     monkeypatch.setattr(op6, "order", lambda df, found, n=0: sorted(found, reverse=True))
