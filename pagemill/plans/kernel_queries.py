@@ -94,7 +94,17 @@ reached AS (SELECT * FROM seed SEMI JOIN dark USING (img, y, x) UNION SELECT d.i
 SELECT * FROM reached""")
 block_kernel("kernel_despeckled", lambda b: rasters.despeckle(b, "aggressive"), threshold=105)
 black_kernel("kernel_sheared", lambda b: rasters.shear_columns(b, 0.1), DARK + "SELECT * FROM (SELECT img, (y + floor(0.1::DOUBLE * (x + 0.5 - 32) + 0.5))::BIGINT AS y, x FROM dark) WHERE y BETWEEN 0 AND 99")
-block_kernel("kernel_distance_peaks", lambda b: rasters.distance_peaks(b, borders=True))
+#: Plateau peaks of f(img, y, x, v), the greatest value of the window near(c, d) around a cell being its own: top cells less those that are connected to
+#: one with an equal cell beside it that is not a top one.
+PEAKS = """, top AS (SELECT c.img, c.y, c.x, c.v FROM f c JOIN f d ON c.img = d.img AND {near} GROUP BY c.img, c.y, c.x, c.v HAVING max(d.v) = c.v),
+beside AS (SELECT DISTINCT c.img, c.y, c.x FROM top c JOIN f d ON c.img = d.img AND {near} AND d.v = c.v WHERE (d.img, d.y, d.x) NOT IN (SELECT (img, y, x) FROM top)),
+lost AS (SELECT * FROM beside UNION SELECT d.img, d.y, d.x FROM lost c JOIN top d ON c.img = d.img AND abs(c.x - d.x) <= 1 AND abs(c.y - d.y) <= 1),
+peak AS (SELECT * FROM top ANTI JOIN lost USING (img, y, x))
+"""
+block_kernel("kernel_distance_peaks", lambda b: rasters.distance_peaks(b, borders=True), SOLID + """, wide AS (SELECT i.img, y.y, x.x FROM (SELECT DISTINCT img FROM cell) i, (SELECT unnest(range(-1, 101)) AS y) y, (SELECT unnest(range(-1, 65)) AS x) x),
+white AS (SELECT * FROM wide EXCEPT SELECT * FROM dark),
+f AS (SELECT c.img, c.y, c.x, min((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)) AS v FROM dark c JOIN white s ON s.img = c.img GROUP BY c.img, c.y, c.x UNION ALL SELECT img, y, x, 0 FROM white)"""
+    + PEAKS.format(near="abs(c.x - d.x) <= 1 AND abs(c.y - d.y) <= 1") + "SELECT img, y, x FROM peak WHERE y BETWEEN 0 AND 99 AND x BETWEEN 0 AND 63")
 
 gray_kernel("kernel_dilated_gray", lambda g: rasters.dilate_gray(g, 5, 3), "SELECT a.img::BIGINT AS img, a.y::BIGINT AS y, a.x::BIGINT AS x, min(b.gray)::BIGINT AS v FROM gray a JOIN gray b ON a.img = b.img AND b.x BETWEEN a.x - 2 AND a.x + 2 AND b.y BETWEEN a.y - 1 AND a.y + 1 GROUP BY a.img, a.y, a.x")
 for _name, _kernel, _first, _second in (("kernel_opened_gray", rasters.open_gray, "max", "min"), ("kernel_closed_gray", rasters.close_gray, "min", "max")):
@@ -182,9 +192,19 @@ def kernel_polygon(spark: SparkSession, d: str) -> DataFrame:
 
 
 DEGREES = [-2.0, 0.0, 2.0, 90.0]
-
-
-@query()
+#: The bias and the number of bins for these angles and rasters, as lines.hough() has them.
+VOTES, BIAS = lines.hough(np.zeros(1, int), np.zeros(1, int), np.ones(1, int), (HEIGHT, WIDTH), 2.0, np.array(DEGREES))
+NORMALS = ", ".join(f"({k}, {float(np.cos(np.radians(a)))!r}::DOUBLE, {float(np.sin(np.radians(a)))!r}::DOUBLE)" for k, a in enumerate(DEGREES))
+
+
+@query(SOLID + f""", normal AS (SELECT * FROM (VALUES {NORMALS}) AS t(y, u, w)),
+vote AS (SELECT img, n.y, floor((n.u * d.x + n.w * d.y + {BIAS!r}::DOUBLE) / 2 + 0.5)::BIGINT AS x, count(*) AS v FROM dark d, normal n GROUP BY img, n.y, 3),
+f AS (SELECT i.img, n.y, b.x, coalesce(v, 0) AS v FROM (SELECT DISTINCT img FROM cell) i CROSS JOIN normal n CROSS JOIN (SELECT unnest(range({VOTES.shape[1]})) AS x) b LEFT JOIN vote ON vote.img = i.img AND vote.y = n.y AND vote.x = b.x)"""
+    + PEAKS.format(near="abs(c.x - d.x) <= 2 AND abs(c.y - d.y) <= 2") + f""", strong AS (SELECT * FROM peak WHERE v >= 60),
+part(img, y, x, k) USING KEY (img, y, x) AS (SELECT img, y, x, y * 1000 + x FROM strong UNION SELECT d.img, d.y, d.x, min(c.k) FROM part c JOIN strong d ON c.img = d.img AND abs(c.x - d.x) <= 1 AND abs(c.y - d.y) <= 1
+  JOIN recurring.part AS old ON old.img = d.img AND old.y = d.y AND old.x = d.x WHERE c.k < old.k GROUP BY d.img, d.y, d.x),
+line AS (SELECT img, k, (min(part.y) + max(part.y)) // 2 AS y, (min(part.x) + max(part.x)) // 2 AS x, any_value(v) AS v FROM part JOIN strong USING (img, y, x) GROUP BY img, k)
+SELECT line.img, row_number() OVER (PARTITION BY line.img ORDER BY line.v DESC, k) - 1 AS rank, n.u, n.w AS v, (line.x + 0.5) * 2 - {BIAS!r}::DOUBLE AS distance, line.v::DOUBLE AS quality FROM line JOIN normal n USING (y)""")
 def hough_lines(spark: SparkSession, d: str) -> DataFrame:
     """The peaks of the votes of all black pixels, best first: direction of the normal, distance and quality."""
 
