@@ -77,9 +77,11 @@ def insert_images(images: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def ordered(d: DataFrame, *by: str, name: str = "ord") -> DataFrame:
-    """Dense positions from 0 by range-partitioned sort and counts per partition: no single task sees all rows."""
+    """Dense positions from 0 by range-partitioned sort and counts per partition: no single task sees all rows. The sorted rows are kept in a checkpoint
+    (of the executors, if no folder is set for any): sorted once more for the counts, the sampled bounds and the merged partitions would be others."""
     s = d.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"part__": F.spark_partition_id(), "at__": F.monotonically_increasing_id()})
     s = s.withColumn("at__", F.col("at__") - F.shiftleft(F.col("part__").cast("long"), 33))
+    s = s.checkpoint() if d.sparkSession.sparkContext.getCheckpointDir() else s.localCheckpoint()
     counts = s.groupBy("part__").agg(F.count(F.lit(1)).alias("n__"))
     before = counts.select("part__", F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before__"))
     return s.join(F.broadcast(before), "part__").withColumn(name, F.col("at__") + F.col("before__")).drop("part__", "at__", "before__")

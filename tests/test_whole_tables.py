@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from pagemill.operators import catalog
 from pagemill.plans import kernel_queries, pixel_queries
 from pagemill.sources import derived
 
@@ -54,3 +56,11 @@ def test_polygon_of_every_image(spark, sf_dir, gray):
         found.setdefault(r.img, set()).add((r.y, r.x))
     assert set(found) == set(gray)
     assert len({frozenset(v) for v in found.values()}) == 1 and (30, 40) in found[0]
+
+
+def test_dense_positions_of_many_rows(spark):
+    """More rows than the sampled bounds of a range partitioning are exact for, in partitions that are merged when only keys are read."""
+    wide = spark.range(400_000).select(F.xxhash64("id").alias("key"), F.concat_ws(" ", *[F.sha2((F.col("id") + k).cast("string"), 512) for k in range(3)]).alias("text"))
+    found = catalog.ordered(wide, "key").select("key", "ord", F.length("text").alias("n")).toPandas().sort_values("ord")
+    assert found["ord"].tolist() == list(range(400_000))
+    assert found["key"].is_monotonic_increasing and (found["n"] == 386).all()
